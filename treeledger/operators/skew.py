@@ -1,0 +1,36 @@
+"""Joins that stay balanced when a single key owns a large share of the rows."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key is heavy when it owns more than 1/SLICES of all rows, so there are fewer
+# than SLICES heavy keys whatever the data; that bound is what allows the broadcast.
+SLICES = 4096
+MIN_HEAVY_ROWS = 100_000
+
+
+def heavy_keys(counts: DataFrame, keys: list[str], rows: str = "_rows") -> DataFrame:
+    """Heavy keys of a (keys, rows) count table with the number of slices each is cut into."""
+    share = counts.agg(F.ceil(F.sum(rows) / SLICES)).scalar()
+    limit = F.greatest(F.coalesce(share, F.lit(0)), F.lit(MIN_HEAVY_ROWS))
+    return counts.where(F.col(rows) > limit).select(*keys, F.ceil(F.col(rows) / limit).alias("_slices"))
+
+
+def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str, spread_by: list[str],
+                counts: DataFrame | None = None) -> DataFrame:
+    """Join rows to a lookup table that holds every key once.
+
+    The slices of a heavy key go to different tasks; its lookup row is repeated for
+    each. The salt is part of the join key, so a later grouping on the same keys
+    shuffles again after its partial step and never inherits a lopsided layout.
+    counts may hand in rows per key (keys, _rows) where they are known already.
+    """
+    if counts is None:
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    heavy = F.broadcast(heavy_keys(counts, keys))
+    slices = F.coalesce("_slices", F.lit(1).cast("bigint"))
+    salted = (rows.join(heavy, keys, "left")
+              .withColumn("_salt", F.pmod(F.xxhash64(*spread_by), slices)).drop("_slices"))
+    repeated = (lookup.join(heavy, keys, "left")
+                .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1))).drop("_slices"))
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
