@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from treeledger.functions.paths import POSIX, PathRules
 from treeledger.functions.text import age_days
+from treeledger.operators.joins import only_paths
 from treeledger.operators.links import rows_by_marked_parent
 from treeledger.schema import (
     CLEANUP_AGE_DAYS, CLEANUP_EXTENSIONS, DAY_SECONDS, LIVE_STATES, MAX_PAGE_ROWS, QUARANTINE_NAME,
@@ -75,9 +76,10 @@ def revalidate(selection: DataFrame, found: DataFrame, fresh: DataFrame, now: fl
     chosen = selection.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
     planned = chosen.join(found, "id", "left").withColumn(
         "destination", quarantine_path(F.col("path"), F.col("id"), temp_roots, quarantine, rules))
-    seen = fresh.select("path", F.col("fingerprint").alias("seen"), F.col("extension").alias("seen_extension"),
+    near = only_paths(fresh, planned.select("path"), planned.select("destination"))
+    seen = near.select("path", F.col("fingerprint").alias("seen"), F.col("extension").alias("seen_extension"),
                         F.col("modified").alias("seen_modified"))
-    taken = fresh.select(F.col("path").alias("destination"), F.lit(True).alias("taken"))
+    taken = near.select(F.col("path").alias("destination"), F.lit(True).alias("taken"))
     joined = planned.join(seen, "path", "left").join(taken, "destination", "left")
     still = old_temporary(F.col("seen_extension"), F.col("seen_modified"), now) & F.col("destination").isNotNull()
     verdict = (F.when(F.col("times") > 1, "repeated").when(F.col("path").isNull(), "unknown")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from treeledger.functions.paths import POSIX, PathRules
 from treeledger.functions.text import contains_text
+from treeledger.operators.joins import path_join
 from treeledger.schema import COMPARISON_KINDS
 
 
@@ -20,18 +21,6 @@ def in_scope(files: DataFrame, scope: str | None, query: str = "", rules: PathRu
     return files.where(contains_text(F.col("path"), query)) if query else files
 
 
-def path_join(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Join on path by way of its hash.
-
-    Paths of one tree share long beginnings, which makes comparing them the main
-    cost of a sort. Sorting and matching by hash first leaves the text comparison
-    to rows that really meet.
-    """
-    left = left.withColumn("_hash", F.xxhash64("path"))
-    right = right.withColumn("_hash", F.xxhash64("path"))
-    return left.join(right, ["_hash", "path"], how).drop("_hash")
-
-
 def changes(baseline: DataFrame, current: DataFrame, scope: str | None = None, query: str = "",
             kind: str = "all", rules: PathRules = POSIX) -> DataFrame:
     """Rows (path, kind, baseline_size, current_size, delta_bytes); equal sizes are left out.

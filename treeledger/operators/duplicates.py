@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeledger.operators.skew import lookup_join
+from treeledger.operators.joins import lookup_join, path_join
 from treeledger.schema import MAX_HASHED_BYTES, READ_BUDGET_BYTES
 
 
@@ -35,7 +35,7 @@ def duplicate_candidates(files: DataFrame, max_bytes: int = MAX_HASHED_BYTES) ->
 def recheck(candidates: DataFrame, observed: DataFrame) -> DataFrame:
     """Mark candidates whose fingerprint is no longer the one of the scan, or that are gone."""
     now = observed.select("path", F.col("fingerprint").alias("seen"))
-    return (candidates.join(now, "path", "left")
+    return (path_join(candidates, now, "left")
             .withColumn("changed", ~F.col("fingerprint").eqNullSafe(F.col("seen"))).drop("seen"))
 
 

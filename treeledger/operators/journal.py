@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.functions.paths import POSIX, PathRules
+from treeledger.operators.joins import only_paths
 from treeledger.operators.paging import ordered_slice
 from treeledger.schema import PAGE_ROWS, QUARANTINE_NAME, RESTORABLE_STATES
 
@@ -14,8 +15,10 @@ def presence(moves: DataFrame, present: DataFrame) -> DataFrame:
     present: (path, fingerprint, device, inode), path unique. A move without a
     match at one end has nulls there.
     """
+    near = only_paths(present, moves.select("source"), moves.select("destination"))
+
     def end(mark: str) -> DataFrame:
-        return present.select(F.col("path").alias(mark), *[
+        return near.select(F.col("path").alias(mark), *[
             F.col(c).alias(f"{mark}_{c}") for c in ("fingerprint", "device", "inode")])
 
     return moves.join(end("source"), "source", "left").join(end("destination"), "destination", "left")

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.functions.paths import POSIX, PathRules
-from treeledger.operators.skew import lookup_join
+from treeledger.operators.joins import lookup_join
 
 
 def directories_under(directories: DataFrame, marks: DataFrame, root: str, rules: PathRules = POSIX) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.functions.paths import POSIX, PathRules
-from treeledger.operators.compare import path_join
+from treeledger.operators.joins import path_join
 from treeledger.schema import SCOPE_CLASSES
 
 

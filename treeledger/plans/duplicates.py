@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.operators import duplicates as D
+from treeledger.operators.joins import path_join
 from treeledger.schema import MAX_HASHED_BYTES, READ_BUDGET_BYTES
 from treeledger.sources.workspace import materialize
 
@@ -26,21 +27,19 @@ def find_duplicates(files: DataFrame, digest: Callable[[DataFrame], DataFrame],
     """Candidates by size, checked against observed, read within the budget, grouped by digest.
 
     digest turns (path, fingerprint) rows into (path, sha256); a missing or null
-    digest counts as an error. Content is read once: digests are kept in the work
-    folder and everything after reads those.
+    digest counts as an error. Candidates and digests are each kept in the work folder,
+    so content is read once and everything after starts from those tables.
     """
-    candidates = materialize(D.duplicate_candidates(files, max_bytes))
-    if observed is None:
-        checked = candidates.withColumn("changed", F.lit(False))
-    else:
-        checked = D.recheck(candidates, observed)
+    candidates = D.duplicate_candidates(files, max_bytes)
+    checked = materialize(candidates.withColumn("changed", F.lit(False)) if observed is None
+                          else D.recheck(candidates, observed))
     readable = checked.where(~F.col("changed"))
     costs = D.class_bytes(readable)
     kept = costs if budget is None else D.within_budget(costs, budget, max_bytes)
     chosen = readable if budget is None else D.of_classes(readable, kept)
     # The side that reads content stays on its own: digests meet sizes by path afterwards.
     digests = digest(chosen.select("path", "fingerprint"))
-    hashed = materialize(chosen.select("path", "size").join(digests, "path", "left"))
+    hashed = materialize(path_join(chosen.select("path", "size"), digests, "left"))
     good = hashed.where(F.col("sha256").isNotNull())
     errors = (checked.agg(F.count_if(F.col("changed"))).scalar()
               + hashed.agg(F.count_if(F.col("sha256").isNull())).scalar())

@@ -18,6 +18,10 @@ from treeledger.sources.workspace import materialize
 MEASUREMENT = "mixed times: only the selected subtree was observed again, the rest is the baseline; no candidates"
 
 
+class RefreshTimedOut(TimeoutError):
+    """The budget ran out before publication; the baseline is all there is."""
+
+
 def outside(rows: DataFrame, selected: str, rules: PathRules = POSIX) -> DataFrame:
     return rows.where(~rules.inside(F.col("path"), selected))
 
@@ -70,8 +74,9 @@ def refresh(store: SnapshotStore, baseline: str, selected: str, target: str, lis
     previous = store.read(baseline, "files")
     observed = materialize(found.files)
     changes = X.summarize(X.classify(previous, observed, selected, rules)).first()
-    files = store.write_table(target, "files", merge_files(previous, observed, selected, rules))
-    reused = outside(files, selected, rules).count()
+    kept = outside(previous, selected, rules)
+    files = store.write_table(target, "files", observed, stored=kept)
+    reused = kept.count()
     folders = merge_directories(store.read(baseline, "directories"), found.directories, selected, rules)
     sizes = rollup.directory_totals(rollup.direct_bytes(files), old["root"], folders, rules)
     directories = store.write_table(target, "directories", rollup.describe_directories(sizes, rules))
@@ -80,6 +85,8 @@ def refresh(store: SnapshotStore, baseline: str, selected: str, target: str, lis
 
     end = time.time() if finished_at is None else finished_at
     elapsed = round(time.monotonic() - started, 3)
+    if elapsed > timeout_seconds:
+        raise RefreshTimedOut(f"not finished within {timeout_seconds} seconds; nothing is published")
     about = {
         "baseline_id": baseline, "baseline_finished_at": old["finished_at"], "path": selected,
         "scanned_files": counts["files"], "reused_files": reused, "observed_at": float(end),

@@ -10,7 +10,7 @@ from treeledger.functions.paths import POSIX, PathRules
 from treeledger.functions.text import truncated
 from treeledger.operators.links import rows_by_marked_parent
 from treeledger.operators.paging import ordered_slice
-from treeledger.operators.skew import lookup_join
+from treeledger.operators.joins import lookup_join
 from treeledger.schema import FILES, QUARANTINE_NAME, REASON_CHARS
 
 

@@ -43,17 +43,20 @@ class SnapshotStore:
             if self._exists(self._folder(table, scan_id)):
                 raise FileExistsError(f"snapshot {scan_id} exists already and is not overwritten")
 
-    def write_table(self, scan_id: str, table: str, df: DataFrame) -> DataFrame:
+    def write_table(self, scan_id: str, table: str, df: DataFrame, stored: DataFrame | None = None) -> DataFrame:
         """Write one table of a snapshot and return it as read back from storage.
 
         Files are laid out by (parent, path): a directory page or a subtree then
         touches few row groups, and a directory holding much of the tree is still
-        split, since paths are unique.
+        split, since paths are unique. Rows of stored have that layout already, as
+        part of another snapshot, and are copied without a shuffle.
         """
         columns = TABLES[table].fieldNames()
         out = df.select(*columns)
         if "parent" in columns:
             out = out.repartitionByRange("parent", "path").sortWithinPartitions("parent", "path")
+        if stored is not None:
+            out = stored.select(*columns).unionByName(out)
         out.write.mode("errorifexists").parquet(self._folder(table, scan_id))
         return self._read(scan_id, table)
 

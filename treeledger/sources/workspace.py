@@ -19,7 +19,8 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{work_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below one for this application, which can be dropped when that has ended."""
+    return f"{work_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
