@@ -14,7 +14,10 @@ from treeledger.schema import (
 
 
 def old_temporary(extension: Column, modified: Column, now: float) -> Column:
-    return extension.isin(*CLEANUP_EXTENSIONS) & (F.lit(float(now)) - modified >= CLEANUP_AGE_DAYS * DAY_SECONDS)
+    age = CLEANUP_AGE_DAYS * DAY_SECONDS
+    # The first comparison is a second too wide and only there for the Parquet reader.
+    aged = (modified <= F.lit(float(now - age + 1))) & (F.lit(float(now)) - modified >= age)
+    return extension.isin(*CLEANUP_EXTENSIONS) & aged
 
 
 def under_roots(files: DataFrame, roots: list[str] | DataFrame, top: str, rules: PathRules = POSIX) -> DataFrame:
