@@ -4,7 +4,7 @@ doc_id % 8 decides what happens to a document's file between the two snapshots:
 0 removed, 1 added, 2 replaced, 3 resized, 4 new time only, 5-7 nothing.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeledger.functions import paths as P
@@ -18,51 +18,49 @@ EMPTY = "/data/empty"
 TEMP_ROOTS = ["/data/en", "/data/links"]
 
 
+# A given schema saves the job that would read one from the files.
+_SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def _text(column: Column) -> Column:
-    return column.cast("string")
-
-
-def _documents(spark: SparkSession, sf: str, missing_class: int, size: Column, inode: Column, ns: Column) -> DataFrame:
-    doc = F.col("doc_id")
-    kind = doc % 6
-    suffix = (F.when(kind == 0, ".txt").when(kind == 1, ".LOG").when(kind == 2, ".tmp").when(kind == 3, "")
-              .when(kind == 4, ".tar.gz").otherwise(".md"))
-    named = F.struct(F.concat(F.lit("/data/"), "lang", F.lit("/"), _text(F.col("source"))).alias("parent"),
-                     F.concat(F.lit("doc-"), _text(doc), suffix).alias("name"))
-    linked = F.struct(F.concat(F.lit("/data/links/"), _text(F.col("source"))).alias("parent"),
-                      F.concat(F.lit("ln-"), _text(doc), F.lit(".txt")).alias("name"))
-    # A second, hard-linked name for every tenth document, from the same pass.
-    names = F.when(doc % 10 == 5, F.array(named, linked)).otherwise(F.array(named))
-    modified = F.lit(NOW) - ((doc * 7) % 19) * 86400
-    rows = (table(spark, sf, "documents").where(doc % 8 != missing_class)
-            .select(doc, "text", size.cast("bigint").alias("size"), _text(inode).alias("inode"),
-                    modified.alias("seconds"), ns.alias("ns"), F.explode(names).alias("at"))
-            .select("*", "at.parent", "at.name"))
-    allocated = F.when(doc % 50 != 49, F.ceil(F.col("size") / 4096) * 4096)
-    rows = rows.select(
-        F.concat("parent", F.lit("/"), "name").alias("path"), "parent", "name", "size",
-        allocated.cast("bigint").alias("allocated"), P.extension(F.col("name")).alias("extension"),
-        F.col("seconds").cast("double").alias("modified"),
-        (F.col("seconds") * 1_000_000_000 + F.col("ns")).cast("bigint").alias("mtime_ns"),
-        F.lit("1").alias("device"), "inode", "doc_id", "text")
-    return rows.withColumn("fingerprint", P.fingerprint(
-        F.col("device"), F.col("inode"), F.col("size"), F.col("mtime_ns")))
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
+
+
+_NAMES = """concat('doc-', doc_id, CASE doc_id % 6 WHEN 0 THEN '.txt' WHEN 1 THEN '.LOG' WHEN 2 THEN '.tmp'
+  WHEN 3 THEN '' WHEN 4 THEN '.tar.gz' ELSE '.md' END)"""
+# A second, hard-linked name for every tenth document, from the same pass.
+_PLACES = f"""explode(filter(array(struct(concat('/data/', lang, '/', source) AS parent, {_NAMES} AS name),
+  IF(doc_id % 10 = 5, struct(concat('/data/links/', source) AS parent, concat('ln-', doc_id, '.txt') AS name), NULL)),
+  p -> p IS NOT NULL)) AS at"""
+
+
+def _documents(spark: SparkSession, sf: str, missing_class: int, size: str, inode: str, ns: str) -> DataFrame:
+    rows = (table(spark, sf, "documents").where(f"doc_id % 8 <> {missing_class}")
+            .selectExpr("doc_id", "text", f"{size} AS size", f"CAST({inode} AS STRING) AS inode",
+                        f"{NOW} - ((doc_id * 7) % 19) * 86400 AS seconds", _PLACES)
+            .selectExpr("concat(at.parent, '/', at.name) AS path", "at.parent", "at.name", "size",
+                        "IF(doc_id % 50 = 49, NULL, CAST(ceil(size / 4096) * 4096 AS BIGINT)) AS allocated",
+                        "CAST(seconds AS DOUBLE) AS modified", f"seconds * 1000000000 + {ns} AS mtime_ns",
+                        "'1' AS device", "inode", "doc_id", "text"))
+    return rows.withColumns({
+        "extension": P.extension(F.col("name")),
+        "fingerprint": P.fingerprint(F.col("device"), F.col("inode"), F.col("size"), F.col("mtime_ns"))})
 
 
 def old_files(spark: SparkSession, sf: str) -> DataFrame:
-    doc, chars = F.col("doc_id"), F.col("n_chars")
-    size = F.when((doc % 8 == 3) | (doc % 16 == 2), chars + 1).otherwise(chars)
-    return _documents(spark, sf, 1, size, doc + 1, F.lit(0))
+    size = "IF(doc_id % 8 = 3 OR doc_id % 16 = 2, n_chars + 1, n_chars)"
+    return _documents(spark, sf, 1, size, "doc_id + 1", "0")
 
 
 def new_files(spark: SparkSession, sf: str) -> DataFrame:
-    doc = F.col("doc_id")
-    inode = F.when(doc % 8 == 2, doc + 1000001).otherwise(doc + 1)
-    return _documents(spark, sf, 0, F.col("n_chars"), inode, F.when(doc % 8 == 4, 1).otherwise(0))
+    inode = "IF(doc_id % 8 = 2, doc_id + 1000001, doc_id + 1)"
+    return _documents(spark, sf, 0, "n_chars", inode, "IF(doc_id % 8 = 4, 1, 0)")
 
 
 def registered(files: DataFrame, *empty: str) -> DataFrame:
@@ -76,34 +74,32 @@ def registered(files: DataFrame, *empty: str) -> DataFrame:
 def mixed_files(spark: SparkSession, sf: str) -> DataFrame:
     """The current snapshot with some files right in the scope, next to its directories."""
     files = new_files(spark, sf).drop("text")
-    top = files.where(POSIX.under(F.col("path"), SCOPE) & (F.col("doc_id") % 9 == 0))
-    top = top.withColumn("parent", F.lit(SCOPE)).withColumn("name", F.concat(F.lit("Top-"), "name"))
-    return files.unionByName(top.withColumn("path", F.concat("parent", F.lit("/"), "name")))
+    top = files.where(f"startswith(path, '{SCOPE}/') AND doc_id % 9 = 0").withColumns({
+        "parent": F.lit(SCOPE), "path": F.expr(f"concat('{SCOPE}/Top-', name)"), "name": F.expr("concat('Top-', name)")})
+    return files.unionByName(top)
 
 
 def raw_listing(spark: SparkSession, sf: str, quarantine: str) -> DataFrame:
     """The current tree as a lister would print it: files, links, pipes, folders, a quarantine."""
     files = new_files(spark, sf)
-    columns = ["path", "kind", "size", "allocated", "modified", "device", "inode"]
-    doc, zero = F.col("doc_id"), F.lit(0).cast("bigint")
+    aside = f"{SCOPE}/{quarantine}"
 
-    def special(kind: str, prefix: str, keep: Column) -> DataFrame:
-        at = F.concat("parent", F.lit(f"/{prefix}-"), _text(doc))
-        return files.where(keep).select(at.alias("path"), F.lit(kind).alias("kind"), zero.alias("size"),
-                                        zero.alias("allocated"), "modified", "device", "inode")
+    def rows(df: DataFrame, path: str, kind: str, size: str = "0L", allocated: str = "0L",
+             modified: str = "modified", device: str = "device", inode: str = "inode") -> DataFrame:
+        return df.selectExpr(f"{path} AS path", f"'{kind}' AS kind", f"{size} AS size", f"{allocated} AS allocated",
+                             f"{modified} AS modified", f"{device} AS device", f"{inode} AS inode")
 
-    def folder(df: DataFrame, inode: str) -> DataFrame:
-        return df.select("path", F.lit("d").alias("kind"), zero.alias("size"), zero.alias("allocated"),
-                         F.lit(float(NOW)).alias("modified"), F.lit("1").alias("device"), F.lit(inode).alias("inode"))
+    def folders(df: DataFrame, inode: str) -> DataFrame:
+        return rows(df, "path", "d", modified=f"DOUBLE({NOW})", device="'1'", inode=f"'{inode}'")
 
-    aside = f"{SCOPE}/{quarantine}"
-    hidden = files.where(doc % 40 == 9).withColumn("path", F.concat(F.lit(aside + "/q-"), _text(doc)))
     parts = [
-        special("l", "lnk", doc % 25 == 1), special("p", "pipe", doc % 60 == 7),
-        folder(spark.range(1).select(F.lit(aside).alias("path")), "900000001"),
-        hidden.withColumn("kind", F.lit("f")).select(*columns), folder(registered(files, EMPTY), "900000002"),
+        rows(files.where("doc_id % 25 = 1"), "concat(parent, '/lnk-', doc_id)", "l"),
+        rows(files.where("doc_id % 60 = 7"), "concat(parent, '/pipe-', doc_id)", "p"),
+        rows(files.where("doc_id % 40 = 9"), f"concat('{aside}/q-', doc_id)", "f", "size", "allocated"),
+        folders(spark.range(1).selectExpr(f"'{aside}' AS path"), "900000001"),
+        folders(registered(files, EMPTY), "900000002"),
     ]
-    listing = files.withColumn("kind", F.lit("f")).select(*columns)
+    listing = rows(files, "path", "f", "size", "allocated")
     for part in parts:
         listing = listing.unionByName(part)
     return listing
@@ -111,64 +107,52 @@ def raw_listing(spark: SparkSession, sf: str, quarantine: str) -> DataFrame:
 
 def access_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Every thirtieth document could not be read; its text is the (long) reason."""
-    files = new_files(spark, sf).where(F.col("doc_id") % 30 == 7)
-    return files.select("path", F.concat(F.lit("Permission denied: "), "path", F.lit(" "), "text").alias("error"))
+    return new_files(spark, sf).where("doc_id % 30 = 7").selectExpr(
+        "path", "concat('Permission denied: ', path, ' ', text) AS error")
 
 
 def journal(spark: SparkSession, sf: str, quarantine: str) -> tuple[DataFrame, DataFrame]:
     """Moves of the scope's files, and what storage shows at their ends."""
-    doc = F.col("doc_id")
-    state = F.element_at(F.array(*[F.lit(s) for s in (
-        "pending", "quarantined", "restoring", "purging", "restored", "failed")]), (doc % 6 + 1).cast("int"))
-    quarter = F.floor(doc / 6) % 4
-    rows = old_files(spark, sf).where(POSIX.under(F.col("path"), SCOPE)).select(
-        F.concat(F.lit("m"), _text(doc)).alias("id"), F.col("path").alias("source"),
-        F.concat(F.lit(f"{SCOPE}/{quarantine}/m"), _text(doc)).alias("destination"), "size", "fingerprint",
-        state.alias("state"), (F.lit(NOW) + doc).cast("double").alias("created"),
-        F.concat(F.lit("b"), _text(doc % 5)).alias("batch"), "device", "inode",
-        quarter.isin(1, 3).alias("at_source"), quarter.isin(2, 3).alias("at_destination"),
-        F.when(doc % 7 == 0, "changed").otherwise(F.col("fingerprint")).alias("seen"),
+    rows = old_files(spark, sf).where(POSIX.under(F.col("path"), SCOPE)).selectExpr(
+        "concat('m', doc_id) AS id", "path AS source", f"concat('{SCOPE}/{quarantine}/m', doc_id) AS destination",
+        "size", "fingerprint", """CASE doc_id % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'quarantined'
+          WHEN 2 THEN 'restoring' WHEN 3 THEN 'purging' WHEN 4 THEN 'restored' ELSE 'failed' END AS state""",
+        f"DOUBLE({NOW} + doc_id) AS created", "concat('b', doc_id % 5) AS batch", "device", "inode",
+        "floor(doc_id / 6) % 4 IN (1, 3) AS at_source", "floor(doc_id / 6) % 4 IN (2, 3) AS at_destination",
+        "IF(doc_id % 7 = 0, 'changed', fingerprint) AS seen",
         # Half of the doubly present ones are two different files.
-        F.when(F.floor(doc / 24) % 2 == 0, F.col("inode")).otherwise(F.concat(F.lit("9"), "inode")).alias("other"))
-    ends = F.array(
-        F.when(F.col("at_source"), F.struct(F.col("source").alias("path"), F.col("inode").alias("inode"))),
-        F.when(F.col("at_destination"), F.struct(F.col("destination").alias("path"), F.col("other").alias("inode"))))
-    present = (rows.select(F.explode(ends).alias("end"), F.col("seen").alias("fingerprint"), "device")
-               .where(F.col("end").isNotNull()).select("end.path", "fingerprint", "device", "end.inode"))
-    return rows.select("id", "source", "destination", "size", "fingerprint", "state", "created", "batch"), present
+        "IF(floor(doc_id / 24) % 2 = 0, inode, concat('9', inode)) AS other")
+    present = rows.selectExpr("seen AS fingerprint", "device", """explode(filter(array(
+        IF(at_source, struct(source AS path, inode AS inode), NULL),
+        IF(at_destination, struct(destination AS path, other AS inode), NULL)), e -> e IS NOT NULL)) AS at""")
+    moves = rows.select("id", "source", "destination", "size", "fingerprint", "state", "created", "batch")
+    return moves, present.select("at.path", "fingerprint", "device", "at.inode")
 
 
-def _orders(spark: SparkSession, sf: str, missing: int, grown: Column) -> DataFrame:
-    order = F.col("o_orderkey")
-    parent = F.concat(F.lit("/wh/"), "o_orderstatus", F.lit("/c"), _text(F.col("o_custkey") % 100))
-    name = F.concat(F.lit("o-"), _text(order), F.lit(".dat"))
-    size = F.floor("o_totalprice").cast("bigint") + grown
-    return table(spark, sf, "orders").where(order % 9 != missing).select(
-        F.concat(parent, F.lit("/"), name).alias("path"), parent.alias("parent"), name.alias("name"),
-        size.alias("size"))
+def _orders(spark: SparkSession, sf: str, missing: int, grown: str) -> DataFrame:
+    placed = table(spark, sf, "orders").where(f"o_orderkey % 9 <> {missing}").selectExpr(
+        "concat('/wh/', o_orderstatus, '/c', o_custkey % 100) AS parent", "concat('o-', o_orderkey, '.dat') AS name",
+        f"floor(o_totalprice) + {grown} AS size")
+    return placed.selectExpr("concat(parent, '/', name) AS path", "parent", "name", "size")
 
 
 def old_orders(spark: SparkSession, sf: str) -> DataFrame:
-    return _orders(spark, sf, 0, F.lit(0))
+    return _orders(spark, sf, 0, "0")
 
 
 def new_orders(spark: SparkSession, sf: str) -> DataFrame:
-    return _orders(spark, sf, 1, F.when(F.col("o_orderkey") % 5 == 0, 2).otherwise(0))
+    return _orders(spark, sf, 1, "IF(o_orderkey % 5 = 0, 2, 0)")
 
 
 def log_files(spark: SparkSession, sf: str) -> DataFrame:
     """One log file per event, with the event's own time."""
-    ts = F.col("ts")
-    seconds = F.datediff(ts, F.lit("1970-01-01")).cast("bigint") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-    parent = F.concat(F.lit("/logs/"), "event_type", F.lit("/u"), _text(F.col("user_id")))
-    event = _text(F.col("event_id"))
-    name = F.concat(F.lit("ev-"), event, F.lit(".log"))
-    rows = table(spark, sf, "events").select(
-        F.concat(parent, F.lit("/"), name).alias("path"), F.lit("f").alias("kind"),
-        F.floor(F.col("value") * 100).cast("bigint").alias("size"),
-        F.ceil(F.col("value") * 100 / 512).cast("bigint").alias("blocks"),
-        (seconds * 1_000_000_000).alias("mtime_ns"), F.lit("7").alias("device"), event.alias("inode"))
-    named = normalize_listing(rows).drop("error").withColumn("parent", POSIX.parent(F.col("path")))
-    named = named.withColumn("name", POSIX.name(F.col("path")))
-    return named.withColumn("extension", P.extension(F.col("name"))).withColumn("fingerprint", P.fingerprint(
-        F.col("device"), F.col("inode"), F.col("size"), F.col("mtime_ns")))
+    rows = table(spark, sf, "events").selectExpr(
+        "concat('/logs/', event_type, '/u', user_id, '/ev-', event_id, '.log') AS path", "'f' AS kind",
+        "floor(value * 100) AS size", "ceil(value * 100 / 512) AS blocks",
+        "(datediff(ts, '1970-01-01') * 86400L + hour(ts) * 3600 + minute(ts) * 60 + second(ts)) * 1000000000 AS mtime_ns",
+        "'7' AS device", "CAST(event_id AS STRING) AS inode")
+    path = F.col("path")
+    named = normalize_listing(rows).drop("error").withColumns({"parent": POSIX.parent(path), "name": POSIX.name(path)})
+    return named.withColumns({
+        "extension": P.extension(F.col("name")),
+        "fingerprint": P.fingerprint(F.col("device"), F.col("inode"), F.col("size"), F.col("mtime_ns"))})
