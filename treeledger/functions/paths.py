@@ -61,12 +61,11 @@ class PathRules:
         return F.substring_index(path, self.sep, -1)
 
     def parent(self, path: Column) -> Column:
-        cut = F.length(path) - F.length(self.name(path)) - 1
-        head = F.left(path, F.greatest(cut, F.lit(0)))
-        # What is left of the separator of a volume root needs that separator back.
+        head = F.left(path, F.length(path) - F.length(self.name(path)) - 1)
+        # A volume root loses its separator with the name and needs it back.
         if self.sep == "\\":
             return F.when(head.endswith(":"), F.concat(head, F.lit(self.sep))).otherwise(head)
-        return F.when(head == "", F.lit(self.sep)).otherwise(head)
+        return F.coalesce(F.nullif(head, F.lit("")), F.lit(self.sep))
 
     def lineage(self, directory: Column, root: str) -> Column:
         """The directory and everything above it, down from root. Needs directory inside root."""

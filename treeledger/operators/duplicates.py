@@ -44,6 +44,13 @@ def class_bytes(readable: DataFrame) -> DataFrame:
     return readable.groupBy("size").agg(F.sum("size").alias("bytes"))
 
 
+def candidate_bytes(files: DataFrame, max_bytes: int = MAX_HASHED_BYTES) -> DataFrame:
+    """The same for all candidates of an inventory, from counts alone."""
+    single = size_window(files, max_bytes).select("size", "device", "inode").distinct()
+    counts = single.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where("n > 1").select("size", (F.col("size") * F.col("n")).alias("bytes"))
+
+
 def within_budget(classes: DataFrame, budget: int = READ_BUDGET_BYTES,
                   max_bytes: int = MAX_HASHED_BYTES) -> DataFrame:
     """Size classes, smallest first, with the bytes read once each is done, as far as the budget goes.

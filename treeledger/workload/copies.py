@@ -77,7 +77,7 @@ def duplicate_recheck(spark, sf):
 SELECT size, bytes, read_bytes FROM (SELECT size, bytes, CAST(sum(bytes) OVER (ORDER BY size) AS BIGINT) AS read_bytes
   FROM (SELECT size, CAST(sum(size) AS BIGINT) AS bytes FROM candidates GROUP BY size)) WHERE read_bytes <= 500000""")
 def read_budget(spark, sf):
-    return D.within_budget(D.class_bytes(D.duplicate_candidates(V.new_files(spark, sf))), 500_000)
+    return D.within_budget(D.candidate_bytes(V.new_files(spark, sf)), 500_000)
 
 
 @query("log_read_budget", "G2", ("logs",), """
@@ -85,7 +85,7 @@ SELECT size, bytes, read_bytes FROM (SELECT size, bytes, CAST(sum(bytes) OVER (O
   FROM (SELECT size, CAST(sum(size) AS BIGINT) AS bytes FROM logs WHERE size > 0 GROUP BY size HAVING count(*) > 1))
 WHERE read_bytes <= 10737418240""")
 def log_read_budget(spark, sf):
-    return D.within_budget(D.class_bytes(D.duplicate_candidates(V.log_files(spark, sf))))
+    return D.within_budget(D.candidate_bytes(V.log_files(spark, sf)))
 
 
 @query("duplicate_review", "N5 E9 F9 G2", ("candidates", "newf"), """

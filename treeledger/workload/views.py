@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from treeledger.functions import paths as P
 from treeledger.functions.paths import POSIX
-from treeledger.sources.ingest import normalize_listing
 
 NOW = 1704067200
 ROOT = "/data"
@@ -147,12 +146,12 @@ def new_orders(spark: SparkSession, sf: str) -> DataFrame:
 def log_files(spark: SparkSession, sf: str) -> DataFrame:
     """One log file per event, with the event's own time."""
     rows = table(spark, sf, "events").selectExpr(
-        "concat('/logs/', event_type, '/u', user_id, '/ev-', event_id, '.log') AS path", "'f' AS kind",
+        "concat('/logs/', event_type, '/u', user_id) AS parent", "concat('ev-', event_id, '.log') AS name",
         "floor(value * 100) AS size", "ceil(value * 100 / 512) AS blocks",
-        "(datediff(ts, '1970-01-01') * 86400L + hour(ts) * 3600 + minute(ts) * 60 + second(ts)) * 1000000000 AS mtime_ns",
+        "datediff(ts, '1970-01-01') * 86400L + hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS seconds",
         "'7' AS device", "CAST(event_id AS STRING) AS inode")
-    path = F.col("path")
-    named = normalize_listing(rows).drop("error").withColumns({"parent": POSIX.parent(path), "name": POSIX.name(path)})
-    return named.withColumns({
-        "extension": P.extension(F.col("name")),
+    files = rows.selectExpr("concat(parent, '/', name) AS path", "*", "DOUBLE(seconds) AS modified",
+                            "seconds * 1000000000 AS mtime_ns")
+    return files.withColumns({
+        "allocated": P.allocated_bytes(F.col("blocks")), "extension": P.extension(F.col("name")),
         "fingerprint": P.fingerprint(F.col("device"), F.col("inode"), F.col("size"), F.col("mtime_ns"))})
