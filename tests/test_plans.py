@@ -5,10 +5,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from treeledger.ledger import Ledger
 from treeledger.operators import browse as B
 from treeledger.operators import cleanup as K
 from treeledger.operators import compare as C
 from treeledger.operators import rollup as R
+from treeledger.operators import scope_changes as S
 from treeledger.schema import FILES
 
 
@@ -79,3 +81,28 @@ def test_cleanup_filters_reach_the_scan(stored):
 def test_no_python_in_any_plan(stored):
     for df in (C.change_counts(C.changes(stored, stored)), R.by_extension(stored), R.identity_sizes(stored)):
         assert "Python" not in plan(df) and "Arrow" not in plan(df)
+
+
+def test_bucketed_snapshots_compare_without_a_shuffle(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    rows = spark.range(500).select(
+        F.concat(F.lit("/r/f"), F.col("id").cast("string")).alias("path"), F.lit("f").alias("kind"),
+        F.col("id").alias("size"), F.lit(1).cast("bigint").alias("blocks"), F.lit(0).cast("bigint").alias("mtime_ns"),
+        F.lit("1").alias("device"), F.col("id").cast("string").alias("inode"))
+    ledger.scan("one", rows.where("size <> 7"), "/r", 0)
+    ledger.scan("two", rows.where("size <> 9").withColumn("size", F.col("size") * 2), "/r", 0)
+    names = ["bucketed_one", "bucketed_two"]
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        old, new = ledger.store.bucket("one", names[0], 4), ledger.store.bucket("two", names[1], 4)
+        changed = C.changes(old, new, colocated=True)
+        assert exchanges(plan(changed)) == 0
+        counts = C.change_counts(changed).first()
+        assert (counts["added"], counts["removed"], counts["resized"]) == (1, 1, 497)
+        assert exchanges(plan(S.classify(old, new, "/r", colocated=True))) == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -199,6 +199,14 @@ def test_hard_link_across_the_scope(spark, files):
     assert R.identity_sizes(merged).first()["unique_bytes"] == 4
 
 
+def test_listing_without_directories(spark, tmp_path):
+    """Object stores list files only; directories follow from them."""
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    row = ledger.scan("flat", listing(spark, {"/r/a/b/c.txt": 5, "/r/x": 1}), "/r", NOW, finished_at=1.0)
+    assert row["directories"] == [{"path": "/r", "size": 6}, {"path": "/r/a", "size": 5}, {"path": "/r/a/b", "size": 5}]
+    assert ledger.browse("flat", "/r/a").meta.first()["size"] == 5
+
+
 def test_root_repair(spark):
     for root, right in (("/", 10), ("C:\\", 10), ("/r", 20)):
         summary = spark.createDataFrame(

@@ -22,24 +22,24 @@ def in_scope(files: DataFrame, scope: str | None, query: str = "", rules: PathRu
 
 
 def changes(baseline: DataFrame, current: DataFrame, scope: str | None = None, query: str = "",
-            kind: str = "all", rules: PathRules = POSIX) -> DataFrame:
+            kind: str = "all", rules: PathRules = POSIX, colocated: bool = False) -> DataFrame:
     """Rows (path, kind, baseline_size, current_size, delta_bytes); equal sizes are left out.
 
     removed means no longer observed. One full outer join finds all kinds; a single
-    kind gets the narrower join it needs.
+    kind gets the narrower join it needs. colocated says both sides are bucketed by path.
     """
     check_kind(kind)
     old = in_scope(baseline, scope, query, rules).select("path", F.col("size").alias("baseline_size"))
     new = in_scope(current, scope, query, rules).select("path", F.col("size").alias("current_size"))
     before, after = F.col("baseline_size"), F.col("current_size")
     if kind == "removed":
-        rows = path_join(old, new, "left_anti").withColumn("current_size", F.lit(None).cast("bigint"))
+        rows = path_join(old, new, "left_anti", colocated).withColumn("current_size", F.lit(None).cast("bigint"))
     elif kind == "added":
-        rows = path_join(new, old, "left_anti").withColumn("baseline_size", F.lit(None).cast("bigint"))
+        rows = path_join(new, old, "left_anti", colocated).withColumn("baseline_size", F.lit(None).cast("bigint"))
     elif kind == "resized":
-        rows = path_join(old, new, "inner").where(before != after)
+        rows = path_join(old, new, "inner", colocated).where(before != after)
     else:
-        rows = path_join(old, new, "full_outer").where(before.isNull() | after.isNull() | (before != after))
+        rows = path_join(old, new, "full_outer", colocated).where(before.isNull() | after.isNull() | (before != after))
     label = F.when(after.isNull(), "removed").when(before.isNull(), "added").otherwise("resized")
     delta = F.coalesce(after, F.lit(0)) - F.coalesce(before, F.lit(0))
     return rows.select("path", label.alias("kind"), "baseline_size", "current_size", delta.alias("delta_bytes"))

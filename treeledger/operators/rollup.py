@@ -26,21 +26,17 @@ def direct_bytes(files: DataFrame) -> DataFrame:
 
 def directory_totals(direct: DataFrame, root: str, registered: DataFrame | None = None,
                      rules: PathRules = POSIX) -> DataFrame:
-    """Recursive size of every directory; registered ones without files count 0.
+    """Recursive size of every directory above a file; registered ones without files count 0.
 
     direct holds one row per directory, so the fan-out to ancestors is directories
     times depth, never files times depth. Registered directories join the same
-    aggregation as zero rows, which saves a join; without them every ancestor of a
-    file is reported.
+    aggregation as zero rows, which saves a join.
     """
-    seeds = (direct.where(rules.inside(F.col("path"), root))
-             .select(F.explode(rules.lineage(F.col("path"), root)).alias("path"), "size",
-                     F.lit(registered is None).alias("known")))
+    path = F.col("path")
+    seeds = direct.where(rules.inside(path, root)).select(F.explode(rules.lineage(path, root)).alias("path"), "size")
     if registered is not None:
-        seeds = seeds.unionByName(registered.select("path", F.lit(0).cast("bigint").alias("size"),
-                                                    F.lit(True).alias("known")))
-    return (seeds.groupBy("path").agg(F.sum("size").alias("size"), F.bool_or("known").alias("known"))
-            .where("known").select("path", "size"))
+        seeds = seeds.unionByName(registered.select("path", F.lit(0).cast("bigint").alias("size")))
+    return seeds.groupBy("path").agg(F.sum("size").alias("size"))
 
 
 def describe_directories(totals: DataFrame, rules: PathRules = POSIX) -> DataFrame:

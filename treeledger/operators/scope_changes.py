@@ -8,7 +8,8 @@ from treeledger.operators.joins import path_join
 from treeledger.schema import SCOPE_CLASSES
 
 
-def classify(previous: DataFrame, observed: DataFrame, selected: str, rules: PathRules = POSIX) -> DataFrame:
+def classify(previous: DataFrame, observed: DataFrame, selected: str, rules: PathRules = POSIX,
+             colocated: bool = False) -> DataFrame:
     """One row per path of the subtree with its class and both sizes.
 
     Precedence runs top to bottom: a replaced file that also changed size counts as
@@ -19,7 +20,7 @@ def classify(previous: DataFrame, observed: DataFrame, selected: str, rules: Pat
         kept = files.where(rules.under(F.col("path"), selected))
         return kept.select("path", *[F.col(c).alias(f"{mark}_{c}") for c in ("size", "device", "inode", "fingerprint")])
 
-    both = path_join(side(previous, "old"), side(observed, "new"), "full_outer")
+    both = path_join(side(previous, "old"), side(observed, "new"), "full_outer", colocated)
     known = (F.col("old_inode") != "0") & (F.col("new_inode") != "0")
     moved = (F.col("old_device") != F.col("new_device")) | (F.col("old_inode") != F.col("new_inode"))
     kind = (F.when(F.col("old_size").isNull(), "added")

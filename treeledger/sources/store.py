@@ -46,20 +46,33 @@ class SnapshotStore:
     def write_table(self, scan_id: str, table: str, df: DataFrame, stored: DataFrame | None = None) -> DataFrame:
         """Write one table of a snapshot and return it as read back from storage.
 
-        Files are laid out by (parent, path): a directory page or a subtree then
+        Files are laid out by (parent, name): a directory page or a subtree then
         touches few row groups, and a directory holding much of the tree is still
-        split, since paths are unique. Rows of stored have that layout already, as
+        split, since its names are unique. Rows of stored have that layout already, as
         part of another snapshot, and are copied without a shuffle.
         """
         columns = TABLES[table].fieldNames()
         out = df.select(*columns)
         if "parent" in columns:
-            out = out.repartitionByRange("parent", "path").sortWithinPartitions("parent", "path")
+            out = out.repartitionByRange("parent", "name").sortWithinPartitions("parent", "name")
         if stored is not None:
             out = stored.select(*columns).unionByName(out)
         out.write.mode("errorifexists").parquet(self._folder(table, scan_id))
         return self._read(scan_id, table)
 
+    def bucket(self, scan_id: str, table: str, buckets: int) -> DataFrame:
+        """Keep a snapshot's comparable columns as a catalog table bucketed by path.
+
+        Snapshots bucketed alike compare without moving a row: pass colocated=True to
+        changes or classify. Worth it for a baseline that many others are held against;
+        the catalog must be a shared one for the table to outlive the session.
+        """
+        columns = ["path", "size", "device", "inode", "fingerprint"]
+        rows = self.read(scan_id, "files").select(*columns).repartition(buckets, "path")
+        (rows.write.mode("errorifexists").bucketBy(buckets, "path").sortBy("path")
+         .option("path", self._folder("bucketed", scan_id)).saveAsTable(table))
+        return self.spark.table(table)
+
     def publish(self, scan_id: str, summary: DataFrame) -> DataFrame:
         """Write the one summary row, which commits the snapshot."""
         target = self._folder("summary", scan_id)
