@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeledger.ledger import Ledger
+from treeledger.operators import journal as J
 from treeledger.operators import rollup as R
 from treeledger.plans import refresh as N
 from treeledger.plans.comparison import ComparisonError, ScopeNotFound
-from treeledger.schema import LISTING
+from treeledger.schema import LISTING, MOVES
 from treeledger.sources.store import SnapshotMissing, default_pair, repair_directories, repair_summary
 
 NOW = 1_000_000_000
@@ -199,6 +200,27 @@ def test_hard_link_across_the_scope(spark, files):
     assert R.identity_sizes(merged).first()["unique_bytes"] == 4
 
 
+def test_cleanup_and_journal(ledger, spark):
+    ident = ledger.summary("before")["candidates"][0]["id"]
+    fresh, none = ledger.store.read("before", "files"), spark.createDataFrame([], MOVES)
+    plan = ledger.plan_cleanup("before", [ident], fresh, none, NOW, ["/r"], "b1")
+    move = plan.moves.first()
+    assert (move["source"], move["destination"]) == ("/r/unchanged.tmp", f"/r/.quarantine/{ident}")
+    assert ledger.plan_cleanup("before", [ident, "x"], fresh, none, NOW, ["/r"], "b1").moves.count() == 0
+    with pytest.raises(ValueError):
+        ledger.plan_cleanup("before", ["x"] * 501, fresh, none, NOW, ["/r"], "b1")
+    present = spark.createDataFrame([(move["destination"], move["fingerprint"], "1", "3")],
+                                    "path string, fingerprint string, device string, inode string")
+    settled = J.transitions(ledger.reconcile(plan.moves, present))
+    log = plan.moves.withColumn("version", F.lit(1)).unionByName(settled.withColumn("version", F.lit(2)))
+    moves = J.current(log)
+    assert [r["state"] for r in moves.collect()] == ["quarantined"]
+    assert [r["verdict"] for r in ledger.restore_batch(moves, present, "b1", ["/r"]).collect()] == ["ok"]
+    assert [r["released_bytes"] for r in ledger.purge(moves, present, ["/r"]).collect()] == [4]
+    assert ledger.errors("before").meta.first()["total"] == 0
+    assert ledger.extensions("before").first()["extension"] == ".txt"
+
+
 def test_listing_without_directories(spark, tmp_path):
     """Object stores list files only; directories follow from them."""
     ledger = Ledger(spark, str(tmp_path / "ledger"))

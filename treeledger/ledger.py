@@ -1,12 +1,15 @@
 """One object with every question a user can ask about stored snapshots."""
 
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeledger.functions.paths import POSIX, PathRules
 from treeledger.operators import browse as B
+from treeledger.operators import cleanup as K
+from treeledger.operators import journal as J
 from treeledger.operators.paging import Page
 from treeledger.operators.rollup import rank_extensions
 from treeledger.plans import report
@@ -14,11 +17,19 @@ from treeledger.plans.comparison import Comparison
 from treeledger.plans.duplicates import DuplicateReview, find_duplicates
 from treeledger.plans.refresh import refresh
 from treeledger.plans.snapshot import build_snapshot
-from treeledger.schema import PAGE_ROWS, READ_BUDGET_BYTES
+from treeledger.schema import PAGE_ROWS, QUARANTINE_NAME, READ_BUDGET_BYTES
 from treeledger.sources.content import digest_files
 from treeledger.sources.store import SnapshotStore, default_pair
 
 
+@dataclass(frozen=True)
+class CleanupPlan:
+    """A verdict per selected id, and the journal rows to append if all are ok."""
+
+    verdicts: DataFrame
+    moves: DataFrame
+
+
 class Ledger:
     """Snapshots below a folder. Tables come back as DataFrames, one-row facts as dicts."""
 
@@ -68,6 +79,31 @@ class Ledger:
                    budget: int | None = READ_BUDGET_BYTES) -> DuplicateReview:
         return find_duplicates(self.store.read(scan_id, "files"), digest, observed, budget)
 
+    def plan_cleanup(self, scan_id: str, ids: list[str], fresh: DataFrame, moves: DataFrame, now: float,
+                     temp_roots: list[str], batch: str, quarantine: str = QUARANTINE_NAME) -> CleanupPlan:
+        """Check selected candidates of a scan against a fresh files table.
+
+        The plan is empty when any of them fails or the quota would be passed.
+        """
+        K.check_selection(ids)
+        found = self.store.summary(scan_id).select(F.inline("candidates"))
+        chosen = found.sparkSession.createDataFrame([(i,) for i in ids], "id string")
+        verdicts = K.revalidate(chosen, found, fresh, now, temp_roots, quarantine, self.rules)
+        return CleanupPlan(verdicts, K.selection_plan(verdicts, moves, now, batch))
+
+    def reconcile(self, moves: DataFrame, present: DataFrame) -> DataFrame:
+        """Journal with new_state, from what lies at both ends of every move."""
+        return J.reconcile(J.presence(moves, present))
+
+    def restore_batch(self, moves: DataFrame, present: DataFrame, batch: str, temp_roots: list[str],
+                      linked: DataFrame | None = None) -> DataFrame:
+        open_rows = J.presence(J.batch_plan(moves, batch), present)
+        return J.restore_verdict(open_rows, temp_roots, linked, self.rules)
+
+    def purge(self, moves: DataFrame, present: DataFrame, temp_roots: list[str],
+              quarantine: str = QUARANTINE_NAME, linked: DataFrame | None = None) -> DataFrame:
+        return J.purge_verdict(J.presence(moves, present), temp_roots, quarantine, linked, self.rules)
+
     def export_inventory(self, scan_id: str, folder: str) -> None:
         report.write_csv(report.inventory_lines(self.store.read(scan_id, "files")), report.INVENTORY_HEADER, folder)
 

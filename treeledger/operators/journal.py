@@ -24,6 +24,20 @@ def presence(moves: DataFrame, present: DataFrame) -> DataFrame:
     return moves.join(end("source"), "source", "left").join(end("destination"), "destination", "left")
 
 
+def current(log: DataFrame, version: str = "version") -> DataFrame:
+    """The newest row per id of an append-only journal; version grows with every change of a row."""
+    columns = [c for c in log.columns if c not in ("id", version)]
+    newest = F.max(F.struct(version, *columns)).alias("row")
+    return log.groupBy("id").agg(newest).select("id", *[F.col(f"row.{c}").alias(c) for c in columns])
+
+
+def transitions(reconciled: DataFrame) -> DataFrame:
+    """Rows whose state the reconciliation changed, ready to be appended to the journal."""
+    changed = reconciled.where(F.col("state") != F.col("new_state"))
+    return changed.select("id", "source", "destination", "size", "fingerprint",
+                          F.col("new_state").alias("state"), "created", "batch")
+
+
 def reconcile(checked: DataFrame) -> DataFrame:
     """New state of every journal row after an interruption; settled states stay."""
     state = F.col("state")

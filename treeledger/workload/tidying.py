@@ -163,6 +163,20 @@ def journal_reconcile(spark, sf):
     return J.reconcile(_checked(spark, sf)).select("id", "state", "new_state")
 
 
+@query("journal_current", "M1 H8", ("moves",), """
+SELECT id, CASE WHEN state = 'pending' AND NOT src AND dst THEN 'quarantined'
+  WHEN state = 'pending' AND src AND NOT dst THEN 'failed'
+  WHEN state = 'restoring' AND src AND NOT dst AND fp_now = fingerprint THEN 'restored'
+  WHEN state = 'purging' AND dst THEN 'quarantined' WHEN state = 'purging' THEN 'purged' ELSE state END AS state, size, batch
+FROM moves""")
+def journal_current(spark, sf):
+    """The journal after the reconciled states were appended to it."""
+    moves, present = _moves(spark, sf)
+    appended = J.transitions(J.reconcile(J.presence(moves, present)))
+    log = moves.withColumn("version", F.lit(1)).unionByName(appended.withColumn("version", F.lit(2)))
+    return J.current(log).select("id", "state", "size", "batch")
+
+
 @query("history_page", "H8", ("moves",), """
 SELECT id, source, destination, size, fingerprint, state, created, batch FROM moves ORDER BY created DESC, id LIMIT 100""")
 def history_page(spark, sf):
