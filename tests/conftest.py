@@ -11,7 +11,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     session = (SparkSession.builder.master("local[4]").appName("treeledger-tests")
                .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4")
-               .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate())
+               .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     return session
 

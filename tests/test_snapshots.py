@@ -3,6 +3,7 @@ import glob
 import io
 import json
 import random
+import types
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,6 +178,14 @@ def test_refresh_needs_a_complete_observation(ledger, spark):
     assert "never" not in {r["id"] for r in ledger.scans().collect()}
 
 
+def test_refresh_past_its_budget_publishes_nothing(ledger, spark, monkeypatch):
+    clock = iter([0.0, 10.0])
+    monkeypatch.setattr(N, "time", types.SimpleNamespace(monotonic=lambda: next(clock), time=lambda: 5.0))
+    with pytest.raises(N.RefreshTimedOut):
+        ledger.refresh("before", "/r/folder", "late", listing(spark, {"/r/folder/x": 1}), timeout_seconds=5)
+    assert "late" not in {r["id"] for r in ledger.scans().collect()}
+
+
 def test_seeded_merges_against_dictionaries(spark, files):
     """Twelve growing observations of one subtree over the same baseline."""
     rng = random.Random(912)

@@ -70,8 +70,11 @@ def _in_one_root(destination: Column, source: Column, roots: list[str], rules: P
     return test
 
 
-def _linked(paths: DataFrame | None, column: str) -> Column:
-    return F.lit(False) if paths is None else F.col(column)
+def _mark_linked(checked: DataFrame, linked: DataFrame | None) -> DataFrame:
+    if linked is None:
+        return checked.withColumn("_linked", F.lit(False))
+    marks = linked.select("id", F.lit(True).alias("_linked"))
+    return checked.join(marks, "id", "left").withColumn("_linked", F.col("_linked").isNotNull())
 
 
 def restore_verdict(checked: DataFrame, roots: list[str], linked: DataFrame | None = None,
@@ -80,14 +83,12 @@ def restore_verdict(checked: DataFrame, roots: list[str], linked: DataFrame | No
 
     linked holds the ids of moves with a link on either way down (one id each).
     """
-    if linked is not None:
-        marks = linked.select("id", F.lit(True).alias("_linked"))
-        checked = checked.join(marks, "id", "left").withColumn("_linked", F.col("_linked").isNotNull())
+    checked = _mark_linked(checked, linked)
     state = F.col("state")
     source, destination = F.col("source_fingerprint").isNotNull(), F.col("destination_fingerprint").isNotNull()
     same_file = ((F.col("source_device") == F.col("destination_device"))
                  & (F.col("source_inode") == F.col("destination_inode")))
-    safe = destination & _in_one_root(F.col("destination"), F.col("source"), roots, rules) & ~_linked(linked, "_linked")
+    safe = destination & _in_one_root(F.col("destination"), F.col("source"), roots, rules) & ~F.col("_linked")
     verdict = (F.when(~state.isin(*RESTORABLE_STATES), "not_in_quarantine")
                .when(source & (state != "restoring"), "source_occupied")
                .when(~safe, "unsafe_path")
@@ -100,12 +101,10 @@ def restore_verdict(checked: DataFrame, roots: list[str], linked: DataFrame | No
 def purge_verdict(checked: DataFrame, roots: list[str], quarantine: str = QUARANTINE_NAME,
                   linked: DataFrame | None = None, rules: PathRules = POSIX) -> DataFrame:
     """Why a purge would be refused, or ok, with the bytes it would release."""
-    if linked is not None:
-        marks = linked.select("id", F.lit(True).alias("_linked"))
-        checked = checked.join(marks, "id", "left").withColumn("_linked", F.col("_linked").isNotNull())
+    checked = _mark_linked(checked, linked)
     folders = [rules.prefix(root) + quarantine for root in roots]
     direct = rules.parent(F.col("destination")).isin(*folders)
-    safe = F.col("destination_fingerprint").isNotNull() & direct & ~_linked(linked, "_linked")
+    safe = F.col("destination_fingerprint").isNotNull() & direct & ~F.col("_linked")
     verdict = (F.when(F.col("state") != "quarantined", "not_in_quarantine")
                .when(~safe, "unsafe_path")
                .when(F.col("destination_fingerprint") != F.col("fingerprint"), "changed")
