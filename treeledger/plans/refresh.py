@@ -79,9 +79,9 @@ def refresh(store: SnapshotStore, baseline: str, selected: str, target: str, lis
     reused = kept.count()
     folders = merge_directories(store.read(baseline, "directories"), found.directories, selected, rules)
     sizes = rollup.directory_totals(rollup.direct_bytes(files), old["root"], folders, rules)
-    directories = store.write_table(target, "directories", rollup.describe_directories(sizes, rules))
-    store.write_table(target, "errors", found.errors)
-    extensions = store.write_table(target, "extensions", rollup.by_extension(files))
+    tables = store.write_tables(target, {
+        "directories": rollup.describe_directories(sizes, rules), "errors": found.errors,
+        "extensions": rollup.by_extension(files)})
 
     end = time.time() if finished_at is None else finished_at
     elapsed = round(time.monotonic() - started, 3)
@@ -101,4 +101,4 @@ def refresh(store: SnapshotStore, baseline: str, selected: str, target: str, lis
         "candidates": F.array().cast(T.ArrayType(CANDIDATES)), "elapsed_seconds": F.lit(elapsed),
         "measurement": F.lit(MEASUREMENT), "refresh": note.select("refresh").scalar(),
     }
-    return store.publish(target, summarize(files, directories, extensions, facts))
+    return store.publish(target, summarize(files, tables["directories"], tables["extensions"], facts))

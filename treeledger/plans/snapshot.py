@@ -68,9 +68,9 @@ def build_snapshot(store: SnapshotStore, scan_id: str, listing: DataFrame, root:
         complete = state.select("complete").scalar()
     files = store.write_table(scan_id, "files", files)
     sizes = rollup.directory_totals(rollup.direct_bytes(files), root, folders, rules)
-    directories = store.write_table(scan_id, "directories", rollup.describe_directories(sizes, rules))
-    store.write_table(scan_id, "errors", found.errors)
-    extensions = store.write_table(scan_id, "extensions", rollup.by_extension(files))
+    tables = store.write_tables(scan_id, {
+        "directories": rollup.describe_directories(sizes, rules), "errors": found.errors,
+        "extensions": rollup.by_extension(files)})
     chosen = cleanup.candidates(cleanup.eligible(files, now, list(temp_roots), root, rules=rules), now)
     counts = found.counts.select(F.struct("errors", "skipped")).scalar()
     end = time.time() if finished_at is None else finished_at
@@ -80,4 +80,4 @@ def build_snapshot(store: SnapshotStore, scan_id: str, listing: DataFrame, root:
         "candidates": ordered_rows(chosen, [F.col("path")], CANDIDATES.fieldNames()),
         "elapsed_seconds": F.lit(round(time.monotonic() - started, 3)), "measurement": F.lit(MEASUREMENT),
     }
-    return store.publish(scan_id, summarize(files, directories, extensions, facts))
+    return store.publish(scan_id, summarize(files, tables["directories"], tables["extensions"], facts))
