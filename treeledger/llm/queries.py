@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeledger.llm import decontamination, packing, repetition, secret_scan, simhash
+from treeledger.llm import decontamination, licenses, packing, repetition, secret_scan, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -134,3 +134,15 @@ def contaminated(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_simhash")
 def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op5_tokens")
+def tokens(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return token_counts.count_tokens(table(spark, sf, "documents"), vocabulary, keep=["doc_id"])
+
+
+@query("op8_licenses")
+def license_notices(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf, "documents"), keep=["doc_id"]))
