@@ -1,0 +1,103 @@
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+from fixtures import documents, odd_texts
+
+from treeledger.llm import repetition, secret_scan
+
+WORD = re.compile("[^\x20\x09-\x0D]+")
+
+
+def plain_base(text):
+    """The contract's patterns, taken literally."""
+    assign = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]""" \
+        r"""|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    spans = [("assign", m.start(), m.end()) for m in re.finditer(assign, text) if len(m[1]) >= 8]
+    spans += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    spans += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    order = ["assign", "access", "hex"]
+    return sorted(spans, key=lambda s: (s[1], order.index(s[0])))
+
+
+def secret_texts():
+    rng = random.Random(5)
+    hexes = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    base = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(44))
+    return [f'é password = "{hexes}"', "PassWord:short", "api_key='abcdefgh' API-key=abcdefgh apikey=a.b-c_d/e=", f"AKIA{'A1' * 8} AKIAX",
+            f"token:token=secret=12345678 {hexes}{hexes}", f"key {base} end", "ſecret=abcdefgh toKen=abcdefgh", "a" * 64, "0" * 40,
+            "123e4567-e89b-12d3-a456-426614174000", "thequickbrownfoxjumpsoverthelazydogandruns", f"x{base.upper()}{base}"]
+
+
+def test_base_patterns_and_redaction(spark):
+    texts = odd_texts() + secret_texts()
+    docs = documents(spark, texts, n_HEX=1, spans="mine")
+    got = secret_scan.scan(docs, keep=["doc_id", "text"]).collect()
+    assert len(got) == docs.count()
+    for row in got:
+        want = plain_base(row.text or "")
+        assert [row.n_assign, row.n_access, row.n_hex] == [sum(s[0] == k for s in want) for k in ("assign", "access", "hex")]
+        said = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert row.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert not want or set(said.split(",")) <= set(row.spans.split(","))
+    spans = {r.text: r.spans for r in got}
+    assert "entropy_base64" in spans[secret_texts()[5]]
+    assert spans["a" * 64].count(":") == 2 and not spans["thequickbrownfoxjumpsoverthelazydogandruns"]
+    assert not spans["123e4567-e89b-12d3-a456-426614174000"]
+    whole = secret_scan.redact(docs)
+    assert whole.schema == docs.schema and whole.count() == docs.count()
+    for row in whole.where("text IS NOT NULL").collect():
+        assert not plain_base(row.text)
+    untouched = {r.doc_id: r for r in docs.collect() if r.text and not spans[r.text]}
+    assert all(r == untouched[r.doc_id] for r in whole.collect() if r.doc_id in untouched)
+
+
+def test_entropy_windows_against_direct_sums():
+    rng = random.Random(2)
+    for _ in range(100):
+        text = "".join(rng.choice("abcdefgh"[:rng.randrange(1, 9)]) for _ in range(rng.randrange(30)))
+        bits = rng.choice([0.5, 1.5, 2.5])
+        hit = set()
+        for i in range(len(text) - 7):
+            n = Counter(text[i:i + 8]).values()
+            if -sum(c / 8 * math.log2(c / 8) for c in n) >= bits - 1e-9:
+                hit |= set(range(i, i + 8))
+        assert hit == {p for a, b in secret_scan.random_spans(text, 8, bits) for p in range(a, b)}
+
+
+def direct(text, rules):
+    words = WORD.findall(text or "")
+    longest = [max((n for j in range(len(words)) if j != i for n in [next((k for k in range(len(words)) if
+               max(i, j) + k >= len(words) or words[i + k] != words[j + k]), 0)]), default=0) for i in range(len(words))]
+    places = {i + k for i, n in enumerate(longest) if n >= 3 for k in range(3)}
+    cover = {i + k for i, n in enumerate(longest) if n >= rules.length for k in range(n)}
+    lines = [line for line in (text or "").split("\n") if WORD.search(line)]
+    failed = len(words) < 50 or 100 * len(places) > 50 * len(words)
+    kept = not failed and len(cover) <= rules.share * len(words) and max(longest, default=0) <= rules.longest
+    return (len(words), sum(map(len, words)), len(re.findall("[#*$%&|<>]", text or "")), len(lines) - len(set(lines)),
+            len(places), len(cover), max(longest, default=0), failed, kept)
+
+
+def test_repetition_against_direct_search(spark):
+    rng = random.Random(3)
+    rules = repetition.Rules(5, 0.25, 30)
+    texts = [t for t in odd_texts() if t is None or len(t) < 3000]
+    for _ in range(40):
+        words = [rng.choice("abcdefghijklmnop") * rng.randrange(1, 4) for _ in range(rng.randrange(160))]
+        at = rng.randrange(len(words) + 1)
+        texts.append(rng.choice([" ", "\n", "  "]).join(words[:at] + words[at // 2:at] + words[at:]))
+    docs = documents(spark, texts, KEPT="no", n_words="text")
+    for row in repetition.judge(docs, rules, keep=["doc_id", "text"]).collect():
+        assert tuple(row)[2:] == direct(row.text, rules), row.text
+    kept = repetition.kept_documents(docs, rules)
+    assert kept.columns == docs.columns
+    want = sorted((r for r in docs.collect() if direct(r.text, rules)[-1]), key=repr)
+    assert sorted(kept.collect(), key=repr) == want
+
+
+@pytest.mark.parametrize("operator", [secret_scan.scan, secret_scan.redact, repetition.judge, repetition.kept_documents])
+def test_empty_tables(spark, operator):
+    assert operator(documents(spark).limit(0)).collect() == []

@@ -3,8 +3,10 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from treeledger.llm import decontamination, licenses, packing, repetition, secret_scan, simhash, token_counts
+from treeledger.llm import (decontamination, language, licenses, packing, page_text, repetition, secret_scan, simhash,
+                            token_counts, url_rules)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,3 +148,37 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_licenses")
 def license_notices(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf, "documents"), keep=["doc_id"]))
+
+
+@query("op9_language")
+def languages(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = language.identify(docs, language.fit(docs), keep=["doc_id"])
+    held_out = F.coalesce(language.remainder("doc_id") == 2, F.lit(False))
+    return found.withColumn("held_out", held_out)
+
+
+@query("op10_page_text")
+def main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return page_text.extract(table(spark, sf, "pages"))
+
+
+URL_SQL = r"""
+    WITH rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS r FROM pages),
+    parts AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+    rules(verdict, h, p, listed) AS (VALUES {rules}),
+    fits AS (SELECT page_id, host, path, verdict, h || p AS rule, listed, row_number() OVER (
+            PARTITION BY page_id, listed ORDER BY length(h || p) DESC, verdict = 'block' DESC, h || p DESC) AS place
+        FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+    SELECT page_id, coalesce(parts.host, '') AS host, coalesce(parts.path, '') AS path, own.rule AS rule,
+        coalesce(own.verdict, other.verdict, 'allow') AS verdict, other.rule AS default_rule
+    FROM parts LEFT JOIN (SELECT * FROM fits WHERE listed AND place = 1) own USING (page_id)
+        LEFT JOIN (SELECT * FROM fits WHERE NOT listed AND place = 1) other USING (page_id)"""
+URL_RULES = ", ".join(f"('{v}', '{h}', '{p}', {listed})" for rules, listed in ((url_rules.RULES, True), (url_rules.DEFAULTS, False))
+                      for v, h, p in rules)
+
+
+@query("op3_urls", URL_SQL.format(rules=URL_RULES))
+def url_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf, "pages"), url_rules.rule_table(spark))
