@@ -29,6 +29,7 @@ HOLDERS = frozenset("ul ol dl table tbody thead tfoot body article main section
 DEPTH = 150  # deeper elements become children of the one at this depth; their text stays
 TRAINING, AGREEING = 8, 3  # pages a wrapper is learned from, pages with different articles that make a text constant
 GROUP_PAGES = 250  # a host with more pages than this may be cut into groups, each with its own wrapper
+HOSTS_CUT = 1 << 16  # a host is cut once it has more than one in so many of all pages, so no more hosts are cut
 WIDE = 10_000  # pairs of children that are still aligned by dynamic programming
 
 
@@ -281,15 +282,15 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """Every page with page_id, url, text and n_chars.
 
     Pages are brought together by host, once. A host with more pages than GROUP_PAGES is cut
-    into groups by a hash of the id, of which fewer than 4096 hosts can have more than one
-    by share, so no task gets a whole hot host. Within a group the pages of the smallest
+    into groups by a hash of the id, unless it has less than one in HOSTS_CUT of all pages; so
+    the list of such hosts is bounded and no task gets a whole hot host. Within a group the pages of the smallest
     hashes teach the wrapper, whatever the partitioning. A null or empty html has an empty
     text; pages without a url form a host of their own; repeated rows stay.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"),
                         host_of(url).alias("host"))
     counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("_rows"))
-    heavy = F.broadcast(heavy_keys(counts, ["host"], at_least=GROUP_PAGES))
+    heavy = F.broadcast(heavy_keys(counts, ["host"], slices=HOSTS_CUT, at_least=GROUP_PAGES))
     order = F.xxhash64("page_id", "url")
     block = F.pmod(order, F.coalesce("_slices", F.lit(1).cast("bigint")))
     dealt = rows.join(heavy, "host", "left").withColumn("block", block).withColumn("order", order)
