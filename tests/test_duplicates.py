@@ -23,52 +23,62 @@ def listed(spark, folder):
 
 
 def test_equal_content_in_real_files(spark, tmp_path):
-    (tmp_path / "folder").mkdir()
-    (tmp_path / "a.txt").write_bytes(b"same")
-    (tmp_path / "folder" / "b.txt").write_bytes(b"same")
-    (tmp_path / "c.bin").write_bytes(b"else")
-    (tmp_path / "zero1").touch()
-    (tmp_path / "zero2").touch()
-    (tmp_path / ".hidden").write_bytes(b"hidden copy")
-    (tmp_path / "_other").write_bytes(b"hidden copy")
+    """Two triples of one size, a lone file of that size, empty files and names the built-in reader skips."""
+    content = {"north/one": b"amber-07", "north/two": b"basil-07", "south/three": b"amber-07", "four": b"basil-07",
+               "south/five": b"cedar-07", ".six": b"amber-07", "_seven": b"basil-07", "void": b"", "south/void": b"", "big": b"x" * 99}
+    for name, data in content.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
     review = find_duplicates(listed(spark, tmp_path), digest_files)
-    groups = {r["sha256"]: r for r in as_dicts(review.groups)}
-    assert groups[hashlib.sha256(b"same").hexdigest()]["potential_bytes"] == 4
-    assert len(groups) == 2
-    members = {(r["path"], r["copies"]) for r in review.members.collect()}
-    assert (str(tmp_path / "folder" / "b.txt"), 2) in members and len(members) == 4
-    assert review.meta.first().asDict() == {"complete": True, "errors": 0, "read_bytes": 34, "reason": None}
-    # The built-in reader sees the same content but no hidden names.
+    want = {hashlib.sha256(data).hexdigest(): {str(tmp_path / n) for n, d in content.items() if d == data}
+            for data in (b"amber-07", b"basil-07")}
+    assert {r["sha256"]: (r["copies"], r["potential_bytes"]) for r in as_dicts(review.groups)} == dict.fromkeys(want, (3, 16))
+    for digest, names in want.items():
+        assert {r["path"] for r in review.members.collect() if r["sha256"] == digest} == names
+    assert review.meta.first().asDict() == {"complete": True, "errors": 0, "read_bytes": 56, "reason": None, "left_out": 0}
+    bounded = find_duplicates(listed(spark, tmp_path), digest_files, max_bytes=50).meta.first()
+    assert (bounded["complete"], bounded["left_out"]) == (False, 1)
     visible = {r["path"]: r["sha256"] for r in digest_binary_files(spark, str(tmp_path)).collect()}
-    assert visible == {str(tmp_path / n): hashlib.sha256(c).hexdigest() for n, c in (
-        ("a.txt", b"same"), ("folder/b.txt", b"same"), ("c.bin", b"else"))}
+    assert visible == {str(tmp_path / n): hashlib.sha256(d).hexdigest() for n, d in content.items() if d and n[0] not in "._"}
+
+
+def pair_of_files(folder):
+    """Two files of equal content."""
+    for name in ("left.dat", "right.dat"):
+        (folder / name).write_bytes(b"twelve bytes")
+    return folder / "right.dat"
 
 
 def test_changed_file_is_not_trusted(spark, tmp_path):
-    for name in ("a.txt", "b.txt"):
-        (tmp_path / name).write_bytes(b"same")
+    second = pair_of_files(tmp_path)
     scanned = listed(spark, tmp_path).cache()
     scanned.count()
-    (tmp_path / "b.txt").write_bytes(b"new content")
+    second.write_bytes(b"something else")
     for observed in (None, listed(spark, tmp_path)):
         review = find_duplicates(scanned, digest_files, observed)
         assert review.groups.count() == 0 and review.meta.first()["errors"] == 1
 
 
 def test_vanished_file_is_an_error(spark, tmp_path):
-    for name in ("a.txt", "b.txt"):
-        (tmp_path / name).write_bytes(b"same")
+    second = pair_of_files(tmp_path)
     scanned = listed(spark, tmp_path).cache()
     scanned.count()
-    (tmp_path / "b.txt").unlink()
+    second.unlink()
     assert find_duplicates(scanned, digest_files).meta.first()["errors"] == 1
     assert find_duplicates(scanned, digest_files, listed(spark, tmp_path)).meta.first()["errors"] == 1
 
 
 def test_hard_links_are_no_copies(files):
-    table = files({"/r/first": (8192, 1, 0), "/r/second": (8192, 1, 0), "/r/other": (8192, 2, 0)})
-    assert {r["path"] for r in D.duplicate_candidates(table).collect()} == {"/r/first", "/r/other"}
-    assert D.duplicate_candidates(table.where("inode = '1'")).count() == 0
+    table = files({"/r/n1": (300, 21, 0), "/r/n2": (300, 21, 0), "/r/n3": (300, 22, 0), "/r/n4": (301, 23, 0), "/r/n5": (301, 23, 0)})
+    assert [r["path"] for r in D.duplicate_candidates(table).orderBy("path").collect()] == ["/r/n1", "/r/n3"]
+
+
+def test_unknown_inodes_are_no_hard_links(files):
+    table = files({f"/r/{i}": (40, 0, 0) for i in range(3)} | {f"/r/n{i}": (50, 1, 0) for i in range(3)})
+    for unknown in ("0", None):
+        some = table.withColumn("inode", F.when(F.col("size") == 50, F.lit("1")).otherwise(F.lit(unknown)))
+        assert D.duplicate_candidates(some).count() == 3
+        assert D.candidate_bytes(some).collect()[0]["bytes"] == 120
 
 
 def test_budget_equals_plain_running_total(spark):

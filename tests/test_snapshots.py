@@ -48,8 +48,9 @@ def test_summary(ledger):
     assert (row["root"], row["files"], row["bytes"], row["complete"], row["coverage_complete"]) == ("/r", 3, 12, True, True)
     assert row["directories"] == [{"path": "/r", "size": 12}, {"path": "/r/folder", "size": 3}, {"path": "/r/folder2", "size": 0}]
     assert [r["path"] for r in row["largest"]] == ["/r/removed.txt", "/r/unchanged.tmp", "/r/folder/resize.txt"]
-    assert row["extensions"] == [{"extension": ".txt", "files": 2, "bytes": 8}, {"extension": ".tmp", "files": 1, "bytes": 4}]
-    assert [c["path"] for c in row["candidates"]] == ["/r/unchanged.tmp"]
+    assert [tuple(r) for r in ledger.extensions("before").collect()] == [(".txt", 2, 8), (".tmp", 1, 4)]
+    assert [c["path"] for c in ledger.candidates("before").collect()] == ["/r/unchanged.tmp"]
+    assert (row["candidate_files"], row["candidate_bytes"]) == (1, 4)
     assert row["unique_bytes"] == 12 and row["allocated_bytes"] == 3 * 4096 and row["refresh"] is None
     partial = ledger.summary("partial")
     assert partial["complete"] is False and partial["coverage_complete"] is False and partial["files"] == 1
@@ -131,8 +132,11 @@ def test_csv_exports(ledger, tmp_path):
 
 
 def test_reports(ledger):
-    value = json.loads(ledger.report("before"))
-    assert value["bytes"] == 12 and value["refresh"] is None and value["candidates"][0]["path"] == "/r/unchanged.tmp"
+    parts = [(r["part"], json.loads(r["report"])) for r in ledger.report("before").collect()]
+    value = dict(parts)["summary"]
+    assert value["bytes"] == 12 and value["refresh"] is None
+    assert [v["path"] for p, v in parts if p == "candidate"] == ["/r/unchanged.tmp"]
+    assert sorted(v["extension"] for p, v in parts if p == "extension") == [".tmp", ".txt"]
     shared = ledger.share_summary("before")
     assert shared["largest_file_bytes"] == [5, 4, 3] and shared["temporary_candidate_bytes"] == 4
     assert "/r" not in json.dumps(shared)
@@ -142,7 +146,7 @@ def test_reports(ledger):
 def test_refresh(ledger, spark):
     inside = listing(spark, {"/r/folder/new.bin": (6, 77), "/outside/x": (9, 78)}, ["/r/folder/empty"])
     row = ledger.refresh("before", "/r/folder", "mixed", inside, finished_at=4.0)
-    assert (row["files"], row["bytes"], row["coverage_complete"], row["candidates"]) == (3, 15, False, [])
+    assert (row["files"], row["bytes"], row["coverage_complete"], row["candidate_files"]) == (3, 15, False, 0)
     note = row["refresh"]
     assert (note["baseline_id"], note["reused_files"], note["scanned_files"], note["path"]) == ("before", 2, 1, "/r/folder")
     assert note["changes"]["counts"] == {"added": 1, "removed": 1, "replaced": 0, "resized": 0, "metadata_changed": 0,
@@ -186,20 +190,19 @@ def test_refresh_past_its_budget_publishes_nothing(ledger, spark, monkeypatch):
     assert "late" not in {r["id"] for r in ledger.scans().collect()}
 
 
-def test_seeded_merges_against_dictionaries(spark, files):
-    """Twelve growing observations of one subtree over the same baseline."""
-    rng = random.Random(912)
-    baseline = files({"/r/sibling/outside.bin": 4, "/r/part/old.bin": 3, "/r/part-two/x": 1})
-    observed = {"/r/part/old.bin": 3}
-    for case in range(12):
-        for i in range(8):
-            observed[f"/r/part/dir-{case}/file-{i}.dat"] = rng.randrange(0, 64)
-        if case % 4 == 3:
-            expected = {"/r/sibling/outside.bin": 4, "/r/part-two/x": 1} | observed
-            merged = N.merge_files(baseline, files(observed), "/r/part")
-            assert {r["path"]: r["size"] for r in merged.collect()} == expected
-            sizes = {r["path"]: r["size"] for r in R.directory_totals(R.direct_bytes(merged), "/r").collect()}
-            assert sizes["/r"] == sum(expected.values()) and sizes["/r/part"] == sum(observed.values())
+def test_a_merge_swaps_one_subtree(spark, files):
+    """Whatever lies in the subtree comes from the observation, all else from the baseline, and sums follow."""
+    rng = random.Random(4411)
+    tree = [f"/r/{a}/{b}{c}" for a in ("keep", "keep.old", "swap", "swap~") for b in ("", "x/", "x/y/") for c in "pqrs"]
+    for _ in range(3):
+        old, new = ({p: rng.randrange(1, 90) for p in rng.sample(tree, 30)} for _ in range(2))
+        merged = N.merge_files(files(old), files(new), "/r/swap")
+        got = {r["path"]: r["size"] for r in merged.collect()}
+        inside = {p for p in tree if p.split("/")[2] == "swap"}
+        assert {p: n for p, n in got.items() if p in inside} == {p: n for p, n in new.items() if p in inside}
+        assert got.keys() - inside == old.keys() - inside and all(got[p] == old[p] for p in got.keys() - inside)
+        sizes = {r["path"]: r["size"] for r in R.directory_totals(R.direct_bytes(merged), "/r").collect()}
+        assert sizes["/r"] - sizes.get("/r/swap", 0) == sum(old[p] for p in old.keys() - inside)
 
 
 def test_hard_link_across_the_scope(spark, files):
@@ -210,14 +213,17 @@ def test_hard_link_across_the_scope(spark, files):
 
 
 def test_cleanup_and_journal(ledger, spark):
-    ident = ledger.summary("before")["candidates"][0]["id"]
+    ident = ledger.candidates("before").first()["id"]
+
+    def ids(*some):
+        return spark.createDataFrame([(i,) for i in some], "id string")
+
     fresh, none = ledger.store.read("before", "files"), spark.createDataFrame([], MOVES)
-    plan = ledger.plan_cleanup("before", [ident], fresh, none, NOW, ["/r"], "b1")
+    plan = ledger.plan_cleanup("before", ids(ident), fresh, none, NOW, ["/r"], "b1")
     move = plan.moves.first()
     assert (move["source"], move["destination"]) == ("/r/unchanged.tmp", f"/r/.quarantine/{ident}")
-    assert ledger.plan_cleanup("before", [ident, "x"], fresh, none, NOW, ["/r"], "b1").moves.count() == 0
-    with pytest.raises(ValueError):
-        ledger.plan_cleanup("before", ["x"] * 501, fresh, none, NOW, ["/r"], "b1")
+    assert ledger.plan_cleanup("before", ids(ident, "x"), fresh, none, NOW, ["/r"], "b1").moves.count() == 0
+    assert ledger.plan_cleanup("before", ids(ident, *map(str, range(700))), fresh, none, NOW, ["/r"], "b1").moves.count() == 0
     present = spark.createDataFrame([(move["destination"], move["fingerprint"], "1", "3")],
                                     "path string, fingerprint string, device string, inode string")
     settled = J.transitions(ledger.reconcile(plan.moves, present))
@@ -246,3 +252,28 @@ def test_root_repair(spark):
         assert [d["size"] for d in listed] == [right, 3]
         folders = spark.createDataFrame([(root, 20), (root + "x", 3)], "path string, size bigint")
         assert sorted(r["size"] for r in repair_directories(folders, summary).collect()) == sorted([right, 3])
+
+
+def test_long_lists_are_whole(spark, tmp_path):
+    """More extensions and candidates than any summary should carry."""
+    content = {f"/r/f{i}.e{i}": 1 for i in range(10_001)} | {f"/r/t{i}.tmp": 2 for i in range(700)}
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    row = ledger.scan("many", listing(spark, content), "/r", NOW, temp_roots=["/r"], finished_at=1.0)
+    assert (row["candidate_files"], row["candidate_bytes"]) == (700, 1400)
+    assert ledger.extensions("many").count() == 10_002 and ledger.candidates("many").count() == 700
+    parts = {r["part"]: r["count"] for r in ledger.report("many").groupBy("part").count().collect()}
+    assert parts == {"summary": 1, "extension": 10_002, "candidate": 700}
+    assert ledger.share_summary("many")["temporary_candidate_count"] == 700
+
+
+def test_denied_root_is_no_complete_scan(ledger, spark, tmp_path):
+    denied = spark.createDataFrame([("/r/folder", "d", 0, 0, 0, "1", "0", "Permission denied")], LISTING)
+    with pytest.raises(ValueError):
+        ledger.refresh("before", "/r/folder", "unseen", denied)
+    assert "unseen" not in {r["id"] for r in ledger.scans().collect()}
+    other = Ledger(spark, str(tmp_path / "ledger"))
+    row = other.scan("denied", denied, "/r/folder", NOW)
+    assert (row["errors"], row["coverage_complete"], row["files"]) == (1, False, 0)
+    linked = spark.createDataFrame([("/r/folder", "l", 0, 0, 0, "1", "0", None)], LISTING)
+    with pytest.raises(ValueError):
+        other.scan("linked", linked, "/r/folder", NOW)

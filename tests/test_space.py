@@ -54,10 +54,10 @@ def test_ingest_rules(spark):
         ("/other/z", "f", 5, None)])
     found = I.ingest(rows, "/r", exclude_paths=["/r/./skip"])
     assert {r["path"]: r["size"] for r in found.files.collect()} == {"/r/a.TXT": 10, "/r/skip-not": 1}
-    assert {r["path"] for r in found.directories.collect()} == {"/r", "/r/d"}
+    assert {r["path"] for r in found.directories.collect()} == {"/r", "/r/d", "/r/denied"}
     assert found.counts.first().asDict() == {"files": 2, "bytes": 11, "errors": 1, "skipped": 3}
     errors = found.errors.collect()
-    assert [e["path"] for e in errors] == ["/r/denied"] and len(errors[0]["reason"]) == 500
+    assert [e["path"] for e in errors] == ["/r/denied"] and errors[0]["reason"] == "no " * 400
     row = next(r for r in as_dicts(found.files) if r["path"] == "/r/a.TXT")
     assert row["extension"] == ".txt" and row["parent"] == "/r" and row["allocated"] == 4096
     assert row["fingerprint"] == "1:1:10:5000000000" and row["modified"] == 5.0

@@ -96,6 +96,12 @@ def extension(name: Column) -> Column:
     return F.when((dot > 0) & (tail != ""), F.lower(F.concat(F.lit("."), tail))).otherwise(F.lit(NO_EXTENSION))
 
 
+def own_path() -> Column:
+    """The path where the inode is unknown, else null: a key that keeps files without identity apart."""
+    unknown = F.col("inode").isNull() | (F.col("inode") == "0")
+    return F.when(unknown, F.col("path")).alias("_own")
+
+
 def fingerprint(device: Column, inode: Column, size: Column, mtime_ns: Column) -> Column:
     return F.concat_ws(":", device, inode, size.cast("string"), mtime_ns.cast("string"))
 

@@ -1,6 +1,5 @@
 """One object with every question a user can ask about stored snapshots."""
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from treeledger.plans.comparison import Comparison
 from treeledger.plans.duplicates import DuplicateReview, find_duplicates
 from treeledger.plans.refresh import refresh
 from treeledger.plans.snapshot import build_snapshot
-from treeledger.schema import PAGE_ROWS, QUARANTINE_NAME, READ_BUDGET_BYTES
+from treeledger.schema import PAGE_ROWS, QUARANTINE_NAME
 from treeledger.sources.content import digest_files
 from treeledger.sources.store import SnapshotStore, default_pair
 
@@ -55,7 +54,7 @@ class Ledger:
         return self.store.summary(scan_id).first().asDict(True)
 
     def extensions(self, scan_id: str) -> DataFrame:
-        """The whole extension ranking, also where it is too long for the summary."""
+        """The whole extension ranking."""
         return rank_extensions(self.store.read(scan_id, "extensions"))
 
     def browse(self, scan_id: str, selected: str = "", query: str = "", offset: int = 0, limit: int = PAGE_ROWS,
@@ -76,19 +75,21 @@ class Ledger:
         return Comparison(self.store, baseline, current, selected, query, kind, self.rules)
 
     def duplicates(self, scan_id: str, digest=digest_files, observed: DataFrame | None = None,
-                   budget: int | None = READ_BUDGET_BYTES) -> DuplicateReview:
-        return find_duplicates(self.store.read(scan_id, "files"), digest, observed, budget)
+                   budget: int | None = None, max_bytes: int | None = None) -> DuplicateReview:
+        """Files of equal content; budget and max_bytes bound what is read, and meta says what they left out."""
+        return find_duplicates(self.store.read(scan_id, "files"), digest, observed, budget, max_bytes)
 
-    def plan_cleanup(self, scan_id: str, ids: list[str], fresh: DataFrame, moves: DataFrame, now: float,
+    def candidates(self, scan_id: str) -> DataFrame:
+        """Every file of the scan that qualified for cleanup."""
+        return self.store.read(scan_id, "candidates")
+
+    def plan_cleanup(self, scan_id: str, selection: DataFrame, fresh: DataFrame, moves: DataFrame, now: float,
                      temp_roots: list[str], batch: str, quarantine: str = QUARANTINE_NAME) -> CleanupPlan:
-        """Check selected candidates of a scan against a fresh files table.
+        """Check selected candidates (a table of ids) of a scan against a fresh files table.
 
         The plan is empty when any of them fails or the quota would be passed.
         """
-        K.check_selection(ids)
-        found = self.store.summary(scan_id).select(F.inline("candidates"))
-        chosen = found.sparkSession.createDataFrame([(i,) for i in ids], "id string")
-        verdicts = K.revalidate(chosen, found, fresh, now, temp_roots, quarantine, self.rules)
+        verdicts = K.revalidate(selection.select("id"), self.candidates(scan_id), fresh, now, temp_roots, quarantine, self.rules)
         return CleanupPlan(verdicts, K.selection_plan(verdicts, moves, now, batch))
 
     def reconcile(self, moves: DataFrame, present: DataFrame) -> DataFrame:
@@ -111,10 +112,9 @@ class Ledger:
         lines = report.comparison_lines(comparison.export_rows())
         report.write_csv(lines, report.COMPARISON_HEADER, folder)
 
-    def report(self, scan_id: str) -> str:
-        """The summary as indented JSON."""
-        text = report.json_report(self.store.summary(scan_id)).first()["report"]
-        return json.dumps(json.loads(text), ensure_ascii=False, indent=2)
+    def report(self, scan_id: str) -> DataFrame:
+        """JSON records (part, report): the summary, and one for each extension and each candidate."""
+        return report.whole_report(self.store.summary(scan_id), self.extensions(scan_id), self.candidates(scan_id))
 
     def share_summary(self, scan_id: str, include_paths: bool = False) -> dict:
         rows = report.share_summary(self.store.summary(scan_id), self.store.read(scan_id, "extensions"), include_paths)

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.functions.paths import POSIX, PathRules
-from treeledger.functions.text import ascii_lower, contains_text, page_count, page_number
+from treeledger.functions.text import ascii_lower, contains_text, page_count, page_number, truncated
 from treeledger.operators.paging import Page, check_page, ordered_slice, rows_after
 from treeledger.schema import PAGE_ROWS
 
@@ -90,6 +90,12 @@ def area_map(items: DataFrame, tiles: int = 24) -> DataFrame:
                         F.greatest(F.lit(0.1), F.col("size") / whole * 100).alias("share"))
 
 
-def error_page(errors: DataFrame, offset: int = 0) -> Page:
-    items = ordered_slice(errors.select("path", "reason"), [F.col("path"), F.col("reason")], offset, PAGE_ROWS)
+def error_page(errors: DataFrame, offset: int = 0, after: dict | None = None, reason_chars: int | None = None) -> Page:
+    """A page of errors; after continues from the last row of the page before, reason_chars cuts for display."""
+    page = errors.select("path", "reason")
+    if after is not None:
+        page = page.where(rows_after([(F.col("path"), False, after["path"]), (F.col("reason"), False, after["reason"])]))
+    items = ordered_slice(page, [F.col("path"), F.col("reason")], offset, PAGE_ROWS)
+    if reason_chars is not None:
+        items = items.withColumn("reason", truncated(F.col("reason"), reason_chars))
     return Page(items, errors.agg(F.count(F.lit(1)).alias("total")))

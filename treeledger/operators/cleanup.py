@@ -8,8 +8,7 @@ from treeledger.functions.text import age_days
 from treeledger.operators.joins import only_paths
 from treeledger.operators.links import rows_by_marked_parent
 from treeledger.schema import (
-    CLEANUP_AGE_DAYS, CLEANUP_EXTENSIONS, DAY_SECONDS, LIVE_STATES, MAX_PAGE_ROWS, QUARANTINE_NAME,
-    QUARANTINE_QUOTA_BYTES, TOP_CANDIDATES,
+    CLEANUP_AGE_DAYS, CLEANUP_EXTENSIONS, DAY_SECONDS, LIVE_STATES, QUARANTINE_NAME, QUARANTINE_QUOTA_BYTES,
 )
 
 
@@ -35,8 +34,8 @@ def eligible(files: DataFrame, now: float, temp_roots: list[str] | DataFrame, to
     return kept if links is None else rows_by_marked_parent(kept, links, top, "left_anti", rules)
 
 
-def candidates(eligible_files: DataFrame, now: float, n: int | None = TOP_CANDIDATES) -> DataFrame:
-    """The first n by path, or all. Ids depend on path and fingerprint only, so a rerun repeats them."""
+def candidates(eligible_files: DataFrame, now: float, n: int | None = None) -> DataFrame:
+    """All, or the first n by path. Ids depend on path and fingerprint only, so a rerun repeats them."""
     ident = F.left(F.sha2(F.concat_ws("\n", "path", "fingerprint"), 256), F.lit(32))
     first = eligible_files if n is None else eligible_files.orderBy("path").limit(n)
     return first.select(ident.alias("id"), "path", "size", "fingerprint",
@@ -47,11 +46,6 @@ def candidate_totals(found: DataFrame) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("candidates"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
-def check_selection(ids: list[str]) -> None:
-    if not 1 <= len(ids) <= MAX_PAGE_ROWS:
-        raise ValueError("select between 1 and 500 candidates")
-
-
 def bad_ids(selection: DataFrame, found: DataFrame) -> DataFrame:
     """Selected ids that are repeated or that no candidate has."""
     counted = selection.groupBy("id").agg(F.count(F.lit(1)).alias("times"))

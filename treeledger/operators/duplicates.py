@@ -3,28 +3,30 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeledger.functions.paths import own_path
 from treeledger.operators.joins import lookup_join, path_join
-from treeledger.schema import MAX_HASHED_BYTES, READ_BUDGET_BYTES
 
 
-def size_window(files: DataFrame, max_bytes: int = MAX_HASHED_BYTES) -> DataFrame:
-    return files.where((F.col("size") > 0) & (F.col("size") <= max_bytes))
+def size_window(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Files that are not empty and, with max_bytes, not larger than that."""
+    filled = files.where("size > 0")
+    return filled if max_bytes is None else filled.where(F.col("size") <= max_bytes)
 
 
-def size_classes(files: DataFrame, max_bytes: int = MAX_HASHED_BYTES) -> DataFrame:
+def size_classes(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Sizes that more than one file has."""
     counts = size_window(files, max_bytes).groupBy("size").agg(F.count(F.lit(1)).alias("files"))
     return counts.where("files > 1")
 
 
 def one_per_identity(files: DataFrame) -> DataFrame:
-    """One name per (device, inode): the first by path. Hard links are not copies."""
+    """One name per (device, inode): the first by path. Hard links are not copies; unknown inodes link nothing."""
     first = F.min(F.struct("path", "fingerprint")).alias("first")
-    return (files.groupBy("size", "device", "inode").agg(first)
+    return (files.groupBy("size", "device", "inode", own_path()).agg(first)
             .select("size", "device", "inode", "first.path", "first.fingerprint"))
 
 
-def duplicate_candidates(files: DataFrame, max_bytes: int = MAX_HASHED_BYTES) -> DataFrame:
+def duplicate_candidates(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Distinct files that share their size with at least one other distinct file."""
     single = one_per_identity(size_window(files, max_bytes))
     counts = single.groupBy("size").agg(F.count(F.lit(1)).alias("_rows"))
@@ -44,23 +46,23 @@ def class_bytes(readable: DataFrame) -> DataFrame:
     return readable.groupBy("size").agg(F.sum("size").alias("bytes"))
 
 
-def candidate_bytes(files: DataFrame, max_bytes: int = MAX_HASHED_BYTES) -> DataFrame:
+def candidate_bytes(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """The same for all candidates of an inventory, from counts alone."""
-    single = size_window(files, max_bytes).select("size", "device", "inode").distinct()
+    single = size_window(files, max_bytes).select("size", "device", "inode", own_path()).distinct()
     counts = single.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
     return counts.where("n > 1").select("size", (F.col("size") * F.col("n")).alias("bytes"))
 
 
-def within_budget(classes: DataFrame, budget: int = READ_BUDGET_BYTES,
-                  max_bytes: int = MAX_HASHED_BYTES) -> DataFrame:
+def within_budget(classes: DataFrame, budget: int) -> DataFrame:
     """Size classes, smallest first, with the bytes read once each is done, as far as the budget goes.
 
-    The running total is taken in two steps over bands of sizes. Sizes are distinct
-    integers up to max_bytes, so with the band width near its square root neither the
-    number of bands nor the classes in one band can pass about 2**16, whatever the data.
+    The running total is taken in two steps over bands of sizes, the band of a size being
+    its square root. Sizes are distinct integers, so neither the number of bands nor the
+    classes in one can pass about twice the root of the largest size (2 million for files
+    of a terabyte). A class costs at least twice its size, so the bands that begin within
+    the budget are fewer than the cube root of twice the budget; that bounds the broadcast.
     """
-    shift = max_bytes.bit_length() // 2
-    banded = classes.where(F.col("size") <= max_bytes).withColumn("band", F.shiftright("size", shift))
+    banded = classes.withColumn("band", F.floor(F.sqrt(F.col("size").cast("double"))))
     bands = banded.groupBy("band").agg(F.sum("bytes").alias("_bytes"))
     all_before = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     starts = bands.select("band", F.coalesce(F.sum("_bytes").over(all_before), F.lit(0)).alias("_start"))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.functions.paths import POSIX, PathRules
+from treeledger.functions.paths import POSIX, PathRules, own_path
 from treeledger.schema import TOP_DIRECTORIES, TOP_FILES
 
 
@@ -45,12 +45,12 @@ def describe_directories(totals: DataFrame, rules: PathRules = POSIX) -> DataFra
 
 
 def identities(files: DataFrame) -> DataFrame:
-    return files.select("device", "inode").distinct()
+    return files.select("device", "inode", own_path()).distinct().drop("_own")
 
 
 def identity_sizes(files: DataFrame) -> DataFrame:
-    """Sizes that count each (device, inode) once, however many names it has."""
-    once = files.groupBy("device", "inode").agg(F.max("size").alias("size"), F.max("allocated").alias("allocated"))
+    """Sizes that count each (device, inode) once, however many names it has; unknown inodes are all different."""
+    once = files.groupBy("device", "inode", own_path()).agg(F.max("size").alias("size"), F.max("allocated").alias("allocated"))
     return once.agg(
         F.coalesce(F.sum("size"), F.lit(0)).alias("unique_bytes"),
         F.coalesce(F.sum("allocated"), F.lit(0)).alias("allocated_bytes"),

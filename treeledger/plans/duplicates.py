@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from treeledger.operators import duplicates as D
 from treeledger.operators.joins import path_join
-from treeledger.schema import MAX_HASHED_BYTES, READ_BUDGET_BYTES
 from treeledger.sources.workspace import materialize
 
 
@@ -22,7 +21,7 @@ class DuplicateReview:
 
 
 def find_duplicates(files: DataFrame, digest: Callable[[DataFrame], DataFrame], observed: DataFrame | None = None,
-                    budget: int | None = READ_BUDGET_BYTES, max_bytes: int = MAX_HASHED_BYTES,
+                    budget: int | None = None, max_bytes: int | None = None,
                     details_complete: bool = True) -> DuplicateReview:
     """Candidates by size, checked against observed, read within the budget, grouped by digest.
 
@@ -35,7 +34,7 @@ def find_duplicates(files: DataFrame, digest: Callable[[DataFrame], DataFrame],
                           else D.recheck(candidates, observed))
     readable = checked.where(~F.col("changed"))
     costs = D.class_bytes(readable)
-    kept = costs if budget is None else D.within_budget(costs, budget, max_bytes)
+    kept = costs if budget is None else D.within_budget(costs, budget)
     chosen = readable if budget is None else D.of_classes(readable, kept)
     # The side that reads content stays on its own: digests meet sizes by path afterwards.
     digests = digest(chosen.select("path", "fingerprint"))
@@ -46,7 +45,8 @@ def find_duplicates(files: DataFrame, digest: Callable[[DataFrame], DataFrame],
     spent = F.coalesce(good.agg(F.sum("size")).scalar(), F.lit(0))
     wanted = F.coalesce(readable.agg(F.sum("size")).scalar(), F.lit(0))
     over = F.lit(False) if budget is None else wanted > budget
+    large = F.lit(0).cast("bigint") if max_bytes is None else files.agg(F.count_if(F.col("size") > max_bytes)).scalar()
     meta = files.sparkSession.range(1).select(
-        (~over & F.lit(details_complete)).alias("complete"), errors.alias("errors"), spent.alias("read_bytes"),
-        F.when(over, F.lit("read budget reached")).alias("reason"))
+        (~over & (large == 0) & F.lit(details_complete)).alias("complete"), errors.alias("errors"), spent.alias("read_bytes"),
+        F.when(over, F.lit("read budget reached")).alias("reason"), large.alias("left_out"))
     return DuplicateReview(D.duplicate_groups(good), D.duplicate_members(good), meta)

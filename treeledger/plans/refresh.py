@@ -10,8 +10,8 @@ from treeledger.functions.paths import POSIX, PathRules
 from treeledger.operators import rollup
 from treeledger.operators import scope_changes as X
 from treeledger.plans.snapshot import summarize
-from treeledger.schema import CANDIDATES, QUARANTINE_NAME, REFRESH
-from treeledger.sources.ingest import ingest
+from treeledger.schema import QUARANTINE_NAME, REFRESH
+from treeledger.sources.ingest import check_root, ingest
 from treeledger.sources.store import SnapshotStore
 from treeledger.sources.workspace import materialize
 
@@ -64,8 +64,7 @@ def refresh(store: SnapshotStore, baseline: str, selected: str, target: str, lis
         raise ValueError("timeout_seconds must be an int between 1 and 3600")
     store.check_new(target)
     old = check_scope(store, baseline, selected, rules)
-    if listing.where((F.col("path") == selected) & (F.col("kind") != "d")).limit(1).count():
-        raise ValueError("the selected directory turned into something else")
+    check_root(listing, selected)
     found = ingest(listing, selected, exclude_paths, quarantine, links_followed, rules)
     counts = found.counts.first()
     if counts["errors"]:
@@ -81,7 +80,8 @@ def refresh(store: SnapshotStore, baseline: str, selected: str, target: str, lis
     sizes = rollup.directory_totals(rollup.direct_bytes(files), old["root"], folders, rules)
     tables = store.write_tables(target, {
         "directories": rollup.describe_directories(sizes, rules), "errors": found.errors,
-        "extensions": rollup.by_extension(files)})
+        "extensions": rollup.by_extension(files),
+        "candidates": store.read(baseline, "candidates").limit(0)})
 
     end = time.time() if finished_at is None else finished_at
     elapsed = round(time.monotonic() - started, 3)
@@ -98,7 +98,7 @@ def refresh(store: SnapshotStore, baseline: str, selected: str, target: str, lis
     facts = {
         "root": F.lit(old["root"]), "errors": F.lit(counts["errors"]), "skipped": F.lit(counts["skipped"]),
         "complete": F.lit(True), "coverage_complete": F.lit(False), "finished_at": F.lit(float(end)),
-        "candidates": F.array().cast(T.ArrayType(CANDIDATES)), "elapsed_seconds": F.lit(elapsed),
+        "candidate_files": F.lit(0), "candidate_bytes": F.lit(0), "elapsed_seconds": F.lit(elapsed),
         "measurement": F.lit(MEASUREMENT), "refresh": note.select("refresh").scalar(),
     }
-    return store.publish(target, summarize(files, tables["directories"], tables["extensions"], facts))
+    return store.publish(target, summarize(files, tables["directories"], facts))

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from treeledger.functions import text as X
 from treeledger.operators.rollup import rank_extensions
-from treeledger.schema import SHARED_PATH_CHARS
 
 BOM = "\ufeff"
 INVENTORY_HEADER = "path,logical_bytes,allocated_bytes,modified_epoch,extension"
@@ -47,12 +46,23 @@ def json_report(summary: DataFrame) -> DataFrame:
     return summary.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("report"))
 
 
+def whole_report(summary: DataFrame, extensions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """JSON records (part, report): one summary, then every extension and every candidate.
+
+    Lists without a bound are rows here, so a report of any size is written in parts.
+    """
+    parts = [json_report(rows).select(F.lit(part).alias("part"), "report")
+             for part, rows in (("summary", summary), ("extension", extensions), ("candidate", candidates))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def read_report(reports: DataFrame, schema) -> DataFrame:
     return reports.select(F.from_json("report", schema).alias("s")).select("s.*")
 
 
-def share_summary(summary: DataFrame, extensions: DataFrame, include_paths: bool = False) -> DataFrame:
-    """What may be shown to others: totals and sizes, paths only on request.
+def share_summary(summary: DataFrame, extensions: DataFrame, include_paths: bool = False,
+                  path_chars: int | None = None) -> DataFrame:
+    """What may be shown to others: totals and sizes, paths only on request, cut for display with path_chars.
 
     Both inputs are stored tables: a one-row summary and the extension totals.
     """
@@ -63,9 +73,8 @@ def share_summary(summary: DataFrame, extensions: DataFrame, include_paths: bool
     columns = [
         F.col("bytes").alias("logical_bytes"), F.col("files").alias("file_count"),
         F.col("errors").alias("unreadable_count"),
-        F.size("candidates").cast("bigint").alias("temporary_candidate_count"),
-        F.aggregate("candidates", F.lit(0).cast("bigint"), lambda total, c: total + c["size"])
-        .alias("temporary_candidate_bytes"),
+        F.col("candidate_files").alias("temporary_candidate_count"),
+        F.col("candidate_bytes").alias("temporary_candidate_bytes"),
         F.transform(F.slice("largest", 1, 10), lambda f: f["size"]).alias("largest_file_bytes"),
         F.lit(include_paths).alias("paths_included"),
         F.coalesce("coverage_complete", F.lit(False)).alias("coverage_complete"),
@@ -74,7 +83,7 @@ def share_summary(summary: DataFrame, extensions: DataFrame, include_paths: bool
     if include_paths:
         def named(column: str, n: int):
             return F.transform(F.slice(column, 1, n), lambda r: F.struct(
-                X.truncated(r["path"], SHARED_PATH_CHARS).alias("path"), r["size"].alias("logical_bytes")))
+                (r["path"] if path_chars is None else X.truncated(r["path"], path_chars)).alias("path"), r["size"].alias("logical_bytes")))
 
         columns += [named("largest", 30).alias("largest_files"), named("directories", 20).alias("largest_directories"),
                     F.lit(NOTICE).alias("notice")]

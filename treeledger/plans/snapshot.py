@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from treeledger.functions.paths import POSIX, PathRules
 from treeledger.operators import cleanup, rollup
-from treeledger.schema import CANDIDATES, QUARANTINE_NAME, SUMMARY
-from treeledger.sources.ingest import ingest, limit_scan
+from treeledger.schema import QUARANTINE_NAME, SUMMARY
+from treeledger.sources.ingest import check_root, ingest, limit_scan
 from treeledger.sources.store import SnapshotStore
 
-# The extensions table is always whole; the summary repeats it only up to this size.
-EMBEDDED_EXTENSIONS = 10_000
 MEASUREMENT = "logical size, size with hard links counted once, allocated size; not an atomic view of a changing tree"
 
 
@@ -23,26 +21,22 @@ def ordered_rows(ranked: DataFrame, rank: list[Column], fields: list[str]) -> Co
     return ranked.agg(F.transform(packed, lambda r: r["row"])).scalar()
 
 
-def summarize(files: DataFrame, directories: DataFrame, extensions: DataFrame, facts: dict) -> DataFrame:
+def summarize(files: DataFrame, directories: DataFrame, facts: dict) -> DataFrame:
     """The summary row of stored tables. facts gives the columns only the scan itself knows."""
     spark = files.sparkSession
     by_size = [-F.col("size"), F.col("path")]
     totals = rollup.file_totals(files).select(F.struct("files", "bytes")).scalar()
     sizes = rollup.identity_sizes(files).select(
         F.struct("unique_bytes", "allocated_bytes", "allocation_errors")).scalar()
-    few = rollup.rank_extensions(extensions).limit(EMBEDDED_EXTENSIONS)
-    embedded = ordered_rows(few, [-F.col("bytes"), F.col("extension")], ["extension", "files", "bytes"])
-    fits = extensions.agg(F.count(F.lit(1))).scalar() <= EMBEDDED_EXTENSIONS
     row = spark.range(1).select(
         totals.alias("t"), sizes.alias("s"),
         ordered_rows(rollup.largest_directories(directories), by_size, ["path", "size"]).alias("directories"),
-        ordered_rows(rollup.largest_files(files), by_size, ["path", "size"]).alias("largest"),
-        F.when(fits, embedded).otherwise(F.array().cast(SUMMARY["extensions"].dataType)).alias("extensions"))
+        ordered_rows(rollup.largest_files(files), by_size, ["path", "size"]).alias("largest"))
     computed = {
         "files": F.col("t.files"), "bytes": F.col("t.bytes"), "inventory_files": F.col("t.files"),
         "unique_bytes": F.col("s.unique_bytes"), "allocated_bytes": F.col("s.allocated_bytes"),
         "allocation_errors": F.col("s.allocation_errors"), "directories": F.col("directories"),
-        "largest": F.col("largest"), "extensions": F.col("extensions"), "details_complete": F.lit(True),
+        "largest": F.col("largest"), "details_complete": F.lit(True),
     } | facts
     empty = F.lit(None)
     return row.select(*[computed.get(f.name, empty).cast(f.dataType).alias(f.name) for f in SUMMARY.fields])
@@ -60,6 +54,7 @@ def build_snapshot(store: SnapshotStore, scan_id: str, listing: DataFrame, root:
     started = time.monotonic()
     store.check_new(scan_id)
     root = rules.normalize(root)
+    check_root(listing, root)
     found = ingest(listing, root, exclude_paths, quarantine, links_followed, rules)
     files, folders = found.files, found.directories
     complete: Column = F.lit(True)
@@ -68,16 +63,17 @@ def build_snapshot(store: SnapshotStore, scan_id: str, listing: DataFrame, root:
         complete = state.select("complete").scalar()
     files = store.write_table(scan_id, "files", files)
     sizes = rollup.directory_totals(rollup.direct_bytes(files), root, folders, rules)
+    chosen = cleanup.candidates(cleanup.eligible(files, now, list(temp_roots), root, rules=rules), now)
     tables = store.write_tables(scan_id, {
         "directories": rollup.describe_directories(sizes, rules), "errors": found.errors,
-        "extensions": rollup.by_extension(files)})
-    chosen = cleanup.candidates(cleanup.eligible(files, now, list(temp_roots), root, rules=rules), now)
+        "extensions": rollup.by_extension(files), "candidates": chosen})
+    planned = cleanup.candidate_totals(tables["candidates"]).select(F.struct("candidates", "bytes")).scalar()
     counts = found.counts.select(F.struct("errors", "skipped")).scalar()
     end = time.time() if finished_at is None else finished_at
     facts = {
         "root": F.lit(root), "errors": counts["errors"], "skipped": counts["skipped"], "complete": complete,
         "coverage_complete": complete & (counts["errors"] == 0), "finished_at": F.lit(float(end)),
-        "candidates": ordered_rows(chosen, [F.col("path")], CANDIDATES.fieldNames()),
+        "candidate_files": planned["candidates"], "candidate_bytes": planned["bytes"],
         "elapsed_seconds": F.lit(round(time.monotonic() - started, 3)), "measurement": F.lit(MEASUREMENT),
     }
-    return store.publish(scan_id, summarize(files, tables["directories"], tables["extensions"], facts))
+    return store.publish(scan_id, summarize(files, tables["directories"], facts))

@@ -8,16 +8,11 @@ CLEANUP_EXTENSIONS = (".tmp", ".log")
 DAY_SECONDS = 86400
 CLEANUP_AGE_DAYS = 7
 BLOCK_BYTES = 512
-MAX_HASHED_BYTES = 1024**3
-READ_BUDGET_BYTES = 10 * 1024**3
 QUARANTINE_QUOTA_BYTES = 2 * 1024**3
 TOP_FILES = 200
 TOP_DIRECTORIES = 100
-TOP_CANDIDATES = 500
 PAGE_ROWS = 100
 MAX_PAGE_ROWS = 500
-REASON_CHARS = 500
-SHARED_PATH_CHARS = 1000
 COMPARISON_KINDS = ("added", "removed", "resized")
 SCOPE_CLASSES = ("added", "removed", "replaced", "resized", "metadata_changed", "unchanged")
 LIVE_STATES = ("quarantined", "pending", "purging", "restoring")
@@ -76,8 +71,8 @@ REFRESH = _struct(
 SUMMARY = _struct(
     ("root", _TEXT), ("bytes", _LONG), ("files", _LONG), ("errors", _LONG), ("skipped", _LONG),
     ("complete", _FLAG), ("directories", T.ArrayType(PATH_SIZE)), ("largest", T.ArrayType(PATH_SIZE)),
-    ("candidates", T.ArrayType(CANDIDATES)), ("finished_at", _REAL), ("elapsed_seconds", _REAL),
-    ("extensions", T.ArrayType(EXTENSIONS)), ("unique_bytes", _LONG), ("allocated_bytes", _LONG),
+    ("candidate_files", _LONG), ("candidate_bytes", _LONG), ("finished_at", _REAL), ("elapsed_seconds", _REAL),
+    ("unique_bytes", _LONG), ("allocated_bytes", _LONG),
     ("allocation_errors", _LONG), ("details_complete", _FLAG), ("coverage_complete", _FLAG),
     ("inventory_files", _LONG), ("measurement", _TEXT), ("refresh", REFRESH),
 )

@@ -7,8 +7,6 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.schema import MAX_HASHED_BYTES
-
 _CHUNK = 1 << 20
 
 
@@ -17,14 +15,15 @@ def digest_column(rows: DataFrame, content: Column, key: str = "path") -> DataFr
     return rows.select(key, F.sha2(content, 256).alias("sha256"))
 
 
-def digest_binary_files(spark: SparkSession, folder: str, max_bytes: int = MAX_HASHED_BYTES) -> DataFrame:
+def digest_binary_files(spark: SparkSession, folder: str, max_bytes: int | None = None) -> DataFrame:
     """Digest every visible file below a folder with the built-in reader.
 
     The length filter reaches the reader, so other files are never opened. The
     reader leaves out names starting with '.' or '_'; digest_files does not.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return (found.where(F.col("length").between(1, max_bytes))
+    wanted = F.col("length") > 0 if max_bytes is None else F.col("length").between(1, max_bytes)
+    return (found.where(wanted)
             .select(F.regexp_replace("path", "^file:(//)?", "").alias("path"),
                     F.sha2("content", 256).alias("sha256")))
 

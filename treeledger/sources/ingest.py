@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from treeledger.functions import paths as P
 from treeledger.functions.paths import POSIX, PathRules
-from treeledger.functions.text import truncated
 from treeledger.operators.links import rows_by_marked_parent
 from treeledger.operators.paging import ordered_slice
 from treeledger.operators.joins import lookup_join
-from treeledger.schema import FILES, QUARANTINE_NAME, REASON_CHARS
+from treeledger.schema import FILES, QUARANTINE_NAME
 
 
 @dataclass(frozen=True)
@@ -44,26 +43,31 @@ def normalize_listing(listing: DataFrame) -> DataFrame:
 
 def classify(listing: DataFrame, root: str, exclude_paths=(), quarantine: str = QUARANTINE_NAME,
              links_followed: bool = False, rules: PathRules = POSIX) -> DataFrame:
-    """Listing rows below root with entry = file, directory, skipped, ignored or error.
+    """Listing rows of root and below with entry = file, directory, skipped, ignored or error.
+
+    Root's own row says only whether root could be read. registered marks directories,
+    also those that could not be read.
 
     Links, the quarantine and excluded paths count as skipped once, at the top;
     whatever lies beneath them is dropped. A lister that follows links needs
     links_followed, which matches every directory's ancestors against the links.
     """
     path = F.col("path")
-    rows = normalize_listing(listing).where(rules.under(path, root))
+    rows = normalize_listing(listing).where(rules.inside(path, root))
+    below = path != root
     excluded = [rules.normalize(p) for p in exclude_paths]
     beneath = rules.has_component_below(path, root, quarantine) | rules.under_any(path, excluded)
     rows = rows.where(~beneath).withColumn("parent", rules.parent(path)).withColumn("name", rules.name(path))
     if links_followed:
         links = rows.where("kind = 'l'").select("path")
         rows = rows_by_marked_parent(rows, links, root, "left_anti", rules)
-    stop = (F.col("kind") == "l") | (F.col("name") == quarantine)
+    stop = below & ((F.col("kind") == "l") | (F.col("name") == quarantine))
     if excluded:
-        stop = stop | path.isin(*excluded)
-    entry = (F.when(F.col("error").isNotNull(), "error").when(stop, "skipped").when(F.col("kind") == "f", "file")
+        stop = stop | (below & path.isin(*excluded))
+    entry = (F.when(F.col("error").isNotNull(), "error").when(stop, "skipped").when(below & (F.col("kind") == "f"), "file")
              .when(F.col("kind") == "d", "directory").otherwise("ignored"))
-    return rows.withColumn("entry", entry)
+    registered = F.coalesce((F.col("kind") == "d") & ~stop, F.lit(False))
+    return rows.withColumn("entry", entry).withColumn("registered", registered)
 
 
 def files_of(classified: DataFrame) -> DataFrame:
@@ -74,13 +78,13 @@ def files_of(classified: DataFrame) -> DataFrame:
 
 
 def directories_of(classified: DataFrame, root: str) -> DataFrame:
-    """Registered directories: those listed, and the root itself."""
+    """Registered directories: those listed, whether or not they could be read, and the root itself."""
     start = classified.sparkSession.range(1).select(F.lit(root).alias("path"))
-    return classified.where("entry = 'directory'").select("path").unionByName(start).distinct()
+    return classified.where("registered").select("path").unionByName(start).distinct()
 
 
 def errors_of(classified: DataFrame) -> DataFrame:
-    return classified.where("entry = 'error'").select("path", truncated(F.col("error"), REASON_CHARS).alias("reason"))
+    return classified.where("entry = 'error'").select("path", F.col("error").alias("reason"))
 
 
 def counts_of(classified: DataFrame) -> DataFrame:
@@ -91,6 +95,12 @@ def counts_of(classified: DataFrame) -> DataFrame:
         F.count_if(entry == "error").alias("errors"), F.count_if(entry == "skipped").alias("skipped"))
 
 
+def check_root(listing: DataFrame, root: str) -> None:
+    """Refuse a listing whose root is a link, or anything else than a directory."""
+    if not listing.where((F.col("path") == root) & (F.col("kind") != "d")).isEmpty():
+        raise ValueError("the root of the listing is no directory")
+
+
 def ingest(listing: DataFrame, root: str, exclude_paths=(), quarantine: str = QUARANTINE_NAME,
            links_followed: bool = False, rules: PathRules = POSIX) -> Ingest:
     rows = classify(listing, root, exclude_paths, quarantine, links_followed, rules)

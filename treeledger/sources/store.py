@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from treeledger import schema as S
 
-TABLES = {"files": S.FILES, "directories": S.DIRECTORIES, "errors": S.ERRORS, "extensions": S.EXTENSIONS}
+TABLES = {"files": S.FILES, "directories": S.DIRECTORIES, "errors": S.ERRORS, "extensions": S.EXTENSIONS,
+          "candidates": S.CANDIDATES}
 _SCAN_ID = re.compile(r"^[A-Za-z0-9._-]{1,128}$")
 
 

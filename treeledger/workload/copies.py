@@ -20,13 +20,13 @@ def _hashed(spark, sf):
     return materialize(candidates.select("path", "size").join(_digests(files), "path"))
 
 
-@query("size_window", "D6", ("newf",), "SELECT path, size FROM newf WHERE size > 0 AND size <= 1073741824")
+@query("size_window", "D6", ("newf",), "SELECT path, size FROM newf WHERE size > 0")
 def size_window(spark, sf):
     return D.size_window(V.new_files(spark, sf)).select("path", "size")
 
 
 @query("size_classes", "F8 D6", ("newf",), """
-SELECT size, count(*) AS files FROM newf WHERE size > 0 AND size <= 1073741824 GROUP BY size HAVING count(*) > 1""")
+SELECT size, count(*) AS files FROM newf WHERE size > 0 GROUP BY size HAVING count(*) > 1""")
 def size_classes(spark, sf):
     return D.size_classes(V.new_files(spark, sf))
 
@@ -85,15 +85,15 @@ SELECT size, bytes, read_bytes FROM (SELECT size, bytes, CAST(sum(bytes) OVER (O
   FROM (SELECT size, CAST(sum(size) AS BIGINT) AS bytes FROM logs WHERE size > 0 GROUP BY size HAVING count(*) > 1))
 WHERE read_bytes <= 10737418240""")
 def log_read_budget(spark, sf):
-    return D.within_budget(D.candidate_bytes(V.log_files(spark, sf)))
+    return D.within_budget(D.candidate_bytes(V.log_files(spark, sf)), 10 * 1024**3)
 
 
 @query("duplicate_review", "N5 E9 F9 G2", ("candidates", "newf"), """
 SELECT sum(size) <= 500000 AS complete, CAST(0 AS BIGINT) AS errors,
   (SELECT CAST(coalesce(max(read_bytes), 0) AS BIGINT) FROM (SELECT sum(bytes) OVER (ORDER BY size) AS read_bytes FROM
     (SELECT size, sum(size) AS bytes FROM candidates GROUP BY size)) WHERE read_bytes <= 500000) AS read_bytes,
-  CASE WHEN sum(size) > 500000 THEN 'read budget reached' END AS reason
-FROM candidates""")
+  CASE WHEN sum(size) > 500000 THEN 'read budget reached' END AS reason,
+  CAST(0 AS BIGINT) AS left_out FROM candidates""")
 def duplicate_review(spark, sf):
     files = V.new_files(spark, sf)
     return find_duplicates(files, lambda rows: _digests(files.join(rows, "path", "left_semi")), files, 500_000).meta

@@ -71,15 +71,16 @@ def inventory_export(spark, sf):
 
 
 @query("quoted_export", "B3", (), """
-SELECT text AS path, CASE WHEN regexp_matches(text, '[",\\r\\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END
+SELECT text AS path, CASE WHEN regexp_matches(text, '[",\\r\\n]') THEN '"' || replace(guarded, '"', '""') || '"' ELSE guarded END
   || ',' || CAST(n_chars AS VARCHAR) || ',,' || CASE doc_id % 4 WHEN 0 THEN '1704067200.0' WHEN 1 THEN '1704067200.25'
-  WHEN 2 THEN '1704067200.5' ELSE '1704067200.75' END || ',.txt' AS line FROM documents WHERE left(text, 1) NOT IN ('=', '+', '-', '@')""")
+  WHEN 2 THEN '1704067200.5' ELSE '1704067200.75' END || ',.txt' AS line FROM
+  (SELECT *, CASE WHEN left(text, 1) IN ('=', '+', '-', '@') THEN '''' || text ELSE text END AS guarded FROM documents)""")
 def quoted_export(spark, sf):
     """Whole texts as names: quotes, commas and line breaks survive."""
     rows = V.table(spark, sf, "documents").select(
         F.col("text").alias("path"), F.col("n_chars").alias("size"), F.lit(None).cast("bigint").alias("allocated"),
         (F.lit(1704067200.0) + (F.col("doc_id") % 4) / 4).alias("modified"), F.lit(".txt").alias("extension"))
-    return report.inventory_lines(rows.where(~F.col("path").rlike(r"^[=+\-@]")))
+    return report.inventory_lines(rows)
 
 
 def _tables(spark, sf):
@@ -89,12 +90,11 @@ def _tables(spark, sf):
 
 
 def _summary(spark, sf):
-    files, directories, extensions = _tables(spark, sf)
+    files, directories, _ = _tables(spark, sf)
     found = K.candidate_totals(K.candidates(K.eligible(files, V.NOW, V.TEMP_ROOTS, V.ROOT), V.NOW))
-    count = found.select("candidates").scalar()
-    facts = {"root": F.lit(V.ROOT), "errors": count * 0, "skipped": count, "complete": F.lit(True),
-             "coverage_complete": F.lit(True)}
-    return summarize(files, directories, extensions, facts)
+    facts = {"root": F.lit(V.ROOT), "candidate_files": found.select("candidates").scalar(),
+             "candidate_bytes": found.select("bytes").scalar(), "complete": F.lit(True), "coverage_complete": F.lit(True)}
+    return summarize(files, directories, facts)
 
 
 _SUMMARY = """SELECT '/data' AS root, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS files,
@@ -102,20 +102,24 @@ _SUMMARY = """SELECT '/data' AS root, CAST(sum(size) AS BIGINT) AS bytes, count(
     (SELECT path, size FROM dirsizes ORDER BY size DESC, path LIMIT 100)) AS directories,
   (SELECT list(struct_pack(path := path, size := size) ORDER BY size DESC, path) FROM
     (SELECT path, size FROM newf ORDER BY size DESC, path LIMIT 200)) AS largest,
-  (SELECT list(struct_pack(extension := extension, files := n, bytes := b) ORDER BY b DESC, extension) FROM
-    (SELECT extension, count(*) AS n, CAST(sum(size) AS BIGINT) AS b FROM newf GROUP BY extension)) AS extensions,
+  (SELECT count(*) FROM temporary) AS candidate_files,
+  (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM temporary) AS candidate_bytes,
   (SELECT CAST(sum(s) AS BIGINT) FROM (SELECT max(size) AS s FROM newf GROUP BY device, inode)) AS unique_bytes,
   (SELECT CAST(sum(a) AS BIGINT) FROM (SELECT max(allocated) AS a FROM newf GROUP BY device, inode)) AS allocated_bytes,
   (SELECT count(*) FROM (SELECT max(allocated) AS a FROM newf GROUP BY device, inode) WHERE a IS NULL) AS allocation_errors
 FROM newf"""
-_KEPT = ["root", "bytes", "files", "directories", "largest", "extensions", "unique_bytes", "allocated_bytes",
+_KEPT = ["root", "bytes", "files", "directories", "largest", "candidate_files", "candidate_bytes", "unique_bytes", "allocated_bytes",
          "allocation_errors"]
 
 
-@query("json_report", "B5 C15", ("newf", "dirsizes"), f"""
-SELECT CAST(to_json(s) AS VARCHAR) AS report FROM ({_SUMMARY}) s""")
+@query("json_report", "B5 C15", ("newf", "dirsizes", "temporary"), f"""
+SELECT 'summary' AS part, CAST(to_json(s) AS VARCHAR) AS report FROM ({_SUMMARY}) s
+UNION ALL SELECT 'extension', CAST(to_json(struct_pack(extension := extension, files := n, bytes := b)) AS VARCHAR) FROM
+  (SELECT extension, count(*) AS n, CAST(sum(size) AS BIGINT) AS b FROM newf GROUP BY extension)
+UNION ALL SELECT 'candidate', CAST(to_json(struct_pack(path := path, size := size)) AS VARCHAR) FROM temporary""")
 def json_report(spark, sf):
-    return report.json_report(_summary(spark, sf).select(*_KEPT))
+    candidates = K.candidates(K.eligible(V.new_files(spark, sf), V.NOW, V.TEMP_ROOTS, V.ROOT), V.NOW)
+    return report.whole_report(_summary(spark, sf).select(*_KEPT), _tables(spark, sf)[2], candidates.select("path", "size"))
 
 
 @query("json_codec", "C15", ("newf", "dirsizes"), """
@@ -134,15 +138,16 @@ def summary_rankings(spark, sf):
     summary = _summary(spark, sf)
     parts = [summary.select(F.lit(name).alias("list"), F.explode(name).alias("r")).select(
         "list", F.col(f"r.{key}").alias("path"), F.col(f"r.{size}").alias("size"))
-        for name, key, size in (("largest", "path", "size"), ("directories", "path", "size"),
-                                ("extensions", "extension", "bytes"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        for name, key, size in (("largest", "path", "size"), ("directories", "path", "size"))]
+    extensions = _tables(spark, sf)[2].select(F.lit("extensions").alias("list"), F.col("extension").alias("path"),
+                                              F.col("bytes").alias("size"))
+    return parts[0].unionByName(parts[1]).unionByName(extensions)
 
 
 _SHARE = """
 SELECT CAST(sum(size) AS BIGINT) AS logical_bytes, count(*) AS file_count, CAST(0 AS BIGINT) AS unreadable_count,
-  (SELECT count(*) FROM (SELECT 1 FROM temporary ORDER BY path LIMIT 500)) AS temporary_candidate_count,
-  (SELECT CAST(sum(size) AS BIGINT) FROM (SELECT size FROM temporary ORDER BY path LIMIT 500)) AS temporary_candidate_bytes,
+  (SELECT count(*) FROM temporary) AS temporary_candidate_count,
+  (SELECT CAST(sum(size) AS BIGINT) FROM temporary) AS temporary_candidate_bytes,
   (SELECT string_agg(CAST(size AS VARCHAR), '|' ORDER BY size DESC, path) FROM
     (SELECT size, path FROM newf ORDER BY size DESC, path LIMIT 10)) AS largest_file_bytes,
   true AS coverage_complete,
@@ -212,11 +217,11 @@ def snapshot_write(spark, sf):
 @query("snapshot_summary", "N1 F1 F5 F12", ("newf", "listing", "temporary"), """
 SELECT '/data' AS root, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, true AS complete, true AS coverage_complete,
   CAST(0 AS BIGINT) AS errors, (SELECT count(*) FROM listing WHERE kind = 'l') + 1 AS skipped,
-  (SELECT least(count(*), 500) FROM temporary) AS candidates, count(*) AS inventory_files FROM newf""")
+  (SELECT count(*) FROM temporary) AS candidates, count(*) AS inventory_files FROM newf""")
 def snapshot_summary(spark, sf):
     row = _stored(spark, sf).store.summary("new")
     return row.select("root", "files", "bytes", "complete", "coverage_complete", "errors", "skipped",
-                      F.size("candidates").alias("candidates"), "inventory_files")
+                      F.col("candidate_files").alias("candidates"), "inventory_files")
 
 
 @query("stored_browse", "A3 H4", ("dirsizes",), """
@@ -269,7 +274,7 @@ def stored_refresh(spark, sf):
         "path", "kind", "size", "allocated", "mtime_ns", "device", "inode")
     ledger.refresh("old", V.SCOPE, "mixed", listing.unionByName(folders, allowMissingColumns=True), finished_at=3.0)
     row = ledger.store.summary("mixed")
-    return row.select("files", "bytes", "coverage_complete", F.size("candidates").alias("candidates"),
+    return row.select("files", "bytes", "coverage_complete", F.col("candidate_files").alias("candidates"),
                       "refresh.baseline_id", "refresh.reused_files", "refresh.scanned_files",
                       "refresh.changes.counts.replaced", "refresh.changes.counts.metadata_changed",
                       "refresh.changes.delta_bytes")

@@ -206,22 +206,71 @@ def share_of_total(spark, sf):
 
 
 @query("access_errors", "A6 C12", ("errors",), """
-SELECT path || '.denied' AS path, left(error, 500) AS reason FROM errors""")
+SELECT path || '.denied' AS path, error AS reason FROM errors""")
 def access_errors(spark, sf):
     denied = V.access_errors(spark, sf).select(F.concat("path", F.lit(".denied")).alias("path"), "error")
     return I.ingest(_listing(spark, sf).unionByName(denied, allowMissingColumns=True), V.ROOT).errors
 
 
 def _errors(spark, sf):
-    return V.access_errors(spark, sf).select("path", X.truncated(F.col("error"), 500).alias("reason"))
+    return V.access_errors(spark, sf).select("path", F.col("error").alias("reason"))
 
 
 @query("errors_page", "H7 A6", ("errors",), """
-SELECT path, left(error, 500) AS reason FROM errors ORDER BY path LIMIT 100 OFFSET 5""")
+SELECT path, error AS reason FROM errors ORDER BY path LIMIT 100 OFFSET 5""")
 def errors_page(spark, sf):
     return B.error_page(_errors(spark, sf), 5).items
 
 
+@query("errors_next_page", "H7", ("errors",), """
+SELECT path, error AS reason FROM errors ORDER BY path LIMIT 100 OFFSET 3""")
+def errors_next_page(spark, sf):
+    """Goes on behind the third row, whose whole reason is part of the key."""
+    errors = _errors(spark, sf)
+    last = errors.orderBy("path").offset(2).limit(1)
+    known = {"path": F.lit(last.select("path").scalar()), "reason": F.lit(last.select("reason").scalar())}
+    return B.error_page(errors, after=known).items
+
+
+def _denied(spark, sf):
+    """The tree with a third of its directories and its root denied."""
+    listing = _listing(spark, sf).withColumn("error", F.lit(None).cast("string"))
+    folders = V.registered(V.new_files(spark, sf), V.EMPTY).select(
+        "path", F.lit("d").alias("kind"), F.when(F.length("path") % 3 == 2, F.lit("denied")).alias("error"))
+    return listing.where("kind <> 'd'").unionByName(folders, allowMissingColumns=True)
+
+
+_DENIED = "length(path) % 3 = 2"
+
+
+@query("denied_directories", "A1 A6", ("dirs",), """
+SELECT path FROM dirs""")
+def denied_directories(spark, sf):
+    """A directory that could not be read is registered all the same."""
+    return I.ingest(_denied(spark, sf), V.ROOT).directories
+
+
+@query("denied_root_counts", "A1 F12 F13", ("dirs", "newf"), f"""
+SELECT (SELECT count(*) FROM newf) AS files, (SELECT count(*) FROM dirs WHERE {_DENIED}) AS errors,
+  (SELECT count(*) FROM dirs WHERE {_DENIED} AND path = '/data') AS root_errors""")
+def denied_root_counts(spark, sf):
+    """The root's own error counts like any other."""
+    found = I.ingest(_denied(spark, sf), V.ROOT)
+    root = found.errors.where(F.col("path") == V.ROOT).agg(F.count(F.lit(1))).scalar()
+    return found.counts.select("files", "errors", root.alias("root_errors"))
+
+
+@query("unknown_inodes", "F5 F16", ("newf",), """
+SELECT CAST(sum(s) AS BIGINT) AS unique_bytes FROM (SELECT max(size) AS s FROM newf
+  GROUP BY device, CASE WHEN path LIKE '%1%' THEN path ELSE inode END)""")
+def unknown_inodes(spark, sf):
+    """Files without an inode, or with 0, are nobody's hard link."""
+    files = V.new_files(spark, sf).withColumn(
+        "inode", F.when(~F.col("path").contains("1"), F.col("inode")).otherwise(
+            F.when(F.length("path") % 2 == 0, F.lit("0"))))
+    return R.identity_sizes(files).select("unique_bytes")
+
+
 @query("error_count", "F13", ("errors",), "SELECT count(*) AS total FROM errors")
 def error_count(spark, sf):
     return B.error_page(_errors(spark, sf)).meta

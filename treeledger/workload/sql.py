@@ -112,7 +112,7 @@ UNION SELECT path FROM dirs WHERE path = '/data/en' OR starts_with(path, '/data/
 SELECT * FROM newf WHERE extension IN ('.tmp', '.log') AND 1704067200 - modified >= 604800
   AND (starts_with(path, '/data/en/') OR starts_with(path, '/data/links/'))""", ("newf",)),
     "single": ("""
-SELECT size, device, inode, min(path) AS path FROM newf WHERE size > 0 AND size <= 1073741824
+SELECT size, device, inode, min(path) AS path FROM newf WHERE size > 0
 GROUP BY size, device, inode""", ("newf",)),
     "candidates": ("""
 SELECT s.* FROM single s JOIN (SELECT size FROM single GROUP BY size HAVING count(*) > 1) USING (size)""", ("single",)),

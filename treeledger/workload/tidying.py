@@ -48,14 +48,14 @@ def link_free_candidates(spark, sf):
 
 
 @query("cleanup_candidates", "H3 D1 C9", ("temporary",), f"""
-SELECT {_ID} AS id, path, size, fingerprint, {_AGE} AS age_days FROM temporary ORDER BY path LIMIT 500""")
+SELECT {_ID} AS id, path, size, fingerprint, {_AGE} AS age_days FROM temporary""")
 def cleanup_candidates(spark, sf):
     return K.candidates(_eligible(spark, sf), V.NOW)
 
 
 @query("candidate_totals", "F10", ("temporary",), """
 SELECT count(*) AS candidates, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes
-FROM (SELECT size FROM temporary ORDER BY path LIMIT 500)""")
+FROM temporary""")
 def candidate_totals(spark, sf):
     return K.candidate_totals(K.candidates(_eligible(spark, sf), V.NOW))
 
