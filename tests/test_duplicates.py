@@ -42,6 +42,20 @@ def test_equal_content_in_real_files(spark, tmp_path):
     assert visible == {str(tmp_path / n): hashlib.sha256(d).hexdigest() for n, d in content.items() if d and n[0] not in "._"}
 
 
+def test_files_behind_links_are_never_read(spark, files):
+    table = files({"/r/a/x": 5, "/r/b/x": 5, "/r/b/c/x": 5, "/r/d/x": 5})
+    links = spark.createDataFrame([("/r/b",)], "path string")
+    asked = []
+
+    def digest(rows):
+        asked.extend(r["path"] for r in rows.collect())
+        return rows.select("path", F.lit("same").alias("sha256"))
+
+    review = find_duplicates(table, digest, links=links, top="/r")
+    assert sorted(asked) == ["/r/a/x", "/r/d/x"] and review.meta.first()["errors"] == 2
+    assert {r["path"] for r in review.members.collect()} == {"/r/a/x", "/r/d/x"}
+
+
 def pair_of_files(folder):
     """Two files of equal content."""
     for name in ("left.dat", "right.dat"):
@@ -105,7 +119,7 @@ def test_budget_keeps_whole_classes_only(spark, files):
     review = find_duplicates(table, digest, budget=9)
     assert [r["size"] for r in review.groups.collect()] == [2]
     assert review.meta.first().asDict() == {"complete": False, "errors": 0, "read_bytes": 4,
-                                            "reason": "read budget reached"}
+                                            "reason": "read budget reached", "left_out": 0}
     assert find_duplicates(table, digest, budget=10).groups.count() == 2
     assert find_duplicates(table, digest, budget=None).meta.first()["complete"] is True
 

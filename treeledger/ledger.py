@@ -44,6 +44,9 @@ class Ledger:
         """Store baseline with one subtree observed again; options are those of refresh."""
         return refresh(self.store, baseline, selected, target, listing, rules=self.rules, **options).first().asDict(True)
 
+    def _root(self, scan_id: str) -> str:
+        return self.store.summary(scan_id).first()["root"]
+
     def scans(self) -> DataFrame:
         return self.store.catalog()
 
@@ -61,7 +64,7 @@ class Ledger:
                recursive: bool = False, sort: str = "size", after: dict | None = None) -> Page:
         """A page of a directory, or of the whole snapshot with recursive."""
         directories = self.store.read(scan_id, "directories")
-        root = self.store.summary(scan_id).first()["root"]
+        root = self._root(scan_id)
         if directories.where(F.col("path") == (selected or root)).isEmpty():
             raise KeyError(selected)
         return B.browse(self.store.read(scan_id, "files"), directories, root, selected, query, offset, limit,
@@ -75,21 +78,25 @@ class Ledger:
         return Comparison(self.store, baseline, current, selected, query, kind, self.rules)
 
     def duplicates(self, scan_id: str, digest=digest_files, observed: DataFrame | None = None,
-                   budget: int | None = None, max_bytes: int | None = None) -> DuplicateReview:
+                   budget: int | None = None, max_bytes: int | None = None,
+                   links: DataFrame | None = None) -> DuplicateReview:
         """Files of equal content; budget and max_bytes bound what is read, and meta says what they left out."""
-        return find_duplicates(self.store.read(scan_id, "files"), digest, observed, budget, max_bytes)
+        return find_duplicates(self.store.read(scan_id, "files"), digest, observed, budget, max_bytes,
+                               links=links, top=self._root(scan_id), rules=self.rules)
 
     def candidates(self, scan_id: str) -> DataFrame:
         """Every file of the scan that qualified for cleanup."""
         return self.store.read(scan_id, "candidates")
 
     def plan_cleanup(self, scan_id: str, selection: DataFrame, fresh: DataFrame, moves: DataFrame, now: float,
-                     temp_roots: list[str], batch: str, quarantine: str = QUARANTINE_NAME) -> CleanupPlan:
+                     temp_roots: list[str], batch: str, quarantine: str = QUARANTINE_NAME,
+                     links: DataFrame | None = None) -> CleanupPlan:
         """Check selected candidates (a table of ids) of a scan against a fresh files table.
 
         The plan is empty when any of them fails or the quota would be passed.
         """
-        verdicts = K.revalidate(selection.select("id"), self.candidates(scan_id), fresh, now, temp_roots, quarantine, self.rules)
+        verdicts = K.revalidate(selection.select("id"), self.candidates(scan_id), fresh, now, temp_roots, quarantine, self.rules,
+                                links, self._root(scan_id))
         return CleanupPlan(verdicts, K.selection_plan(verdicts, moves, now, batch))
 
     def reconcile(self, moves: DataFrame, present: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from treeledger.functions.paths import POSIX, PathRules
 from treeledger.functions.text import age_days
 from treeledger.operators.joins import only_paths
-from treeledger.operators.links import rows_by_marked_parent
+from treeledger.operators.links import ids_under, rows_by_marked_parent
 from treeledger.schema import (
     CLEANUP_AGE_DAYS, CLEANUP_EXTENSIONS, DAY_SECONDS, LIVE_STATES, QUARANTINE_NAME, QUARANTINE_QUOTA_BYTES,
 )
@@ -64,11 +64,13 @@ def quarantine_path(path: Column, ident: Column, temp_roots: list[str], quaranti
 
 
 def revalidate(selection: DataFrame, found: DataFrame, fresh: DataFrame, now: float, temp_roots: list[str],
-               quarantine: str = QUARANTINE_NAME, rules: PathRules = POSIX) -> DataFrame:
+               quarantine: str = QUARANTINE_NAME, rules: PathRules = POSIX, links: DataFrame | None = None,
+               top: str = "/") -> DataFrame:
     """A verdict per selected id against a fresh listing; one failure condemns the batch.
 
     fresh is a files table. Only its rows at the selected paths and their planned
-    destinations matter; both joins are by unique path.
+    destinations matter; both joins are by unique path. With links (paths below top), a
+    file with a link on the way to either end is not eligible.
     """
     chosen = selection.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
     planned = chosen.join(found, "id", "left").withColumn(
@@ -79,6 +81,10 @@ def revalidate(selection: DataFrame, found: DataFrame, fresh: DataFrame, now: fl
     taken = near.select(F.col("path").alias("destination"), F.lit(True).alias("taken"))
     joined = planned.join(seen, "path", "left").join(taken, "destination", "left")
     still = old_temporary(F.col("seen_extension"), F.col("seen_modified"), now) & F.col("destination").isNotNull()
+    if links is not None:
+        linked = ids_under(planned, ["path", "destination"], links, top, rules)
+        joined = joined.join(linked.withColumn("linked", F.lit(True)), "id", "left")
+        still = still & F.col("linked").isNull()
     verdict = (F.when(F.col("times") > 1, "repeated").when(F.col("path").isNull(), "unknown")
                .when(~F.col("fingerprint").eqNullSafe(F.col("seen")), "changed")
                .when(~F.coalesce(still, F.lit(False)), "ineligible")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from treeledger.functions.paths import POSIX, PathRules
 from treeledger.operators.joins import only_paths
 from treeledger.operators.paging import ordered_slice
+from treeledger.operators.links import ids_under
 from treeledger.schema import PAGE_ROWS, QUARANTINE_NAME, RESTORABLE_STATES
 
 
@@ -70,6 +71,12 @@ def _in_one_root(destination: Column, source: Column, roots: list[str], rules: P
     return test
 
 
+def linked_moves(moves: DataFrame, links: DataFrame, top: str, ends: tuple[str, ...] = ("source", "destination"),
+                 rules: PathRules = POSIX) -> DataFrame:
+    """Ids of moves with a link (from a listing of links below top) on the way to one of their ends."""
+    return ids_under(moves, list(ends), links, top, rules)
+
+
 def _mark_linked(checked: DataFrame, linked: DataFrame | None) -> DataFrame:
     if linked is None:
         return checked.withColumn("_linked", F.lit(False))

@@ -19,6 +19,13 @@ def directories_under(directories: DataFrame, marks: DataFrame, root: str, rules
     return lookup_join(chains, marked, ["mark"], "left_semi", ["path"]).select("path").distinct()
 
 
+def ids_under(rows: DataFrame, ends: list[str], links: DataFrame, top: str, rules: PathRules = POSIX) -> DataFrame:
+    """Ids, one each, of rows with a link on the way down to any of the paths in the columns ends."""
+    paths = rows.select("id", F.explode(F.array(*ends)).alias("path")).where("path IS NOT NULL")
+    paths = paths.withColumn("parent", rules.parent(F.col("path")))
+    return rows_by_marked_parent(paths, links, top, "left_semi", rules).select("id").distinct()
+
+
 def rows_by_marked_parent(rows: DataFrame, marks: DataFrame, root: str, how: str,
                           rules: PathRules = POSIX) -> DataFrame:
     """Keep (left_semi) or drop (left_anti) rows whose parent equals or lies below a mark."""

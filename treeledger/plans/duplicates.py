@@ -6,8 +6,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeledger.functions.paths import POSIX, PathRules
 from treeledger.operators import duplicates as D
 from treeledger.operators.joins import path_join
+from treeledger.operators.links import ids_under
 from treeledger.sources.workspace import materialize
 
 
@@ -22,16 +24,22 @@ class DuplicateReview:
 
 def find_duplicates(files: DataFrame, digest: Callable[[DataFrame], DataFrame], observed: DataFrame | None = None,
                     budget: int | None = None, max_bytes: int | None = None,
-                    details_complete: bool = True) -> DuplicateReview:
+                    details_complete: bool = True, links: DataFrame | None = None, top: str = "/",
+                    rules: PathRules = POSIX) -> DuplicateReview:
     """Candidates by size, checked against observed, read within the budget, grouped by digest.
 
     digest turns (path, fingerprint) rows into (path, sha256); a missing or null
-    digest counts as an error. Candidates and digests are each kept in the work folder,
+    digest counts as an error, and so does a file with one of links on the way down from
+    top: it is never read. Candidates and digests are each kept in the work folder,
     so content is read once and everything after starts from those tables.
     """
     candidates = D.duplicate_candidates(files, max_bytes)
-    checked = materialize(candidates.withColumn("changed", F.lit(False)) if observed is None
-                          else D.recheck(candidates, observed))
+    checked = candidates.withColumn("changed", F.lit(False)) if observed is None else D.recheck(candidates, observed)
+    if links is not None:
+        named = checked.select(F.col("path").alias("id"), "path")
+        linked = ids_under(named, ["path"], links, top, rules).select(F.col("id").alias("path"), F.lit(True).alias("linked"))
+        checked = path_join(checked, linked, "left").withColumn("changed", F.col("changed") | F.col("linked").isNotNull())
+    checked = materialize(checked)
     readable = checked.where(~F.col("changed"))
     costs = D.class_bytes(readable)
     kept = costs if budget is None else D.within_budget(costs, budget)

@@ -105,6 +105,18 @@ def candidate_revalidate(spark, sf):
     return _verdicts(spark, sf)
 
 
+@query("revalidate_guards", "E4 D1", ("oldf", "newf"), _FOUND + """
+SELECT id, CASE WHEN verdict <> 'ok' THEN verdict WHEN split_part(path, '/', 4) IN ('2', '5', '12') THEN 'ineligible'
+  WHEN size % 3 = 0 THEN 'collision' ELSE 'ok' END AS verdict FROM verdicts""")
+def revalidate_guards(spark, sf):
+    """Some directories have become links, and some destinations are taken."""
+    found, fresh = _found(spark, sf), V.new_files(spark, sf).drop("text")
+    taken = found.where("size % 3 = 0").select(K.quarantine_path(F.col("path"), F.col("id"), V.TEMP_ROOTS, QUARANTINE_NAME).alias("path"))
+    links = V.registered(fresh).where(F.split_part("path", F.lit("/"), F.lit(4)).isin("2", "5", "12"))
+    return K.revalidate(_selection(found), found, fresh.unionByName(taken, allowMissingColumns=True), V.NOW, V.TEMP_ROOTS,
+                        links=links, top=V.ROOT).select("id", "verdict")
+
+
 @query("batch_allowed", "E4", ("oldf", "newf"), _FOUND + """
 SELECT count(*) AS selected, count(*) FILTER (verdict = 'ok') AS ok, bool_and(verdict = 'ok') AS allowed FROM verdicts""")
 def batch_allowed(spark, sf):
@@ -201,7 +213,10 @@ _LINKED = "split_part(source, '/', 4) IN ('2', '5')"
 
 
 def _linked(spark, sf):
-    return _moves(spark, sf)[0].where(F.split_part("source", F.lit("/"), F.lit(4)).isin("2", "5")).select("id")
+    """Moves below directories that a listing of links names."""
+    moves = _moves(spark, sf)[0]
+    links = V.registered(V.old_files(spark, sf)).where(F.col("path").isin(f"{V.SCOPE}/2", f"{V.SCOPE}/5"))
+    return J.linked_moves(moves, links, V.ROOT)
 
 
 @query("restore_verdict", "M4", ("moves",), f"""
