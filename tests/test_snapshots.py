@@ -188,6 +188,10 @@ def test_refresh_past_its_budget_publishes_nothing(ledger, spark, monkeypatch):
     with pytest.raises(N.RefreshTimedOut):
         ledger.refresh("before", "/r/folder", "late", listing(spark, {"/r/folder/x": 1}), timeout_seconds=5)
     assert "late" not in {r["id"] for r in ledger.scans().collect()}
+    ledger.store.discard("late")
+    ledger.store.check_new("late")
+    with pytest.raises(FileExistsError):
+        ledger.store.discard("before")
 
 
 def test_a_merge_swaps_one_subtree(spark, files):

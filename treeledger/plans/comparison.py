@@ -62,7 +62,8 @@ class Comparison:
     def counts(self) -> DataFrame:
         return C.change_counts(self.rows)
 
-    def page(self, offset: int = 0, limit: int = PAGE_ROWS) -> Page:
+    def page(self, offset: int = 0, limit: int = PAGE_ROWS, after: str | None = None) -> Page:
+        """A page in path order. after takes the last path of the page before and costs the same at any depth."""
         try:
             check_page(offset, limit)
         except ValueError as error:
@@ -71,7 +72,8 @@ class Comparison:
             "*", F.lit(offset).alias("offset"), F.lit(limit).alias("limit"),
             (F.lit(offset + limit) < F.col("total")).alias("has_more"),
             F.lit(self.coverage_complete).alias("coverage_complete"))
-        return Page(ordered_slice(self.rows, [F.col("path")], offset, limit), meta)
+        rows = self.rows if after is None else self.rows.where(F.col("path") > after)
+        return Page(ordered_slice(rows, [F.col("path")], offset, limit), meta)
 
     def export_rows(self) -> DataFrame:
         """Every change with both coverage flags, as the CSV has them."""

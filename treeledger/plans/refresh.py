@@ -13,7 +13,6 @@ from treeledger.plans.snapshot import summarize
 from treeledger.schema import QUARANTINE_NAME, REFRESH
 from treeledger.sources.ingest import check_root, ingest
 from treeledger.sources.store import SnapshotStore
-from treeledger.sources.workspace import materialize
 
 MEASUREMENT = "mixed times: only the selected subtree was observed again, the rest is the baseline; no candidates"
 
@@ -54,6 +53,14 @@ def check_scope(store: SnapshotStore, baseline: str, selected: str, rules: PathR
     return facts
 
 
+def in_time(started: float, timeout_seconds: int) -> float:
+    """Seconds since the start; looked at between the stages and before publication."""
+    elapsed = round(time.monotonic() - started, 3)
+    if elapsed > timeout_seconds:
+        raise RefreshTimedOut(f"not finished within {timeout_seconds} seconds; nothing is published")
+    return elapsed
+
+
 def refresh(store: SnapshotStore, baseline: str, selected: str, target: str, listing: DataFrame,
             exclude_paths=(), quarantine: str = QUARANTINE_NAME, links_followed: bool = False,
             timeout_seconds: int = 300, finished_at: float | None = None,
@@ -65,16 +72,18 @@ def refresh(store: SnapshotStore, baseline: str, selected: str, target: str, lis
     store.check_new(target)
     old = check_scope(store, baseline, selected, rules)
     check_root(listing, selected)
-    found = ingest(listing, selected, exclude_paths, quarantine, links_followed, rules)
+    found = ingest(listing, selected, exclude_paths, quarantine, links_followed, rules, written=True)
     counts = found.counts.first()
     if counts["errors"]:
         raise ValueError("the subtree was not observed completely; nothing is published")
 
     previous = store.read(baseline, "files")
-    observed = materialize(found.files)
+    observed = found.files
     changes = X.summarize(X.classify(previous, observed, selected, rules)).first()
+    in_time(started, timeout_seconds)
     kept = outside(previous, selected, rules)
     files = store.write_table(target, "files", observed, stored=kept)
+    in_time(started, timeout_seconds)
     reused = kept.count()
     folders = merge_directories(store.read(baseline, "directories"), found.directories, selected, rules)
     sizes = rollup.directory_totals(rollup.direct_bytes(files), old["root"], folders, rules)
@@ -84,9 +93,7 @@ def refresh(store: SnapshotStore, baseline: str, selected: str, target: str, lis
         "candidates": store.read(baseline, "candidates").limit(0)})
 
     end = time.time() if finished_at is None else finished_at
-    elapsed = round(time.monotonic() - started, 3)
-    if elapsed > timeout_seconds:
-        raise RefreshTimedOut(f"not finished within {timeout_seconds} seconds; nothing is published")
+    elapsed = in_time(started, timeout_seconds)
     about = {
         "baseline_id": baseline, "baseline_finished_at": old["finished_at"], "path": selected,
         "scanned_files": counts["files"], "reused_files": reused, "observed_at": float(end),

@@ -55,7 +55,7 @@ def build_snapshot(store: SnapshotStore, scan_id: str, listing: DataFrame, root:
     store.check_new(scan_id)
     root = rules.normalize(root)
     check_root(listing, root)
-    found = ingest(listing, root, exclude_paths, quarantine, links_followed, rules)
+    found = ingest(listing, root, exclude_paths, quarantine, links_followed, rules, written=True)
     files, folders = found.files, found.directories
     complete: Column = F.lit(True)
     if max_files is not None or max_dirs is not None:

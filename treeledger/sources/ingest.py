@@ -11,6 +11,7 @@ from treeledger.operators.links import rows_by_marked_parent
 from treeledger.operators.paging import ordered_slice
 from treeledger.operators.joins import lookup_join
 from treeledger.schema import FILES, QUARANTINE_NAME
+from treeledger.sources.workspace import materialize
 
 
 @dataclass(frozen=True)
@@ -102,8 +103,11 @@ def check_root(listing: DataFrame, root: str) -> None:
 
 
 def ingest(listing: DataFrame, root: str, exclude_paths=(), quarantine: str = QUARANTINE_NAME,
-           links_followed: bool = False, rules: PathRules = POSIX) -> Ingest:
+           links_followed: bool = False, rules: PathRules = POSIX, written: bool = False) -> Ingest:
+    """All of a listing. written keeps the classified rows in the work folder, so the listing is read once."""
     rows = classify(listing, root, exclude_paths, quarantine, links_followed, rules)
+    if written:
+        rows = materialize(rows)
     return Ingest(files_of(rows), directories_of(rows, root), errors_of(rows), counts_of(rows))
 
 

@@ -45,6 +45,15 @@ class SnapshotStore:
             if self._exists(self._folder(table, scan_id)):
                 raise FileExistsError(f"snapshot {scan_id} exists already and is not overwritten")
 
+    def discard(self, scan_id: str) -> None:
+        """Drop what a scan left behind that was never published, so that its id can be used again."""
+        jvm = self.spark.sparkContext._jvm
+        if self._exists(self._folder("summary", scan_id) + "/_SUCCESS"):
+            raise FileExistsError(f"snapshot {scan_id} is published and is not dropped")
+        for table in (*TABLES, "summary"):
+            path = jvm.org.apache.hadoop.fs.Path(self._folder(table, scan_id))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def write_table(self, scan_id: str, table: str, df: DataFrame, stored: DataFrame | None = None) -> DataFrame:
         """Write one table of a snapshot and return it as read back from storage.
 

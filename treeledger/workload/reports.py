@@ -250,6 +250,13 @@ def stored_comparison(spark, sf):
     return _stored_pair(spark, sf).compare("old", "new", "/data/en/").page().items
 
 
+@query("compare_next_page", "N2 H6", ("changed",), """
+SELECT path, kind, baseline_size, current_size, delta_bytes FROM changed WHERE path > '/data/en/' ORDER BY path LIMIT 50""")
+def compare_next_page(spark, sf):
+    """Goes on behind a known path instead of counting rows."""
+    return _stored_pair(spark, sf).compare("old", "new").page(limit=50, after="/data/en/").items
+
+
 @query("stored_comparison_meta", "N2 F6 F12", ("changed",), """
 SELECT count(*) FILTER (kind = 'added') AS added, count(*) FILTER (kind = 'removed') AS removed,
   count(*) FILTER (kind = 'resized') AS resized, count(*) AS total, CAST(sum(delta_bytes) AS BIGINT) AS delta_bytes,
