@@ -36,3 +36,15 @@ def test_only_paths(spark):
     table = spark.createDataFrame([("/a",), ("/b",), ("/c",)], "path string")
     some = spark.createDataFrame([("/a", "/c"), (None, "/c")], "s string, d string")
     assert sorted(r["path"] for r in only_paths(table, some.select("s"), some.select("d")).collect()) == ["/a", "/c"]
+
+
+def test_marked_rows_read_their_table_once_more(spark, tmp_path):
+    """Behind the marking of parents, the rows themselves are scanned once."""
+    from treeledger.operators.links import rows_by_marked_parent
+    rows = [(f"/r/{i % 7}/{i}", f"/r/{i % 7}") for i in range(100)]
+    spark.createDataFrame(rows, "path string, parent string").write.parquet(f"{tmp_path}/rows")
+    marks = spark.createDataFrame([("/r/3",), ("/r/5",)], "path string")
+    clear = rows_by_marked_parent(spark.read.parquet(f"{tmp_path}/rows"), marks, "/r", "left_anti")
+    assert {r["path"] for r in clear.collect()} == {p for p, parent in rows if parent not in ("/r/3", "/r/5")}
+    plan = clear._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [path") == 1

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from treeledger.functions.paths import POSIX, PathRules
 from treeledger.operators.joins import lookup_join
+from treeledger.sources.workspace import materialize
 
 
 def directories_under(directories: DataFrame, marks: DataFrame, root: str, rules: PathRules = POSIX) -> DataFrame:
@@ -28,7 +29,11 @@ def ids_under(rows: DataFrame, ends: list[str], links: DataFrame, top: str, rule
 
 def rows_by_marked_parent(rows: DataFrame, marks: DataFrame, root: str, how: str,
                           rules: PathRules = POSIX) -> DataFrame:
-    """Keep (left_semi) or drop (left_anti) rows whose parent equals or lies below a mark."""
-    parents = rows.select(F.col("parent").alias("path")).distinct()
-    hit = directories_under(parents, marks, root, rules).withColumnRenamed("path", "parent")
-    return lookup_join(rows, hit, ["parent"], how, ["path"])
+    """Keep (left_semi) or drop (left_anti) rows whose parent equals or lies below a mark.
+
+    The rows are read twice: for the parents they have, which are kept in the work folder
+    with their numbers of rows and marked there, and for the join with the marked ones.
+    """
+    parents = materialize(rows.groupBy("parent").agg(F.count(F.lit(1)).alias("_rows")))
+    hit = directories_under(parents.select(F.col("parent").alias("path")), marks, root, rules)
+    return lookup_join(rows, materialize(hit.withColumnRenamed("path", "parent")), ["parent"], how, ["path"], parents)
