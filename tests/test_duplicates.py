@@ -82,6 +82,19 @@ def test_vanished_file_is_an_error(spark, tmp_path):
     assert find_duplicates(scanned, digest_files, listed(spark, tmp_path)).meta.first()["errors"] == 1
 
 
+def test_class_filter_loses_nothing(spark):
+    rows = spark.range(5000).selectExpr("id * 7919 AS size", "repeat('content', 9) AS text")
+    classes = rows.where("size % 13 = 0").select("size")
+    kept = D.possibly_of_classes(rows, classes)
+    assert kept.columns == rows.columns
+    sizes = {r["size"] for r in kept.collect()}
+    want = {r["size"] for r in classes.collect()}
+    assert want <= sizes and len(sizes) < len(want) + 50
+    assert D.possibly_of_classes(rows, classes.limit(0)).count() == 0
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "text" in line]
+
+
 def test_hard_links_are_no_copies(files):
     table = files({"/r/n1": (300, 21, 0), "/r/n2": (300, 21, 0), "/r/n3": (300, 22, 0), "/r/n4": (301, 23, 0), "/r/n5": (301, 23, 0)})
     assert [r["path"] for r in D.duplicate_candidates(table).orderBy("path").collect()] == ["/r/n1", "/r/n3"]

@@ -7,6 +7,7 @@ from treeledger.functions.paths import POSIX, PathRules
 from treeledger.functions.text import age_days
 from treeledger.operators.joins import only_paths
 from treeledger.operators.links import ids_under, rows_by_marked_parent
+from treeledger.sources.workspace import materialize
 from treeledger.schema import (
     CLEANUP_AGE_DAYS, CLEANUP_EXTENSIONS, DAY_SECONDS, LIVE_STATES, QUARANTINE_NAME, QUARANTINE_QUOTA_BYTES,
 )
@@ -79,7 +80,13 @@ def revalidate(selection: DataFrame, found: DataFrame, fresh: DataFrame, now: fl
     seen = near.select("path", F.col("fingerprint").alias("seen"), F.col("extension").alias("seen_extension"),
                         F.col("modified").alias("seen_modified"))
     taken = near.select(F.col("path").alias("destination"), F.lit(True).alias("taken"))
-    joined = planned.join(seen, "path", "left").join(taken, "destination", "left")
+    # Unknown ids have no path; a key of their own keeps them from meeting in one task.
+    def key(end: str) -> Column:
+        return F.coalesce(F.col(end), F.concat(F.lit("\0"), F.col("id")))
+
+    joined = (planned.withColumn("_path", key("path")).withColumn("_destination", key("destination"))
+              .join(seen.withColumnRenamed("path", "_path"), "_path", "left")
+              .join(taken.withColumnRenamed("destination", "_destination"), "_destination", "left"))
     still = old_temporary(F.col("seen_extension"), F.col("seen_modified"), now) & F.col("destination").isNotNull()
     if links is not None:
         linked = ids_under(planned, ["path", "destination"], links, top, rules)
@@ -108,7 +115,8 @@ def quota(moves: DataFrame, selected: DataFrame, limit: int = QUARANTINE_QUOTA_B
 
 def selection_plan(verdicts: DataFrame, moves: DataFrame, now: float, batch: str,
                    limit: int = QUARANTINE_QUOTA_BYTES) -> DataFrame:
-    """Journal rows for the whole batch, or none at all."""
+    """Journal rows for the whole batch, or none at all. The verdicts are worked out once and kept."""
+    verdicts = materialize(verdicts)
     valid = batch_allowed(verdicts).select("allowed").scalar()
     room = quota(moves, verdicts.where("verdict = 'ok'"), limit).select("allowed").scalar()
     return verdicts.where(valid & room).select(

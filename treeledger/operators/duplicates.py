@@ -34,6 +34,25 @@ def duplicate_candidates(files: DataFrame, max_bytes: int | None = None) -> Data
     return lookup_join(single, classes, ["size"], "inner", ["path"], counts)
 
 
+FILTER_BITS = 1 << 23
+
+
+def possibly_of_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows whose size may be among those of classes: all that are, and few others.
+
+    A filter of FILTER_BITS bits by hash of the size, at most 257 rows of 4 KB whatever the
+    data, goes to the rows; so rows that carry content are dropped where they are read and
+    never moved.
+    """
+    place = F.pmod(F.xxhash64("size"), F.lit(FILTER_BITS)) + 1
+    bits = (classes.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits")))
+    placed = rows.withColumn("_bit", F.bitmap_bit_position(place)).withColumn("_bucket", F.bitmap_bucket_number(place))
+    byte = F.expr("conv(hex(substring(_bits, CAST(_bit DIV 8 AS INT) + 1, 1)), 16, 10)").cast("int")
+    held = F.bit_get(byte, F.pmod("_bit", F.lit(8)).cast("int")) == 1
+    return placed.join(F.broadcast(bits), "_bucket").where(held).select(*rows.columns)
+
+
 def recheck(candidates: DataFrame, observed: DataFrame) -> DataFrame:
     """Mark candidates whose fingerprint is no longer the one of the scan, or that are gone."""
     now = observed.select("path", F.col("fingerprint").alias("seen"))

@@ -28,7 +28,7 @@ def find_duplicates(files: DataFrame, digest: Callable[[DataFrame], DataFrame],
                     rules: PathRules = POSIX) -> DuplicateReview:
     """Candidates by size, checked against observed, read within the budget, grouped by digest.
 
-    digest turns (path, fingerprint) rows into (path, sha256); a missing or null
+    digest turns (path, fingerprint, size) rows into (path, sha256); a missing or null
     digest counts as an error, and so does a file with one of links on the way down from
     top: it is never read. Candidates and digests are each kept in the work folder,
     so content is read once and everything after starts from those tables.
@@ -45,7 +45,7 @@ def find_duplicates(files: DataFrame, digest: Callable[[DataFrame], DataFrame],
     kept = costs if budget is None else D.within_budget(costs, budget)
     chosen = readable if budget is None else D.of_classes(readable, kept)
     # The side that reads content stays on its own: digests meet sizes by path afterwards.
-    digests = digest(chosen.select("path", "fingerprint"))
+    digests = digest(chosen.select("path", "fingerprint", "size"))
     hashed = materialize(path_join(chosen.select("path", "size"), digests, "left"))
     good = hashed.where(F.col("sha256").isNotNull())
     errors = (checked.agg(F.count_if(F.col("changed"))).scalar()

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from treeledger.operators import duplicates as D
+from treeledger.operators.joins import path_join
 from treeledger.plans.duplicates import find_duplicates
 from treeledger.sources.content import digest_column
 from treeledger.sources.workspace import materialize
@@ -14,10 +15,16 @@ def _digests(files):
     return digest_column(files, F.col("text"))
 
 
+def _digests_of(files, candidates):
+    """Digests of what may be a candidate, made where the text is read."""
+    near = D.possibly_of_classes(files, candidates.select("size").distinct())
+    return path_join(candidates.select("path"), _digests(near), "inner")
+
+
 def _hashed(spark, sf):
     files = V.new_files(spark, sf)
-    candidates = D.duplicate_candidates(files)
-    return materialize(candidates.select("path", "size").join(_digests(files), "path"))
+    candidates = materialize(D.duplicate_candidates(files).select("path", "size"))
+    return materialize(path_join(candidates, _digests_of(files, candidates), "inner"))
 
 
 @query("size_window", "D6", ("newf",), "SELECT path, size FROM newf WHERE size > 0")
@@ -96,4 +103,4 @@ SELECT sum(size) <= 500000 AS complete, CAST(0 AS BIGINT) AS errors,
   CAST(0 AS BIGINT) AS left_out FROM candidates""")
 def duplicate_review(spark, sf):
     files = V.new_files(spark, sf)
-    return find_duplicates(files, lambda rows: _digests(files.join(rows, "path", "left_semi")), files, 500_000).meta
+    return find_duplicates(files, lambda rows: _digests_of(files, rows), files, 500_000).meta
