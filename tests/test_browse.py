@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from treeledger.operators import browse as B
 from treeledger.operators import rollup as R
-from treeledger.operators.paging import ordered_slice
+from treeledger.operators.paging import ordered_slice, placed, placed_slice
 
 
 @pytest.fixture
@@ -68,13 +68,15 @@ def test_pages_and_continuation_cover_everything_once(tree, sort):
     assert B.browse(*tree, "/r", sort=sort, after=last).items.count() == 0
 
 
-def test_deep_slices_equal_shallow_ones(spark):
+def test_slices_and_jumps_into_placed_rows_agree(spark):
     df = spark.range(5000).select((F.col("id") % 7).alias("size"), F.concat(F.lit("/p"), F.col("id").cast("string")).alias("path"))
     order = [F.desc("size"), F.asc("path")]
     whole = [r["path"] for r in df.orderBy(*order).collect()]
+    stored = placed(df.repartition(5), order)
     for offset, limit in ((0, 5), (1234, 300), (4990, 100), (6000, 5), (0, 6000)):
-        rows = ordered_slice(df, order, offset, limit, shallow=0).collect()
-        assert [r["path"] for r in rows] == whole[offset:offset + limit]
+        for rows in (ordered_slice(df, order, offset, limit), placed_slice(stored, offset, limit)):
+            assert [r["path"] for r in rows.collect()] == whole[offset:offset + limit]
+    assert placed_slice(placed(df.limit(0), order), 0, 5).count() == 0
 
 
 def test_area_map(spark):

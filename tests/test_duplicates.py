@@ -73,6 +73,27 @@ def test_changed_file_is_not_trusted(spark, tmp_path):
         assert review.groups.count() == 0 and review.meta.first()["errors"] == 1
 
 
+def test_files_without_a_known_time_are_read(spark, tmp_path):
+    pair_of_files(tmp_path)
+    parts = F.split("fingerprint", ":")
+    unknown = F.concat_ws(":", F.lit("?"), F.lit("?"), parts[2], F.lit("?"))
+    scanned = listed(spark, tmp_path).withColumn("fingerprint", unknown)
+    assert digest_files(scanned).where("sha256 IS NOT NULL").count() == 2
+    wrong = scanned.withColumn("fingerprint", F.lit("?:?:1:?"))
+    assert digest_files(wrong).where("sha256 IS NOT NULL").count() == 0
+
+
+def test_tasks_read_about_as_many_bytes(spark, tmp_path):
+    sizes = [1000] * 3 + [10] * 300
+    for i, size in enumerate(sizes):
+        (tmp_path / f"{i:03}").write_bytes(b"x" * size)
+    tasks = digest_files(listed(spark, tmp_path), partitions=3).withColumn("task", F.spark_partition_id())
+    read = {}
+    for row in tasks.collect():
+        read[row["task"]] = read.get(row["task"], 0) + sizes[int(row["path"][-3:])]
+    assert sum(read.values()) == sum(sizes) and max(read.values()) - min(read.values()) <= 1000
+
+
 def test_vanished_file_is_an_error(spark, tmp_path):
     second = pair_of_files(tmp_path)
     scanned = listed(spark, tmp_path).cache()

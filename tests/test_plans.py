@@ -102,6 +102,9 @@ def test_bucketed_snapshots_compare_without_a_shuffle(spark, tmp_path):
         counts = C.change_counts(changed).first()
         assert (counts["added"], counts["removed"], counts["resized"]) == (1, 1, 497)
         assert exchanges(plan(S.classify(old, new, "/r", colocated=True))) == 0
+        found = ledger.compare("one", "two", bucketed=tuple(names))
+        assert exchanges(plan(found._rows)) == 0 and found.counts().first()["total"] == 499
+        assert [r["path"] for r in found.page(498, 5).items.collect()] == [r["path"] for r in found.rows.collect()][498:]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for name in names:

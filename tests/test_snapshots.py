@@ -236,10 +236,33 @@ def test_cleanup_and_journal(ledger, spark):
     assert [r["state"] for r in moves.collect()] == ["quarantined"]
     assert [r["verdict"] for r in ledger.restore_batch(moves, present, "b1", ["/r"]).collect()] == ["ok"]
     assert [r["released_bytes"] for r in ledger.purge(moves, present, ["/r"]).collect()] == [4]
+    links = spark.createDataFrame([("/r/.quarantine",)], "path string")
+    assert [r["verdict"] for r in ledger.restore_batch(moves, present, "b1", ["/r"], links).collect()] == ["unsafe_path"]
+    assert [r["verdict"] for r in ledger.purge(moves, present, ["/r"], links=links).collect()] == ["unsafe_path"]
     assert ledger.errors("before").meta.first()["total"] == 0
     assert ledger.extensions("before").first()["extension"] == ".txt"
 
 
+def test_bounded_scans_count_only_what_they_came_by(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    rows = listing(spark, {"/r/a/1": 1, "/r/a/2": 2, "/r/b/3": 4, "/r/b/4": 8}, ["/r", "/r/a", "/r/b"])
+    more = spark.createDataFrame([(f"/r/{place}", kind, None, None, None, None, None, error) for place, kind, error in (
+        ("a/0", "f", "denied"), ("a/1l", "l", None), ("b/3l", "l", None), ("b/5", "f", "denied"))], LISTING)
+    def facts(ident, **limits):
+        row = ledger.scan(ident, rows.unionByName(more), "/r", NOW, **limits)
+        return row["files"], row["errors"], row["skipped"], ledger.errors(ident).items.count(), row["complete"]
+    assert facts("whole") == (4, 2, 2, 2, True)
+    assert facts("all", max_files=4) == (4, 2, 2, 2, True)
+    assert facts("three", max_files=3) == (3, 1, 1, 1, False)
+    assert facts("two", max_files=2) == (2, 1, 1, 1, False)
+    assert facts("folders", max_dirs=2) == (2, 1, 1, 1, False)
+
+
+def test_pages_say_whether_details_are_whole(ledger):
+    assert ledger.browse("before").meta.first()["details_complete"] is True
+    assert ledger.errors("before", after={"path": "/r", "reason": ""}).items.count() == 0
+
+
 def test_listing_without_directories(spark, tmp_path):
     """Object stores list files only; directories follow from them."""
     ledger = Ledger(spark, str(tmp_path / "ledger"))

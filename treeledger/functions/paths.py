@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from treeledger.schema import BLOCK_BYTES, NO_EXTENSION
 
+UNKNOWN = "?"  # stands in a fingerprint for what the listing does not say
+
 
 @dataclass(frozen=True)
 class PathRules:
@@ -103,7 +105,8 @@ def own_path() -> Column:
 
 
 def fingerprint(device: Column, inode: Column, size: Column, mtime_ns: Column) -> Column:
-    return F.concat_ws(":", device, inode, size.cast("string"), mtime_ns.cast("string"))
+    """device:inode:size:mtime_ns, with UNKNOWN for a part that the listing does not have."""
+    return F.concat_ws(":", *[F.coalesce(part.cast("string"), F.lit(UNKNOWN)) for part in (device, inode, size, mtime_ns)])
 
 
 def allocated_bytes(blocks: Column) -> Column:

@@ -67,15 +67,22 @@ class Ledger:
         root = self._root(scan_id)
         if directories.where(F.col("path") == (selected or root)).isEmpty():
             raise KeyError(selected)
-        return B.browse(self.store.read(scan_id, "files"), directories, root, selected, query, offset, limit,
+        page = B.browse(self.store.read(scan_id, "files"), directories, root, selected, query, offset, limit,
                         recursive, sort, after, self.rules)
+        whole = self.store.summary(scan_id).select("details_complete").scalar()
+        return Page(page.items, page.meta.withColumn("details_complete", whole))
 
-    def errors(self, scan_id: str, offset: int = 0) -> Page:
-        return B.error_page(self.store.read(scan_id, "errors"), offset)
+    def errors(self, scan_id: str, offset: int = 0, after: dict | None = None) -> Page:
+        return B.error_page(self.store.read(scan_id, "errors"), offset, after)
+
+    def discard(self, scan_id: str) -> None:
+        """Free the id of a scan that was never published."""
+        self.store.discard(scan_id)
 
     def compare(self, baseline: str, current: str, selected: str = "", query: str = "",
-                kind: str = "all") -> Comparison:
-        return Comparison(self.store, baseline, current, selected, query, kind, self.rules)
+                kind: str = "all", bucketed: tuple[str, str] | None = None) -> Comparison:
+        """bucketed: the tables that store.bucket made of both snapshots, for a join that moves no row."""
+        return Comparison(self.store, baseline, current, selected, query, kind, self.rules, bucketed)
 
     def duplicates(self, scan_id: str, digest=digest_files, observed: DataFrame | None = None,
                    budget: int | None = None, max_bytes: int | None = None,
@@ -104,12 +111,16 @@ class Ledger:
         return J.reconcile(J.presence(moves, present))
 
     def restore_batch(self, moves: DataFrame, present: DataFrame, batch: str, temp_roots: list[str],
-                      linked: DataFrame | None = None) -> DataFrame:
-        open_rows = J.presence(J.batch_plan(moves, batch), present)
-        return J.restore_verdict(open_rows, temp_roots, linked, self.rules)
-
-    def purge(self, moves: DataFrame, present: DataFrame, temp_roots: list[str],
-              quarantine: str = QUARANTINE_NAME, linked: DataFrame | None = None) -> DataFrame:
+                      links: DataFrame | None = None, top: str = "/") -> DataFrame:
+        """links: the paths of links below top; a move with one on the way to either end is unsafe."""
+        plan = J.batch_plan(moves, batch)
+        linked = None if links is None else J.linked_moves(plan, links, top, rules=self.rules)
+        return J.restore_verdict(J.presence(plan, present), temp_roots, linked, self.rules)
+
+    def purge(self, moves: DataFrame, present: DataFrame, temp_roots: list[str], quarantine: str = QUARANTINE_NAME,
+              links: DataFrame | None = None, top: str = "/") -> DataFrame:
+        """links: the paths of links below top; a move with one on the way to its destination is unsafe."""
+        linked = None if links is None else J.linked_moves(moves, links, top, ("destination",), self.rules)
         return J.purge_verdict(J.presence(moves, present), temp_roots, quarantine, linked, self.rules)
 
     def export_inventory(self, scan_id: str, folder: str) -> None:

@@ -1,19 +1,14 @@
-"""Stable pages: shallow ones by top-k, deep ones by rank, and keyset continuation."""
+"""Stable pages: top-k, keyset continuation, and jumps into rows written out in order."""
 
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeledger.schema import MAX_PAGE_ROWS
 from treeledger.sources.workspace import materialize
 
-# Up to here every task keeps a bounded heap of offset + limit rows. Beyond it a
-# heap would grow with the offset, so rows are ranked where they lie instead.
-SHALLOW_ROWS = 100_000
-
-
 @dataclass(frozen=True)
 class Page:
     """One page of rows and a one-row table describing it."""
@@ -27,26 +22,38 @@ def check_page(offset, limit) -> None:
         raise ValueError("offset must be an int >= 0 and limit an int between 1 and 500")
 
 
-def ordered_slice(df: DataFrame, order: list[Column], offset: int, limit: int,
-                  shallow: int = SHALLOW_ROWS) -> DataFrame:
-    """Rows offset .. offset + limit of the given total order."""
-    if offset + limit <= shallow:
-        return df.orderBy(*order).offset(offset).limit(limit)
-    # A sorted frame numbers its rows (partition, position) in sort order. Written
-    # out once, a count per partition turns the wanted ranks into one id interval.
-    placed = materialize(df.orderBy(*order).withColumn("_seq", F.monotonically_increasing_id()))
-    sizes = (placed.groupBy(F.shiftright("_seq", 33).alias("part")).agg(F.count(F.lit(1)).alias("rows"))
-             .orderBy("part").collect())  # one row per partition
-
-    def seq_of(rank: int) -> int:
-        for row in sizes:
-            if rank < row["rows"]:
-                return (row["part"] << 33) + rank
-            rank -= row["rows"]
-        return 1 << 62
-
-    first, last = seq_of(offset), seq_of(offset + limit)
-    return placed.where((F.col("_seq") >= first) & (F.col("_seq") < last)).orderBy("_seq").drop("_seq")
+def ordered_slice(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """Rows offset .. offset + limit of the given total order; lazy, and one plan at every depth.
+
+    A task keeps offset + limit rows at most: in a heap, or in a sort that spills from
+    spark.sql.execution.topKSortFallbackThreshold rows on. rows_after costs the same at
+    any depth, and placed_slice serves jumps into rows that are written out anyway.
+    """
+    return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows written out in a total order, each with its part and its place therein as one number, _seq."""
+    return materialize(df.orderBy(*order).withColumn("_seq", F.monotonically_increasing_id()))
+
+
+def placed_slice(rows: DataFrame, offset: int, limit: int) -> DataFrame:
+    """Rows offset .. offset + limit of placed rows, at the same cost for any offset.
+
+    A count per part (as many rows as the write had tasks) turns the ranks into one
+    interval of _seq, and only what lies in it is read with all its columns.
+    """
+    part, count = F.shiftright("_seq", 33).alias("part"), F.count(F.lit(1)).alias("rows")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(part).agg(count).withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+
+    def seq_of(rank: int) -> Column:
+        here = parts.where((F.col("start") <= rank) & (F.col("start") + F.col("rows") > rank))
+        found = here.agg(F.max(F.shiftleft("part", 33) + (F.lit(rank) - F.col("start")))).scalar()
+        return F.coalesce(found, F.lit(1 << 62))
+
+    inside = (F.col("_seq") >= seq_of(offset)) & (F.col("_seq") < seq_of(offset + limit))
+    return rows.where(inside).orderBy("_seq").drop("_seq")
 
 
 def rows_after(keys: list[tuple[Column, bool, object]]) -> Column:

@@ -5,10 +5,9 @@ from pyspark.sql import functions as F
 
 from treeledger.functions.paths import POSIX, PathRules
 from treeledger.operators import compare as C
-from treeledger.operators.paging import Page, check_page, ordered_slice
+from treeledger.operators.paging import Page, check_page, ordered_slice, placed, placed_slice
 from treeledger.schema import PAGE_ROWS
 from treeledger.sources.store import SnapshotStore
-from treeledger.sources.workspace import materialize
 
 NOT_COVERED = ("at least one scan did not cover everything: added and removed may come from cancellation, "
                "permissions or scope and prove no real change")
@@ -25,10 +24,14 @@ class ScopeNotFound(ComparisonError):
 
 
 class Comparison:
-    """A validated comparison. Its rows are computed once; counts, pages and exports share them."""
+    """A validated comparison. Its rows are computed once; counts, pages and exports share them.
+
+    bucketed names the catalog tables that SnapshotStore.bucket made of both snapshots,
+    baseline first; with them no row is moved for the join.
+    """
 
     def __init__(self, store: SnapshotStore, baseline: str, current: str, selected: str = "", query: str = "",
-                 kind: str = "all", rules: PathRules = POSIX):
+                 kind: str = "all", rules: PathRules = POSIX, bucketed: tuple[str, str] | None = None):
         try:
             C.check_kind(kind)
         except ValueError as error:
@@ -48,22 +51,26 @@ class Comparison:
         self.coverage_complete = bool(old["coverage_complete"]) and bool(new["coverage_complete"])
         self.warnings = [] if self.coverage_complete else [NOT_COVERED]
         self.measurement = MEASUREMENT
-        self._rows = C.changes(store.read(baseline, "files"), store.read(current, "files"),
-                               self.path, query, kind, rules)
+        files = ([store.spark.table(name) for name in bucketed] if bucketed
+                 else [store.read(ident, "files") for ident in (baseline, current)])
+        self._rows = C.changes(*files, self.path, query, kind, rules, colocated=bool(bucketed))
         self._stored: DataFrame | None = None
 
-    @property
-    def rows(self) -> DataFrame:
-        """All matching changes. The join runs on first use and its result is kept in the work folder."""
+    def _placed(self) -> DataFrame:
         if self._stored is None:
-            self._stored = materialize(self._rows)
+            self._stored = placed(self._rows, [F.col("path")])
         return self._stored
 
+    @property
+    def rows(self) -> DataFrame:
+        """All matching changes. The join runs on first use; its result is kept in the work folder, in path order."""
+        return self._placed().drop("_seq")
+
     def counts(self) -> DataFrame:
         return C.change_counts(self.rows)
 
     def page(self, offset: int = 0, limit: int = PAGE_ROWS, after: str | None = None) -> Page:
-        """A page in path order. after takes the last path of the page before and costs the same at any depth."""
+        """A page in path order, at the same cost at any depth. after takes the last path of the page before."""
         try:
             check_page(offset, limit)
         except ValueError as error:
@@ -72,8 +79,9 @@ class Comparison:
             "*", F.lit(offset).alias("offset"), F.lit(limit).alias("limit"),
             (F.lit(offset + limit) < F.col("total")).alias("has_more"),
             F.lit(self.coverage_complete).alias("coverage_complete"))
-        rows = self.rows if after is None else self.rows.where(F.col("path") > after)
-        return Page(ordered_slice(rows, [F.col("path")], offset, limit), meta)
+        if after is None:
+            return Page(placed_slice(self._placed(), offset, limit), meta)
+        return Page(ordered_slice(self.rows.where(F.col("path") > after), [F.col("path")], offset, limit), meta)
 
     def export_rows(self) -> DataFrame:
         """Every change with both coverage flags, as the CSV has them."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from treeledger.functions.paths import POSIX, PathRules
 from treeledger.operators import cleanup, rollup
 from treeledger.schema import QUARANTINE_NAME, SUMMARY
-from treeledger.sources.ingest import check_root, ingest, limit_scan
+from treeledger.sources.ingest import check_root, counts_of, errors_of, ingest, limit_scan, seen_by
 from treeledger.sources.store import SnapshotStore
 
 MEASUREMENT = "logical size, size with hard links counted once, allocated size; not an atomic view of a changing tree"
@@ -56,19 +56,22 @@ def build_snapshot(store: SnapshotStore, scan_id: str, listing: DataFrame, root:
     root = rules.normalize(root)
     check_root(listing, root)
     found = ingest(listing, root, exclude_paths, quarantine, links_followed, rules, written=True)
-    files, folders = found.files, found.directories
+    files, folders, errors, counted = found.files, found.directories, found.errors, found.counts
     complete: Column = F.lit(True)
     if max_files is not None or max_dirs is not None:
         files, folders, state = limit_scan(files, folders, max_files, max_dirs)
         complete = state.select("complete").scalar()
     files = store.write_table(scan_id, "files", files)
+    if max_files is not None or max_dirs is not None:
+        seen = seen_by(found.rows, files, folders, state, root)
+        errors, counted = errors_of(seen), counts_of(seen)
     sizes = rollup.directory_totals(rollup.direct_bytes(files), root, folders, rules)
     chosen = cleanup.candidates(cleanup.eligible(files, now, list(temp_roots), root, rules=rules), now)
     tables = store.write_tables(scan_id, {
-        "directories": rollup.describe_directories(sizes, rules), "errors": found.errors,
+        "directories": rollup.describe_directories(sizes, rules), "errors": errors,
         "extensions": rollup.by_extension(files), "candidates": chosen})
     planned = cleanup.candidate_totals(tables["candidates"]).select(F.struct("candidates", "bytes")).scalar()
-    counts = found.counts.select(F.struct("errors", "skipped")).scalar()
+    counts = counted.select(F.struct("errors", "skipped")).scalar()
     end = time.time() if finished_at is None else finished_at
     facts = {
         "root": F.lit(root), "errors": counts["errors"], "skipped": counts["skipped"], "complete": complete,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from treeledger.functions import paths as P
 from treeledger.functions.paths import POSIX, PathRules
 from treeledger.operators.links import rows_by_marked_parent
-from treeledger.operators.paging import ordered_slice
+from treeledger.operators.paging import placed, placed_slice
 from treeledger.operators.joins import lookup_join
 from treeledger.schema import FILES, QUARANTINE_NAME
 from treeledger.sources.workspace import materialize
@@ -16,8 +16,9 @@ from treeledger.sources.workspace import materialize
 
 @dataclass(frozen=True)
 class Ingest:
-    """What one listing amounts to. counts is one row: files, bytes, errors, skipped."""
+    """What one listing amounts to. rows is the classified listing, counts one row: files, bytes, errors, skipped."""
 
+    rows: DataFrame
     files: DataFrame
     directories: DataFrame
     errors: DataFrame
@@ -108,22 +109,38 @@ def ingest(listing: DataFrame, root: str, exclude_paths=(), quarantine: str = QU
     rows = classify(listing, root, exclude_paths, quarantine, links_followed, rules)
     if written:
         rows = materialize(rows)
-    return Ingest(files_of(rows), directories_of(rows, root), errors_of(rows), counts_of(rows))
+    return Ingest(rows, files_of(rows), directories_of(rows, root), errors_of(rows), counts_of(rows))
 
 
 def limit_scan(files: DataFrame, directories: DataFrame, max_files: int | None = None,
                max_dirs: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A bounded scan in path order: files, directories, and a one-row table (complete)."""
+    """A bounded scan in path order: files, directories, and a one-row table (complete, cut).
+
+    cut says that files were left out, complete that nothing was. What a limit applies to is
+    written out in path order, so that a large limit gathers in no single task.
+    """
     for limit in (max_files, max_dirs):
         if limit is not None and limit < 1:
             raise ValueError("scan limits must be at least 1")
-    complete = F.lit(True)
+    complete, cut = F.lit(True), F.lit(False)
     path = [F.col("path")]
     if max_dirs is not None:
         complete = complete & (directories.agg(F.count(F.lit(1))).scalar() <= max_dirs)
-        directories = ordered_slice(directories, path, 0, max_dirs)
+        directories = placed_slice(placed(directories, path), 0, max_dirs)
         files = lookup_join(files, directories.select(F.col("path").alias("parent")), ["parent"], "left_semi", ["path"])
     if max_files is not None:
-        complete = complete & (files.agg(F.count(F.lit(1))).scalar() <= max_files)
-        files = ordered_slice(files, path, 0, max_files)
-    return files, directories, files.sparkSession.range(1).select(complete.alias("complete"))
+        cut = files.agg(F.count(F.lit(1))).scalar() > max_files
+        complete = complete & ~cut
+        files = placed_slice(placed(files, path), 0, max_files)
+    return files, directories, files.sparkSession.range(1).select(complete.alias("complete"), cut.alias("cut"))
+
+
+def seen_by(rows: DataFrame, files: DataFrame, directories: DataFrame, state: DataFrame, root: str) -> DataFrame:
+    """Classified rows that a bounded scan came by: the root's own, and those in its directories; where files
+    were cut, up to the last it kept."""
+    below = F.col("path") != root
+    inside = lookup_join(rows.where(below), directories.select(F.col("path").alias("parent")), ["parent"], "left_semi",
+                         ["path"]).select(*rows.columns)
+    last = files.agg(F.max("path")).scalar()
+    reached = inside.where(~state.select("cut").scalar() | (F.col("path") <= last))
+    return reached.unionByName(rows.where(~below))

@@ -104,9 +104,8 @@ def ascii_search(spark, sf):
 
 @query("deep_page", "H5 H6", ("logs",), "SELECT path, size FROM logs ORDER BY size DESC, path LIMIT 100 OFFSET 700")
 def deep_page(spark, sf):
-    """The way of pages beyond the heap bound: ranks instead of a heap."""
     files = V.log_files(spark, sf).select("path", "size")
-    return ordered_slice(files, [F.desc("size"), F.asc("path")], 700, 100, shallow=0)
+    return ordered_slice(files, [F.desc("size"), F.asc("path")], 700, 100)
 
 
 @query("area_map", "G4 D10", ("page",), """

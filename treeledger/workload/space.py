@@ -78,7 +78,7 @@ SELECT path, size, (SELECT count(*) <= 150 FROM newf) AS complete FROM newf ORDE
 def scan_file_limit(spark, sf):
     files = V.new_files(spark, sf)
     kept, _, state = I.limit_scan(files, V.registered(files), max_files=150)
-    return kept.select("path", "size", state.scalar().alias("complete"))
+    return kept.select("path", "size", state.select("complete").scalar().alias("complete"))
 
 
 @query("scan_directory_limit", "D2", ("newf", "dirs"), """
@@ -87,7 +87,7 @@ WHERE parent IN (SELECT path FROM dirs ORDER BY path LIMIT 30)""")
 def scan_directory_limit(spark, sf):
     files = V.new_files(spark, sf)
     kept, _, state = I.limit_scan(files, V.registered(files, V.EMPTY), max_dirs=30)
-    return kept.select("path", "size", state.scalar().alias("complete"))
+    return kept.select("path", "size", state.select("complete").scalar().alias("complete"))
 
 
 _ODD = ["a.tar.gz", ".bashrc", "foo.", "..foo", "A.TXT", "none", ".a.B", "tr.ail. "]
