@@ -181,13 +181,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One document of each class: the one with the smallest id. Of rows that repeat its id and fingerprint, one stays."""
+    """One document of each class: the one with the smallest id. Of rows that repeat its id and fingerprint, one stays.
+
+    Whole rows are moved once: repeated ones are dropped by fingerprint and id, beginning
+    in the tasks that read them, and the leaders are matched where the rest then lies.
+    """
     key = "_fingerprint"
     ids = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
     marked = materialize(with_fingerprint(ids, "text", ["_id"], key))
     groups = marked.groupBy(F.col(key).alias("fingerprint")).agg(F.min("_id").alias("first_id"))
     leaders = classes(groups, radius).where(F.col("fingerprint") == F.col("leader"))
-    leaders = leaders.select(F.col("leader").alias("_leader"), F.col("component_id").alias("_first"))
-    whole = with_fingerprint(docs, text, None, key)
-    same = (whole[key] == leaders["_leader"]) & whole[doc_id].eqNullSafe(leaders["_first"])
-    return whole.join(leaders, same, "left_semi").dropDuplicates([key, doc_id]).select(*docs.columns)
+
+    def named(print_: str, ident: str) -> list:
+        return [F.col(print_).alias("_print"), F.coalesce(F.col(ident).cast("string"), F.lit("")).alias("_name"),
+                F.col(ident).isNull().alias("_unnamed")]
+
+    keys = ["_print", "_name", "_unnamed"]
+    names = [f"_own{i}" for i in range(len(docs.columns))]
+    own = dict(zip(docs.columns, names))
+    whole = with_fingerprint(docs.toDF(*names), own[text], None, key)
+    single = whole.select(*names, *named(key, own[doc_id])).dropDuplicates(keys)
+    kept = single.join(leaders.select(*named("leader", "component_id")), keys, "left_semi")
+    return kept.select(*[F.col(name).alias(column) for column, name in own.items()])
