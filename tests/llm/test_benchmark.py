@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from fixtures import documents, odd_texts
 
@@ -59,3 +60,30 @@ def test_clean_documents_stay_as_they_are(spark):
     assert sorted(left.collect(), key=repr) == sorted((r for r in docs.collect() if passage not in (r.text or "").lower()), key=repr)
     assert decontamination.without_contaminated(docs, benchmark.limit(0)).count() == docs.count()
     assert decontamination.without_contaminated(docs.limit(0), benchmark).collect() == []
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    """Hits, owners and null ids are right even where most windows share a hash."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices("abc", k=rng.randrange(0, 12))).encode() for _ in range(40)]
+    items = [(None if i % 9 == 0 else i % 25, text) for i, text in enumerate(texts)]
+    monkeypatch.setattr(decontamination, "window_hashes",
+                        lambda ids, at, size: sum(ids[at + i].astype(np.uint64) for i in range(size)) % np.uint64(3))
+    made = decontamination.windows_of(items, 4)
+    for _ in range(20):
+        words = rng.choices("abcx", k=60)
+        ids = np.array([made.numbers.get(w.encode(), 0) for w in words], np.int64)
+        hit, found = decontamination.find(ids, made)
+        want_hit, want = set(), set()
+        for item, text in items:
+            own = text.decode().split()
+            for at in range(max(1, len(own) - 3) if own else 0):
+                window = own[at:at + 4]
+                for start in range(len(words) - len(window) + 1):
+                    if words[start:start + len(window)] == window:
+                        want_hit.update(range(start, start + len(window)))
+                        want.update([] if item is None else [str(item)])
+        assert set(np.flatnonzero(hit).tolist()) == want_hit
+        assert {name for _, names in found for name in names} == want
+    empty = decontamination.windows_of([], 4)
+    assert not decontamination.find(np.zeros(3, np.int64), empty)[0].any()

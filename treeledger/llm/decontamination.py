@@ -13,7 +13,7 @@ from treeledger.llm.batches import covered, filtered, slices, with_results
 from treeledger.operators.joins import lookup_join
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20  # benchmark text that one broadcast may carry
+BLOCK_BYTES = 16 << 20  # benchmark text that one broadcast may carry
 
 # Upper case becomes lower case, and what is neither digit, letter nor beyond ASCII a space.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -23,12 +23,19 @@ def plain_words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(PLAIN).split()
 
 
+class Table(NamedTuple):
+    """Windows of one length: ascending hashes, the word numbers of each, and its owners from bounds[i] to bounds[i + 1]."""
+    hashes: np.ndarray
+    windows: np.ndarray
+    bounds: np.ndarray
+    owners: np.ndarray
+
+
 class Windows(NamedTuple):
-    """Word windows of a block of items: word numbers from 1, and per window length the
-    sorted hashes and the items of each exact window."""
+    """Word windows of a block of items: word numbers from 1, names of items, and a table per window length."""
     numbers: dict[bytes, int]
-    hashes: dict[int, np.ndarray]
-    items: dict[tuple[int, ...], tuple[str, ...]]
+    names: list[str]
+    tables: list[tuple]
 
 
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -42,40 +49,66 @@ def window_hashes(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 
 
 def windows_of(items: list[tuple], size: int = WINDOW) -> Windows:
-    """The windows of (item_id, text) rows; an item shorter than a window is one window itself."""
+    """The windows of (item_id, text) rows; an item shorter than a window is one window itself.
+
+    A window takes about 60 bytes, so a block of 16 MB some 150 MB with its words.
+    """
     numbers: dict[bytes, int] = {}
-    owners: dict[tuple[int, ...], set[str]] = {}
-    for item_id, text in items:
-        ids = [numbers.setdefault(w, len(numbers) + 1) for w in plain_words(text)]
-        for at in range(max(1, len(ids) - size + 1) if ids else 0):
-            owners.setdefault(tuple(ids[at:at + size]), set()).update([] if item_id is None else [str(item_id)])
-    hashes = {}
-    for n in {len(w) for w in owners}:
-        flat = np.array([w for w in owners if len(w) == n], np.int64)
-        hashes[n] = np.unique(window_hashes(flat.reshape(-1), np.arange(len(flat)) * n, n))
-    return Windows(numbers, hashes, {w: tuple(sorted(ids)) for w, ids in owners.items()})
-
-
-def find(ids: np.ndarray, windows: Windows) -> tuple[np.ndarray, list[tuple[int, tuple[str, ...]]]]:
+    names: dict[str, int] = {}
+    ids = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in plain_words(text)], np.int32) for _, text in items]
+    lengths = np.array([len(own) for own in ids], np.int64)
+    owner = np.array([-1 if item is None else names.setdefault(str(item), len(names)) for item, _ in items], np.int32)
+    flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+    first = np.cumsum(lengths) - lengths
+    tables = []
+    for n in np.unique(np.minimum(lengths[lengths > 0], size)).tolist():
+        mine = np.flatnonzero(np.minimum(lengths, size) == n)
+        times = lengths[mine] - n + 1
+        at = np.repeat(first[mine] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        tables.append(tuple(_table(flat, at, np.repeat(owner[mine], times), n)))
+    return Windows(numbers, list(names), tables)
+
+
+def _table(flat: np.ndarray, at: np.ndarray, owner: np.ndarray, n: int) -> Table:
+    """Distinct windows of n words in the order of hash and words, with their distinct owners."""
+    hashes = window_hashes(flat, at, n)
+    order = np.lexsort((owner, *(flat[at + i] for i in reversed(range(n))), hashes))
+    hashes, at, owner = hashes[order], at[order], owner[order]
+    windows = flat[at[:, None] + np.arange(n)]
+    new = np.r_[True, (windows[1:] != windows[:-1]).any(axis=1)]
+    listed = (owner >= 0) & (new | np.r_[True, owner[1:] != owner[:-1]])
+    starts = np.flatnonzero(new)
+    bounds = np.r_[0, np.cumsum(listed)][np.r_[starts, len(new)]]
+    return Table(hashes[starts], windows[starts], bounds, owner[listed])
+
+
+def find(ids: np.ndarray, windows: Windows) -> tuple[np.ndarray, list[tuple[int, list[str]]]]:
     """Hit places in word numbers, and the items of each window found with its place.
 
     Number 0 is a word that no item has, so only stretches without it are hashed. A hash
-    that is known is checked against the window itself.
+    that is known is checked against the words of every window that has it.
     """
     places = np.arange(len(ids))
     following = np.minimum.accumulate(np.where(ids == 0, places, len(ids))[::-1])[::-1]
     free = following - places
     starts, ends, found = [], [], []
-    for n, known in windows.hashes.items():
+    for known, rows, bounds, owners in windows.tables:
+        n = rows.shape[1]
         at = np.flatnonzero(free >= n)
         value = window_hashes(ids, at, n)
-        slot = np.minimum(np.searchsorted(known, value), len(known) - 1)
-        for start in at[known[slot] == value].tolist():
-            if (items := windows.items.get(tuple(ids[start:start + n].tolist()))) is not None:
-                starts.append(start)
-                ends.append(start + n)
-                found.append((start, items))
-    return covered(np.array(starts, np.int64), np.array(ends, np.int64), len(ids)), found
+        slot = np.searchsorted(known, value)
+        while len(at):
+            held = slot < len(known)
+            held[held] = known[slot[held]] == value[held]
+            at, value, slot = at[held], value[held], slot[held]
+            same = (rows[slot] == ids[at[:, None] + np.arange(n)]).all(axis=1)
+            starts.append(at[same])
+            ends.append(at[same] + n)
+            for start, a, b in zip(at[same].tolist(), bounds[slot[same]].tolist(), bounds[slot[same] + 1].tolist()):
+                found.append((start, [windows.names[i] for i in owners[a:b].tolist()]))
+            at, value, slot = at[~same], value[~same], slot[~same] + 1  # another window with this hash
+    none = [np.empty(0, np.int64)]
+    return covered(np.concatenate(none + starts), np.concatenate(none + ends), len(ids)), found
 
 
 def blocks_of(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple]]:
