@@ -73,3 +73,27 @@ def test_phrases_and_templates(spark):
     assert by_text[cut].labels == "mit" and by_text[cut].score > 0.9
     assert by_text[" ".join(words[:20])].labels == "" and 0 < by_text[" ".join(words[:20])].score < 0.5
     assert licenses.scan(docs.limit(0)).collect() == []
+
+
+def test_notices_of_one_line_and_whole_licences(spark):
+    full = dict(zip((name for _, name in licenses.FULL), (text for _, text in licenses.full_texts())))
+    templates = dict(licenses.TEMPLATES)
+    passage = " ".join(full["gpl-3"].split()[2500:2800])
+    want = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl",
+        "Licensed under the GNU Lesser General Public License v2.1": "lgpl", "Released under the AGPLv3.": "agpl",
+        "Use is under the BSD 3-Clause license": "bsd", "This file is under the terms of the Mozilla Public License": "mpl-2",
+        "// SPDX-License-Identifier: GPL-2.0-or-later": "gpl", "# SPDX-License-Identifier: MIT": "mit",
+        "Licensed under CC BY-SA 4.0": "cc-by-sa", "Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-NC 4.0": "cc-by-nc",
+        "Licensed under the Apache License, Version 2.0.": "apache-2", "We all like a general public and its license": "",
+        templates["gpl"]: "gpl", templates["lgpl"]: "lgpl", templates["agpl"]: "agpl", passage: "gpl",
+        **{text: label for (label, name), text in zip(licenses.FULL, full.values()) if name in ("bsd", "cc0", "gpl-2", "mpl-2")},
+    }
+    rows = licenses.digest(licenses.scan(documents(spark, list(want)), keep=["text"])).collect()
+    got = {r.text: r for r in rows}
+    assert {t[:60]: label for t, label in want.items() if label not in got[t].labels.split(",")} == {}
+    assert all(r.labels == want[r.text] for r in rows if len(r.text or "") < 1000 and r.text in want), [(r.text[:60], r.labels) for r in rows if r.text in want]
+    gpl = got["This work is licensed under the GNU General Public License, version 3."]
+    assert (gpl.base_labels, gpl.n_base, gpl.score) == ("", 0, 1.0)
+    many = documents(spark, [" ".join(["Licensed under CC BY 4.0"] * 20000)])
+    assert licenses.digest(licenses.scan(many)).first().labels == "cc-by"

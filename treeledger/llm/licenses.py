@@ -1,7 +1,8 @@
 """Licence notices in texts, by a suffix automaton over the words of templates."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,14 @@ TEMPLATES = (
         Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option)
         any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
         without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""),
+    ("lgpl", """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser
+        General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+        option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY
+        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""),
+    ("agpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero
+        General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+        option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""),
     ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
         hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""),
     ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
@@ -47,7 +56,51 @@ TEMPLATES = (
         modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled
         binary, for any purpose, commercial or non-commercial, and by any means."""),
 )
-MATCH_WORDS, GAP_WORDS, COVERED = 6, 20, 0.5
+# Names that a notice of one line gives a licence after the words that grant it, and SPDX ids.
+NAMES = (
+    ("agpl", ("gnu affero general public license", "affero general public license", "gnu agpl", "agpl", "agplv3"), ("agpl",)),
+    ("apache-2", ("apache license", "apache 2 0", "apache software license"), ("apache 2",)),
+    ("bsd", ("bsd license", "bsd 2 clause", "bsd 3 clause", "2 clause bsd", "3 clause bsd", "new bsd", "simplified bsd",
+             "modified bsd", "bsd style license"), ("bsd 2 clause", "bsd 3 clause", "bsd 4 clause", "0bsd")),
+    *((f"cc-by{kind.replace(' ', '-')}", (f"cc by{kind}", f"creative commons by{kind}", f"creative commons attribution{said}"),
+       (f"cc by{kind}",)) for kind, said in
+      (("", ""), (" sa", " sharealike"), (" sa", " share alike"), (" nd", " noderivatives"), (" nd", " noderivs"),
+       (" nc", " noncommercial"), (" nc", " non commercial"), (" nc sa", " noncommercial sharealike"),
+       (" nc sa", " non commercial share alike"), (" nc nd", " noncommercial noderivatives"), (" nc nd", " non commercial no derivatives"))),
+    ("cc0", ("cc0", "creative commons zero", "creative commons cc0"), ("cc0",)),
+    ("gpl", ("gnu general public license", "general public license", "gnu public license", "gnu gpl", "gpl", "gplv2", "gplv3"),
+     ("gpl",)),
+    ("isc", ("isc license",), ("isc",)),
+    ("lgpl", ("gnu lesser general public license", "gnu library general public license", "lesser general public license",
+              "gnu lgpl", "lgpl", "lgplv2", "lgplv3"), ("lgpl",)),
+    ("mit", ("mit license", "mit licence", "expat license"), ("mit",)),
+    ("mpl-2", ("mozilla public license", "mpl 2 0", "mpl v2", "mplv2"), ("mpl 2",)),
+    ("unlicense", ("unlicense",), ("unlicense",)),
+)
+GRANTS = ("under", "under the", "under a", "under the terms of", "under the terms of the", "under the terms and conditions of the")
+# What names a licence without such a word, besides SPDX lines.
+LINES = (
+    *((label, f"{name} {version}") for label, name in
+      (("gpl", "gnu general public license"), ("lgpl", "gnu lesser general public license"),
+       ("lgpl", "gnu library general public license"), ("agpl", "gnu affero general public license"),
+       ("mpl-2", "mozilla public license")) for version in ("version", "v", "v2", "v3")),
+    ("mpl-2", "mozilla public license 2 0"), ("apache-2", "apache 2 0 license"), ("apache-2", "mit or apache 2 0"),
+    ("mit", "apache 2 0 or mit"), ("bsd", "bsd 2 clause license"), ("bsd", "bsd 3 clause license"),
+    ("bsd", "3 clause bsd license"), ("bsd", "2 clause bsd license"), ("unlicense", "released into the public domain"),
+)
+NOTICES = tuple((label, line) for label, line in dict.fromkeys((
+    *LINES, *((label, f"{grant} {name}") for label, names, _ in NAMES for grant in GRANTS for name in names),
+    *((label, f"spdx license identifier {own}") for label, _, ids in NAMES for own in ids))) if len(line.split()) >= 3)
+# Whole licences, by label and file.
+FULL = (("apache-2", "apache-2"), ("bsd", "bsd"), ("cc0", "cc0"), ("gpl", "gpl-2"), ("gpl", "gpl-3"), ("lgpl", "lgpl-2.1"),
+        ("lgpl", "lgpl-3"), ("mpl-2", "mpl-2"))
+# A template is found where the matches hold COVERED of its words or PASSAGE words, whichever is less.
+MATCH_WORDS, GAP_WORDS, COVERED, PASSAGE = 6, 20, 0.5, 150
+
+
+def full_texts() -> tuple:
+    folder = Path(__file__).parent / "license_texts"
+    return tuple((label, (folder / f"{name}.txt").read_text()) for label, name in FULL)
 
 
 class Automaton:
@@ -110,24 +163,25 @@ class Automaton:
 
 
 class Scanner:
-    """Finds phrases and template spans in runs of known words."""
+    """Finds phrases, notices of one line and template spans in runs of known words."""
 
-    def __init__(self, phrases=PHRASES, templates=TEMPLATES, match: int = MATCH_WORDS, gap: int = GAP_WORDS):
+    def __init__(self, phrases=PHRASES, templates=TEMPLATES, match: int = MATCH_WORDS, gap: int = GAP_WORDS, notices=NOTICES):
         self.match, self.gap = match, gap
-        named = [(label, plain_words(text.encode())) for label, text in (*phrases, *templates)]
+        named = [(label, plain_words(text.encode())) for label, text in (*phrases, *notices, *templates)]
         self.labels, sequences = [label for label, _ in named], [words for _, words in named]
         self.sizes, self.phrases = [len(words) for words in sequences], len(phrases)
+        self.whole = self.phrases + len(notices)
         self.automaton = Automaton(sequences)
-        # Phrases (number, words) that a match in a state ends with, once it is that long: those
+        # Phrases and notices (number, words) that a match in a state ends with, once it is that long: those
         # that the state spells itself, then those of the shorter stretches it links to.
         self.endings: list[list[tuple[int, int]]] = [[] for _ in self.automaton.link]
         for state in sorted(range(1, len(self.endings)), key=self.automaton.length.__getitem__):
             link = self.automaton.link[state]
             spelt = range(self.automaton.length[link] + 1, self.automaton.length[state] + 1)
             own = [(which, end) for which, end in self.automaton.ends[state]
-                   if which < self.phrases and end == self.sizes[which] and end in spelt]
+                   if which < self.whole and end == self.sizes[which] and end in spelt]
             self.endings[state] = own + self.endings[link]
-        self.shortest = min([match, *self.sizes[:self.phrases]])
+        self.shortest = min([match, *self.sizes[:self.whole]])
 
     def runs(self, texts: list[list[bytes]]) -> Iterator[tuple[int, int, list[int]]]:
         """(text, first word, word numbers) of each stretch of known words that is long enough to matter."""
@@ -144,7 +198,7 @@ class Scanner:
             yield which, a - int(starts[which]), ids[a:b].tolist()
 
     def matches(self, first: int, ids: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-        """Phrases as (number, start), and long matches that no word extends as (state, end, words)."""
+        """Phrases and notices as (number, start), and long matches that no word extends as (state, end, words)."""
         places, long, before = [], [], (0, 0)
         for at, (state, length) in enumerate(self.automaton.statistics(ids), first):
             places += [(which, at + 1 - n) for which, n in self.endings[state] if length >= n]
@@ -155,12 +209,12 @@ class Scanner:
             long.append((before[0], first + len(ids), before[1]))
         return places, long
 
-    def chains(self, long: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-        """Spans (template, start, end, words covered): matches in the order of both template and text, close together."""
+    def chains(self, long: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+        """Spans (template, start, end, words covered, matches): matches in the order of both template and text, close together."""
         open_: dict[int, list[int]] = {}
         done = []
         for state, end, length in long:
-            for which in sorted({w for w, _ in self.automaton.ends[state] if w >= self.phrases}):
+            for which in sorted({w for w, _ in self.automaton.ends[state] if w >= self.whole}):
                 ends = [e for w, e in self.automaton.ends[state] if w == which]
                 chain = open_.get(which)
                 # The next place in the template after what the chain has, if there is one.
@@ -169,13 +223,36 @@ class Scanner:
                     step = min(goes_on)
                     chain[2] += min(length, step - chain[3], end - chain[1])
                     chain[1], chain[3] = end, step
+                    chain[4] += 1
                 else:
                     if chain:
-                        done.append((which, *chain[:3]))
-                    open_[which] = [end - length, end, length, min(ends)]
-        return done + [(which, *chain[:3]) for which, chain in open_.items()]
+                        done.append((which, *chain[:3], chain[4]))
+                    open_[which] = [end - length, end, length, min(ends), 1]
+        return done + [(which, *chain[:3], chain[4]) for which, chain in open_.items()]
+
+    def named(self, places: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+        """Notices (number, start, end, words) outside longer ones of another licence: CC BY is none inside CC BY-NC."""
+        spans = [(which, at, at + self.sizes[which], self.sizes[which]) for which, at in places if which >= self.phrases]
+        return self._best(spans, lambda x, y: y[1] <= x[1] and x[2] <= y[2] and y[3] > x[3])
+
+    def closer(self, chains: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Spans without those that lie by more than half in one of another licence with more words, or as many in fewer matches."""
+        best = self._best(chains, lambda x, y: 2 * (min(x[2], y[2]) - max(x[1], y[1])) > x[2] - x[1] and (y[3], -y[4]) > (x[3], -x[4]))
+        return [chain[:4] for chain in best]
+
+    def _best(self, spans: list[tuple], loses: Callable[[tuple, tuple], bool]) -> list[tuple]:
+        """Spans that lose to none of another licence, in order of their starts; only spans that overlap are compared."""
+        spans = sorted(spans, key=lambda s: s[1:3])
+        lost, active = set(), []
+        for i, span in enumerate(spans):
+            active = [j for j in active if spans[j][2] > span[1]]
+            for j in active:
+                if self.labels[spans[j][0]] != self.labels[span[0]]:
+                    lost |= {x for x, y in ((i, j), (j, i)) if loses(spans[x], spans[y])}
+            active.append(i)
+        return [span for i, span in enumerate(spans) if i not in lost]
 
-    def scan(self, texts: list[list[bytes]]) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int, int, int]]]]:
+    def scan(self, texts: list[list[bytes]]) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int, int, int, int]]]]:
         places, long = [[] for _ in texts], [[] for _ in texts]
         for which, first, ids in self.runs(texts):
             found, more = self.matches(first, ids)
@@ -188,15 +265,17 @@ SPAN = "struct<label:string,start:long,end:long,cover:double>"
 
 
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, covered: float = COVERED,
-         phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
+         phrases=PHRASES, templates=None, notices=NOTICES) -> DataFrame:
     """Documents with n_words, phrases and spans, both as (label, start, end, cover) of words.
 
-    A phrase stands whole, with cover 1. A span chains long matches with one template; cover
-    is the share of the template's words that it holds, at least `covered`. closest is the
-    best cover of any chain, also below that. A null text has no words. Templates are few,
-    so their automaton goes out with the tasks.
+    A phrase stands whole, with cover 1, and so does a notice of one line, which is a span. Any
+    other span chains long matches with one template; cover is the share of the template's words
+    that it holds, at least `covered` or PASSAGE words of it. Where spans of two licences overlap
+    the one with more words stays. closest is the best cover of any chain, also below that. A
+    null text has no words. Templates (by default the notices and the whole licences) are few,
+    so their automaton goes out with the tasks. Of an SPDX expression the first licence counts.
     """
-    scanner = Scanner(phrases, templates)
+    scanner = Scanner(phrases, (*TEMPLATES, *full_texts()) if templates is None else templates, notices=notices)
 
     def compute(texts: pa.Array):
         rows = []
@@ -204,11 +283,15 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, cov
             words = [plain_words(raw) for raw in part]
             for own, places, chains in zip(words, *scanner.scan(words)):
                 said = [{"label": scanner.labels[w], "start": at, "end": at + scanner.sizes[w], "cover": 1.0}
-                        for w, at in sorted(places, key=lambda p: p[::-1])]
+                        for w, at in sorted(places, key=lambda p: p[::-1]) if w < scanner.phrases]
+                found = [(a, b, n, w) for w, a, b, n in scanner.closer(
+                    [c for c in chains if c[3] >= min(covered * scanner.sizes[c[0]], PASSAGE)])]
+                found += [(a, b, n, w) for w, a, b, n in scanner.named(places)]
                 spans = [{"label": scanner.labels[w], "start": a, "end": b, "cover": min(1.0, n / scanner.sizes[w])}
-                         for w, a, b, n in sorted(chains, key=lambda c: c[1:])]
-                closest = max((s["cover"] for s in said + spans), default=0.0)
-                rows.append((len(own), said, [s for s in spans if s["cover"] >= covered], closest))
+                         for a, b, n, w in sorted(found)]
+                closest = max([s["cover"] for s in said + spans] + [min(1.0, c[3] / scanner.sizes[c[0]]) for c in chains],
+                              default=0.0)
+                rows.append((len(own), said, spans, closest))
         return list(zip(*rows)) or [[]] * 4
 
     return with_results(docs, [text], f"n_words long, phrases array<{SPAN}>, spans array<{SPAN}>, closest double",
