@@ -147,3 +147,16 @@ def test_rules_against_direct_search(spark):
     want = [(i % 500, *direct_verdict(u, rules, defaults)) for i, u in enumerate(urls)]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     assert url_rules.judge(pages.limit(0), url_rules.rule_table(spark)).collect() == []
+
+
+def test_all_main_regions_and_broken_sections():
+    def text(html):
+        return page_text.Page(html).text()
+
+    assert text("<h1 class='main-title'>T</h1><div class='content'><p>one two three</div>") == "T one two three"
+    assert text("<p>Site</p><main><p>one</main><main><p>two</main>") == "one two"
+    assert text("<p>Site</p><div class='main-column'><p>one two three four</div><div id=main>x</div>") == "one two three four"
+    assert text("<div role=main><main><p>only once</main></div>") == "only once"
+    assert text("<p>a<![foo x]>b</p><p>c<![ >d</p><![if !IE]><p>e<![endif]><p>f<![cdata[g]]>h<![").split()[:1] == ["ab"]
+    for broken in ("<![foo x]>", "<![>", "<![ >", "<![1]>", "<![if !IE]>", "<![endif]>"):
+        assert text(f"<p>before</p>{broken}<p>after</p>") == "before after", broken

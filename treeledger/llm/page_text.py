@@ -82,6 +82,12 @@ class Builder(HTMLParser):
         if data.startswith("CDATA["):
             self.handle_data(data[6:])
 
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # no section that the parser knows: a bogus comment up to the next >
+            return self.parse_bogus_comment(i)
+
     def _end(self, tags, bounds):
         node, found = self.here, None
         while node is not None and (node.tag not in bounds or node.tag in tags):
@@ -94,11 +100,8 @@ class Builder(HTMLParser):
 
 def parse(html: str) -> Node:
     builder = Builder()
-    try:
-        builder.feed(html)
-        builder.close()
-    except AssertionError:  # a broken declaration; what was read so far counts
-        builder.here.children.append("")
+    builder.feed(html)
+    builder.close()
     return builder.root
 
 
@@ -114,17 +117,32 @@ def beside(node: Node, inside: bool) -> bool:
 
 
 def main_roots(root: Node) -> list[Node]:
-    """Articles outside other regions, or else the main element, or else everything."""
-    articles, mains, stack = [], [], [root]
+    """Articles outside other regions, or else the outermost main regions, or else everything.
+
+    A main region is a main element, or a block with the word main in class, id or role that
+    holds most of the page's text; so a heading of class main-title is none.
+    """
+    articles, mains, stack = [], [], [(root, True)]
+    everything = None
     while stack:
-        node = stack.pop()
+        node, outermost = stack.pop()
         if node.tag == "article":
             articles.append(node)
             continue
-        if node.tag == "main" or "main" in node.names and node.tag not in ("html", "body"):
+        if outermost and node.tag == "main":
             mains.append(node)
-        stack += [c for c in reversed(node.children) if isinstance(c, Node) and not beside(c, False)]
-    return articles or mains[:1] or [root]
+            outermost = False
+        elif outermost and "main" in node.names and node.tag not in ("html", "body") and node.tag not in INLINE:
+            everything = size_of(root) if everything is None else everything
+            if 2 * size_of(node) > everything:
+                mains.append(node)
+                outermost = False
+        stack += [(c, outermost) for c in reversed(node.children) if isinstance(c, Node) and not beside(c, False)]
+    return articles or mains or [root]
+
+
+def size_of(node: Node) -> int:
+    return sum(len(b.text) for b in blocks(node))
 
 
 class Block:
