@@ -160,3 +160,14 @@ def test_all_main_regions_and_broken_sections():
     assert text("<p>a<![foo x]>b</p><p>c<![ >d</p><![if !IE]><p>e<![endif]><p>f<![cdata[g]]>h<![").split()[:1] == ["ab"]
     for broken in ("<![foo x]>", "<![>", "<![ >", "<![1]>", "<![if !IE]>", "<![endif]>"):
         assert text(f"<p>before</p>{broken}<p>after</p>") == "before after", broken
+
+
+def test_wide_pages_are_aligned_in_order():
+    pages = [page_text.Page("<article>" + "".join(f"<p>Line {i} {k}" for k in range(120 + i)) + "<p>Read this with our app</article>")
+             for i in range(5)]
+    found = page_text.induce(pages)
+    assert {text for _, text in found} == {"Read this with our app"}
+    assert all("our app" not in p.text(found) and p.text(found).endswith(f"Line {i} {119 + i}") for i, p in enumerate(pages))
+    a, b = (page_text.parse("<div>" + "<p>x</p>" * n + "<table></table></div>") for n in (2000, 1990))
+    size, pairs = page_text.matching(a, b)
+    assert size == len(pairs) == 1 + 1 + 1990 + 1

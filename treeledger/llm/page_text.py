@@ -1,9 +1,12 @@
 """Main text of web pages: wrappers learned from the pages of a host, by simple tree matching."""
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 from html.parser import HTMLParser
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +33,6 @@ DEPTH = 150  # deeper elements become children of the one at this depth; their t
 TRAINING, AGREEING = 8, 3  # pages a wrapper is learned from, pages with different articles that make a text constant
 GROUP_PAGES = 250  # a host with more pages than this may be cut into groups, each with its own wrapper
 HOSTS_CUT = 1 << 16  # a host is cut once it has more than one in so many of all pages, so no more hosts are cut
-WIDE = 10_000  # pairs of children that are still aligned by dynamic programming
 
 
 class Node:
@@ -191,42 +193,94 @@ def elements(node: Node) -> list[Node]:
             and not beside(c, True)]
 
 
-def matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the most pairs of elements that agree in tag, ancestors and order."""
-    if a.tag != b.tag:
-        return 0, []
-    ours, theirs = elements(a), elements(b)
-    if not ours or not theirs:
-        return 1, [(a, b)]
-    if len(ours) * len(theirs) > WIDE:  # too wide for the table: in order, tag by tag
-        return 1, [(a, b)] + [pair for x, y in in_turn(ours, theirs) for pair in matching(x, y)[1]]
-    # best[i][j]: size of the best matching of the first i and j children, and the way there.
-    best = [[(0, None)] * (len(theirs) + 1) for _ in range(len(ours) + 1)]
-    for i, x in enumerate(ours, 1):
-        for j, y in enumerate(theirs, 1):
-            size, pairs = matching(x, y)
-            best[i][j] = max((best[i - 1][j - 1][0] + size, pairs), (best[i - 1][j][0], None), (best[i][j - 1][0], "left"),
-                             key=lambda option: option[0])
-    i, j, found = len(ours), len(theirs), [(a, b)]
-    while i and j:
-        way = best[i][j][1]
-        if way == "left":
-            j -= 1
-        elif way is None:
-            i -= 1
-        else:
-            found += way
-            i, j = i - 1, j - 1
-    return 1 + best[-1][-1][0], found
+class Shapes:
+    """Numbers for element trees without texts and names, and the sizes of their matchings, which depend on nothing else."""
+
+    def __init__(self):
+        self.numbers: dict[tuple, int] = {}
+        self.tags: list[str] = []
+        self.below: list[np.ndarray] = []
+        self.held: dict[int, tuple[Node, int, list[Node]]] = {}
+        self.sizes: dict[tuple[int, int], int] = {}
+
+    def of(self, node: Node) -> tuple[int, list[Node]]:
+        """An element's shape and its elements. Nodes are held, so that their ids stay theirs."""
+        if id(node) not in self.held:
+            inner = elements(node)
+            key = node.tag, tuple(self.of(x)[0] for x in inner)
+            if key not in self.numbers:
+                self.numbers[key] = len(self.tags)
+                self.tags.append(node.tag)
+                self.below.append(np.array(key[1], np.int64))
+            self.held[id(node)] = node, self.numbers[key], inner
+        return self.held[id(node)][1:]
+
+    def size(self, a: int, b: int) -> int:
+        """Simple tree matching: the most pairs of elements that agree in tag, ancestors and order."""
+        if self.tags[a] != self.tags[b]:
+            return 0
+        if not len(self.below[a]) or not len(self.below[b]):
+            return 1
+        if (a, b) not in self.sizes:
+            row = None
+            for row in self.rows(a, b):
+                pass
+            self.sizes[a, b] = 1 + int(row[-1])
+        return self.sizes[a, b]
+
+    def weights(self, a: int, b: int) -> Callable[[int], np.ndarray]:
+        """For each child of a the sizes of its matchings with the children of b."""
+        kinds, place = np.unique(self.below[b], return_inverse=True)
+        return cache(lambda shape: np.array([self.size(shape, int(k)) for k in kinds], np.int64)[place])
+
+    def rows(self, a: int, b: int) -> Iterator[np.ndarray]:
+        """Row i of the table: the best size of a matching of the first i children of a and the first j of b."""
+        weights, row = self.weights(a, b), np.zeros(len(self.below[b]) + 1, np.int64)
+        yield row
+        for shape in self.below[a].tolist():
+            row = next_row(row, weights(shape))
+            yield row
+
+    def pairs(self, a: Node, b: Node) -> Iterator[tuple[Node, Node]]:
+        """The pairs of a matching of that size. Of the table only every so many rows are held, and those between
+        them made again on the way back, so its memory grows with the width times its root."""
+        p, ours = self.of(a)
+        q, theirs = self.of(b)
+        if a.tag != b.tag:
+            return
+        yield a, b
+        if not ours or not theirs:
+            return
+        weights, step = self.weights(p, q), isqrt(len(ours)) + 1
+        kept = [row for i, row in enumerate(self.rows(p, q)) if i % step == 0]
+        shapes, i, j, first, table = self.below[p].tolist(), len(ours), len(theirs), -1, []
+        while i and j:
+            if (i - 1) // step != first:
+                first = (i - 1) // step
+                table = [kept[first]]
+                for shape in shapes[first * step:i]:
+                    table.append(next_row(table[-1], weights(shape)))
+            above, here, size = table[i - 1 - first * step], table[i - first * step], int(weights(shapes[i - 1])[j - 1])
+            if here[j] == above[j - 1] + size:
+                i, j = i - 1, j - 1
+                if size:
+                    yield from self.pairs(ours[i], theirs[j])
+            elif here[j] == above[j]:
+                i -= 1
+            else:
+                j -= 1
+
+
+def next_row(row: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    out = row.copy()
+    np.maximum(row[1:], row[:-1] + weights, out=out[1:])
+    return np.maximum.accumulate(out)
 
 
-def in_turn(ours: list[Node], theirs: list[Node]) -> Iterator[tuple[Node, Node]]:
-    waiting: dict[str, list[Node]] = {}
-    for node in reversed(theirs):
-        waiting.setdefault(node.tag, []).append(node)
-    for node in ours:
-        if waiting.get(node.tag):
-            yield node, waiting[node.tag].pop()
+def matching(a: Node, b: Node, shapes: Shapes | None = None) -> tuple[int, list[tuple[Node, Node]]]:
+    """Simple tree matching: its size and the matched pairs of elements, whatever their width."""
+    shapes = shapes or Shapes()
+    return shapes.size(shapes.of(a)[0], shapes.of(b)[0]), list(shapes.pairs(a, b))
 
 
 class Page:
@@ -248,7 +302,7 @@ def induce(pages: list[Page]) -> frozenset:
     distinct = list({p.text(): p for p in pages}.values())
     if len(distinct) < AGREEING:
         return frozenset()
-    first, agreed = distinct[0], Counter()
+    first, agreed, shapes = distinct[0], Counter(), Shapes()
     own: dict[int, list[Block]] = {}
     for block in first.blocks:
         own.setdefault(id(block.node), []).append(block)
@@ -258,7 +312,7 @@ def induce(pages: list[Page]) -> frozenset:
             held.setdefault(id(block.node), set()).add(block.text)
         same = set()
         for a, b in zip(first.roots, other.roots):
-            for x, y in matching(a, b)[1]:
+            for x, y in shapes.pairs(a, b):
                 texts = held.get(id(y), set())
                 same |= {(block.path, block.text) for block in own.get(id(x), []) if block.text in texts}
         agreed.update(same)
