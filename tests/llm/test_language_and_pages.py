@@ -171,3 +171,20 @@ def test_wide_pages_are_aligned_in_order():
     a, b = (page_text.parse("<div>" + "<p>x</p>" * n + "<table></table></div>") for n in (2000, 1990))
     size, pairs = page_text.matching(a, b)
     assert size == len(pairs) == 1 + 1 + 1990 + 1
+
+
+def test_copies_of_an_article_are_no_wrapper():
+    def made(lines):
+        return page_text.Page("<article>" + "".join(f"<p>{line}</p>" for line in lines) + "<div><p>Read this with our app</p></div></article>")
+
+    def copies(n):
+        return [[f"Paragraph {k} of a story that was changed once" if k != i else f"Changed line {i}" for k in range(9)] for i in range(n)]
+
+    others = [[f"Another story {i} goes on for {k} lines" for k in range(6)] for i in range(4)]
+    assert page_text.induce([made(lines) for lines in copies(3)]) == frozenset()
+    assert page_text.induce([made(lines) for lines in copies(8)]) == frozenset()
+    for pages in (copies(6) + others[:2], others[:2] + copies(6), copies(4) + others):
+        found = page_text.induce([made(lines) for lines in pages])
+        assert {text for _, text in found} == {"Read this with our app"}, found
+    cited = [lines + (["The same quotation stands in both of these"] if i < 2 else []) for i, lines in enumerate(others)]
+    assert {text for _, text in page_text.induce([made(lines) for lines in cited])} == {"Read this with our app"}

@@ -292,21 +292,50 @@ class Page:
         return " ".join(b.text for b in self.blocks if (b.path, b.text) not in constant)
 
 
+class Alike:
+    """Which pages are copies of one article: they share at least half of the shorter one's text."""
+
+    def __init__(self, pages: list[Page]):
+        self.held = [Counter() for _ in pages]
+        for held, page in zip(self.held, pages):
+            for block in page.blocks:
+                held[block.text] += len(block.text)
+        self.whole = [held.total() for held in self.held]
+        self.shared = cache(lambda i, j: (self.held[i] & self.held[j]).total())
+
+    def copies(self, i: int, j: int, but: str | None) -> bool:
+        """Whether two pages are copies, by what they hold besides one text."""
+        a, b = self.held[i][but], self.held[j][but]
+        return 2 * (self.shared(i, j) - min(a, b)) >= min(self.whole[i] - a, self.whole[j] - b)
+
+    def articles(self, among: list[int], but: str | None = None) -> int:
+        """The number of pages that are no copies of one another, in order."""
+        found: list[int] = []
+        for i in among:
+            if not any(self.copies(i, j, but) for j in found):
+                found.append(i)
+        return len(found)
+
+
 def induce(pages: list[Page]) -> frozenset:
     """The wrapper of some pages of one host: the (path, text) of constant slots.
 
     The first page's main element is aligned with that of each page with another article.
     A slot is constant if the aligned elements hold the same text in at least AGREEING
-    pages and in most of them; every other slot varies and is content.
+    articles and in most of them; every other slot varies and is content. Pages that share at
+    least half of what they hold besides the slot count as one article, so the paragraphs
+    that copies of one article share are content.
     """
     distinct = list({p.text(): p for p in pages}.values())
     if len(distinct) < AGREEING:
         return frozenset()
-    first, agreed, shapes = distinct[0], Counter(), Shapes()
+    alike = Alike(distinct)
+    needed = max(AGREEING, alike.articles(list(range(len(distinct)))) // 2 + 1)
+    first, agreed, shapes = distinct[0], {}, Shapes()
     own: dict[int, list[Block]] = {}
     for block in first.blocks:
         own.setdefault(id(block.node), []).append(block)
-    for other in distinct[1:]:
+    for number, other in enumerate(distinct[1:], 1):
         held: dict[int, set[str]] = {}
         for block in other.blocks:
             held.setdefault(id(block.node), set()).add(block.text)
@@ -315,9 +344,10 @@ def induce(pages: list[Page]) -> frozenset:
             for x, y in shapes.pairs(a, b):
                 texts = held.get(id(y), set())
                 same |= {(block.path, block.text) for block in own.get(id(x), []) if block.text in texts}
-        agreed.update(same)
-    needed = max(AGREEING - 1, (len(distinct) - 1 + 1) // 2)
-    return frozenset(slot for slot, n in agreed.items() if n >= needed)
+        for slot in same:
+            agreed.setdefault(slot, [0]).append(number)
+    return frozenset(slot for slot, among in agreed.items()
+                     if len(among) >= needed and alike.articles(among, slot[1]) >= needed)
 
 
 def extract_group(rows: Iterator[tuple]) -> Iterator[tuple[tuple, str]]:
