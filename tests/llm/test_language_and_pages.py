@@ -162,11 +162,16 @@ def test_all_main_regions_and_broken_sections():
         assert text(f"<p>before</p>{broken}<p>after</p>") == "before after", broken
 
 
+def dropped(pages):
+    wrapper = page_text.induce(pages)
+    return {block.text for p in pages for block, slot in zip(p.blocks, p.slots) if slot in wrapper}
+
+
 def test_wide_pages_are_aligned_in_order():
     pages = [page_text.Page("<article>" + "".join(f"<p>Line {i} {k}" for k in range(120 + i)) + "<p>Read this with our app</article>")
              for i in range(5)]
     found = page_text.induce(pages)
-    assert {text for _, text in found} == {"Read this with our app"}
+    assert dropped(pages) == {"Read this with our app"}
     assert all("our app" not in p.text(found) and p.text(found).endswith(f"Line {i} {119 + i}") for i, p in enumerate(pages))
     a, b = (page_text.parse("<div>" + "<p>x</p>" * n + "<table></table></div>") for n in (2000, 1990))
     size, pairs = page_text.matching(a, b)
@@ -184,7 +189,36 @@ def test_copies_of_an_article_are_no_wrapper():
     assert page_text.induce([made(lines) for lines in copies(3)]) == frozenset()
     assert page_text.induce([made(lines) for lines in copies(8)]) == frozenset()
     for pages in (copies(6) + others[:2], others[:2] + copies(6), copies(4) + others):
-        found = page_text.induce([made(lines) for lines in pages])
-        assert {text for _, text in found} == {"Read this with our app"}, found
+        assert dropped([made(lines) for lines in pages]) == {"Read this with our app"}
     cited = [lines + (["The same quotation stands in both of these"] if i < 2 else []) for i, lines in enumerate(others)]
-    assert {text for _, text in page_text.induce([made(lines) for lines in cited])} == {"Read this with our app"}
+    assert dropped([made(lines) for lines in cited]) == {"Read this with our app"}
+
+
+def test_every_page_of_a_host_teaches_and_meets_one_wrapper(spark):
+    def story(i):
+        return "".join(f"<p>Story {i} has a line {k}" for k in range(3))
+
+    def made(i):
+        if i % 3 == 0:  # a second layout, with a text of its own
+            return f"<body class=mobile><article>{story(i)}<div><p>Get the mobile edition</div></article>"
+        # Many pages lack the text, and a hot part is copies of one article.
+        body = story(i) if i % 5 else "<p>One copied story<p>with the same lines<p>on many pages"
+        return f"<body class=wide><article>{body}" + ("<div><p>Read this with our app</div>" if i % 4 else "") + "</article>"
+
+    rows = [(i, f"http://hot.example/{i}", made(i)) for i in range(700)]
+    rows += [(1000 + i, "http://copies.example/", f"<article><p>Same text<p>in all of them<p>again and again<p>Edit {i % 4}</article>")
+             for i in range(12)]
+    rows += [(2000 + i, "http://repeated.example/", f"<article>{story(max(i - 7, 0))}<div><p>Share</div></article>") for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in page_text.extract(pages).collect()}
+    assert len(texts) == len(rows)
+    for i in range(700):
+        assert "edition" not in texts[i] and "our app" not in texts[i], (i, texts[i])
+        want = "One copied story" if i % 3 and i % 5 == 0 else f"Story {i} has a line 0"
+        assert texts[i].startswith(want)
+    assert all(texts[1000 + i] == f"Same text in all of them again and again Edit {i % 4}" for i in range(12))
+    assert all("Share" not in texts[2000 + i] and "has a line 2" in texts[2000 + i] for i in range(12))
+    for host in ("hot", "copies", "repeated"):
+        own = [page_text.Page(html) for _, url, html in rows if host in url]
+        wrapper = page_text.induce(own)
+        assert [texts[i] for i, url, _ in rows if host in url] == [page.text(wrapper) for page in own]

@@ -3,7 +3,9 @@
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache
+from hashlib import blake2b
 from html.parser import HTMLParser
+from itertools import islice
 from math import isqrt
 
 import numpy as np
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 
 from treeledger.llm.batches import slices
 from treeledger.llm.url_rules import host_of
-from treeledger.operators.joins import heavy_keys
+from treeledger.operators.joins import heavy_keys, lookup_join
+from treeledger.sources.workspace import materialize
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("head title script style noscript template iframe object svg math canvas form button select textarea "
@@ -30,8 +33,8 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
         "th": ("td", "th"), "option": ("option",)}
 HOLDERS = frozenset("ul ol dl table tbody thead tfoot body article main section div select".split())
 DEPTH = 150  # deeper elements become children of the one at this depth; their text stays
-TRAINING, AGREEING = 8, 3  # pages a wrapper is learned from, pages with different articles that make a text constant
-GROUP_PAGES = 250  # a host with more pages than this may be cut into groups, each with its own wrapper
+AGREEING = 3  # articles that make a text constant
+GROUP_PAGES = 250  # a host with more pages than this may be cut into groups
 HOSTS_CUT = 1 << 16  # a host is cut once it has more than one in so many of all pages, so no more hosts are cut
 
 
@@ -283,144 +286,213 @@ def matching(a: Node, b: Node, shapes: Shapes | None = None) -> tuple[int, list[
     return shapes.size(shapes.of(a)[0], shapes.of(b)[0]), list(shapes.pairs(a, b))
 
 
+def number_of(*parts: str) -> int:
+    return int.from_bytes(blake2b("\0".join(parts).encode(errors="surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 class Page:
+    """The blocks of a page. Its layout is the elements, with names free of digits, that lead to its main regions."""
+
     def __init__(self, html: str):
         self.roots = main_roots(parse(html))
         self.blocks = [b for root in self.roots for b in blocks(root)]
+        self.layout = number_of(*(f"{node.tag} {' '.join(sorted(n for n in node.names if not any(map(str.isdigit, n))))}"
+                                  for node in leading(self.roots[0])))
+        self.slots = [number_of(str(self.layout), b.path, b.text) for b in self.blocks]
 
-    def text(self, constant: frozenset = frozenset()) -> str:
-        return " ".join(b.text for b in self.blocks if (b.path, b.text) not in constant)
+    def text(self, constant=frozenset()) -> str:
+        return " ".join(b.text for b, slot in zip(self.blocks, self.slots) if slot not in constant)
 
+    def agreed(self, other: "Page", shapes: Shapes) -> set[int]:
+        """The slots at which aligned elements of two pages hold the same text."""
+        if not set(self.slots) & set(other.slots):
+            return set()
+        ours, theirs = self._held(), other._held()
+        return {slot for a, b in zip(self.roots, other.roots) for x, y in shapes.pairs(a, b)
+                for slot in ours.get(id(x), set()) & theirs.get(id(y), set())}
 
-class Alike:
-    """Which pages are copies of one article: they share at least half of the shorter one's text."""
+    def _held(self) -> dict[int, set[int]]:
+        held: dict[int, set[int]] = {}
+        for block, slot in zip(self.blocks, self.slots):
+            held.setdefault(id(block.node), set()).add(slot)
+        return held
 
-    def __init__(self, pages: list[Page]):
-        self.held = [Counter() for _ in pages]
-        for held, page in zip(self.held, pages):
-            for block in page.blocks:
-                held[block.text] += len(block.text)
-        self.whole = [held.total() for held in self.held]
-        self.shared = cache(lambda i, j: (self.held[i] & self.held[j]).total())
+    def sizes(self) -> dict[int, int]:
+        sizes: Counter = Counter()
+        for block, slot in zip(self.blocks, self.slots):
+            sizes[slot] += len(block.text)
+        return sizes
 
-    def copies(self, i: int, j: int, but: str | None) -> bool:
-        """Whether two pages are copies, by what they hold besides one text."""
-        a, b = self.held[i][but], self.held[j][but]
-        return 2 * (self.shared(i, j) - min(a, b)) >= min(self.whole[i] - a, self.whole[j] - b)
 
-    def articles(self, among: list[int], but: str | None = None) -> int:
-        """The number of pages that are no copies of one another, in order."""
-        found: list[int] = []
-        for i in among:
-            if not any(self.copies(i, j, but) for j in found):
-                found.append(i)
-        return len(found)
+def leading(node: Node) -> Iterator[Node]:
+    while node is not None:
+        yield node
+        node = node.parent
 
 
-def induce(pages: list[Page]) -> frozenset:
-    """The wrapper of some pages of one host: the (path, text) of constant slots.
+class Neighbours:
+    """Aligns each page of a host with the last two of its layout. A slot that most pages hold is held by two so near."""
+
+    def __init__(self):
+        self.last: dict[int, list[Page]] = {}
+
+    def agreed(self, page: Page) -> set[int]:
+        near = self.last.setdefault(page.layout, [])
+        if any(page.slots == other.slots for other in near):
+            return set()
+        shapes = Shapes()
+        found = set().union(*(page.agreed(other, shapes) for other in near))
+        self.last[page.layout] = [*near, page][-2:]
+        return found
+
+
+def shares(slots: list[int], sizes: list[int], pages: list[int], whole: int) -> tuple[float, list[float]]:
+    """What part of an article a page stands for, and the same without each slot.
 
-    The first page's main element is aligned with that of each page with another article.
-    A slot is constant if the aligned elements hold the same text in at least AGREEING
-    articles and in most of them; every other slot varies and is content. Pages that share at
-    least half of what they hold besides the slot count as one article, so the paragraphs
-    that copies of one article share are content.
+    slots are those on several pages, with their numbers of pages. A page is one of n copies if at
+    least half of its text is in slots that n pages hold, so that copies make up one article.
     """
-    distinct = list({p.text(): p for p in pages}.values())
-    if len(distinct) < AGREEING:
-        return frozenset()
-    alike = Alike(distinct)
-    needed = max(AGREEING, alike.articles(list(range(len(distinct)))) // 2 + 1)
-    first, agreed, shapes = distinct[0], {}, Shapes()
-    own: dict[int, list[Block]] = {}
-    for block in first.blocks:
-        own.setdefault(id(block.node), []).append(block)
-    for number, other in enumerate(distinct[1:], 1):
-        held: dict[int, set[str]] = {}
-        for block in other.blocks:
-            held.setdefault(id(block.node), set()).add(block.text)
-        same = set()
-        for a, b in zip(first.roots, other.roots):
-            for x, y in shapes.pairs(a, b):
-                texts = held.get(id(y), set())
-                same |= {(block.path, block.text) for block in own.get(id(x), []) if block.text in texts}
-        for slot in same:
-            agreed.setdefault(slot, [0]).append(number)
-    return frozenset(slot for slot, among in agreed.items()
-                     if len(among) >= needed and alike.articles(among, slot[1]) >= needed)
-
-
-def extract_group(rows: Iterator[tuple]) -> Iterator[tuple[tuple, str]]:
-    """(row, text) for rows (group, html, ...) in which each group stands together.
-
-    The first TRAINING pages of a group are held until its wrapper is known; the rest are
-    read one by one.
+    if not slots:
+        return 1.0, []
+    order = np.lexsort((slots, -np.array(pages)))
+    size, held = np.array(sizes, np.int64)[order], np.array(pages, np.int64)[order]
+    twice, ranks = 2 * np.cumsum(size), np.arange(len(order))
+    copies = np.r_[held, 1]
+    before, after = np.searchsorted(twice, whole - size), np.searchsorted(twice, whole + size)
+    without = np.where(whole == size, held, copies[np.where(before < ranks, before, after)])
+    out = np.empty(len(order))
+    out[order] = 1 / without
+    return float(1 / copies[np.searchsorted(twice, whole)]), out.tolist()
+
+
+def constant(articles: float, every: float) -> bool:
+    return articles > AGREEING - 1e-6 and 2 * articles > every + 1e-6
+
+
+def induce(pages: list[Page]) -> frozenset:
+    """The wrapper of the pages of one host, directly: what `wrappers` makes of a whole table."""
+    neighbours, agreed, distinct = Neighbours(), set(), {}
+    for page in pages:
+        agreed |= neighbours.agreed(page)
+        distinct[page.layout, tuple(page.slots)] = page
+    held = Counter(slot for page in distinct.values() for slot in set(page.slots))
+    every, articles = Counter(), Counter()
+    for page in distinct.values():
+        own = [(slot, n, held[slot]) for slot, n in page.sizes().items() if held[slot] > 1]
+        whole, parts = shares(*([o[i] for o in own] for i in range(3)), sum(page.sizes().values()))
+        every[page.layout] += whole
+        for (slot, *_), part in zip(own, parts):
+            articles[slot, page.layout] += part
+    return frozenset(slot for (slot, layout), n in articles.items() if slot in agreed and constant(n, every[layout]))
+
+
+def read(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """(html, ...) of each row, the html last in memory for one slice only."""
+    for batch in batches:
+        keys = zip(*(batch.column(name).to_pylist() for name in names))
+        texts = (raw for part in slices(batch.column("html")) for raw in part)
+        for raw, key in zip(texts, keys):
+            yield (raw or b"").decode(), *key
+
+
+def in_batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(rows, 500)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*held), kinds)], names=names)
+
+
+def wrappers(dealt: DataFrame) -> DataFrame:
+    """The constant slots of each site, from all of its pages: a list per site that has any.
+
+    A page gives a row with the numbers of its slots, one for all pages that are equal in them.
+    Sites' slots are counted by Spark, partly before the shuffle, and the counts go back to the
+    pages by a join that cuts frequent slots. A slot is constant if alignment found it on
+    two pages, and if the pages that hold it stand for AGREEING articles and for most articles of
+    their layout. What is held per row is the slots of one page.
     """
-    group, waiting, wrapper = None, [], None
-
-    def learned():
-        found = induce([page for _, page in waiting])
-        return found, [(row, page.text(found)) for row, page in waiting]
-
-    for row in rows:
-        if row[0] != group:
-            if wrapper is None:
-                yield from learned()[1]
-            group, waiting, wrapper = row[0], [], None
-        page = Page(row[1])
-        if wrapper is None:
-            waiting.append((row, page))
-            if len(waiting) == TRAINING:
-                wrapper, done = learned()
-                yield from done
-                waiting = []
-        else:
-            yield row, page.text(wrapper)
-    if wrapper is None:
-        yield from learned()[1]
+    def learn(batches):
+        def rows():
+            group, neighbours = None, Neighbours()
+            for html, *own in read(batches, "site", "block"):
+                if own != group:
+                    group, neighbours = own, Neighbours()
+                page = Page(html)
+                sizes = page.sizes()
+                yield (own[0], page.layout, number_of(*map(str, page.slots)), sum(sizes.values()),
+                       list(sizes), list(sizes.values()), list(neighbours.agreed(page)))
+
+        longs = pa.list_(pa.int64())
+        return in_batches(rows(), ["site", "layout", "page", "whole", "slots", "sizes", "agreed"], [pa.int64()] * 4 + [longs] * 3)
+
+    seen = dealt.sortWithinPartitions("site", "block", "order").select("site", "block", "html").mapInArrow(
+        learn, "site long, layout long, page long, whole long, slots array<long>, sizes array<long>, agreed array<long>")
+    one = ["site", "layout", "page"]
+    pages = materialize(seen.groupBy(*one).agg(*(F.first(c).alias(c) for c in ("whole", "slots", "sizes")),
+                                               F.flatten(F.collect_list("agreed")).alias("agreed")))
+    slots = pages.select(*one, "whole", F.explode(F.arrays_zip("slots", "sizes")).alias("z")).select(
+        *one, "whole", F.col("z.slots").alias("slot"), F.col("z.sizes").alias("size"))
+    # A slot's number has its layout in it.
+    counts = slots.groupBy("site", "slot").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    counts = materialize(counts)
+    several = lookup_join(slots, counts.withColumn("held", F.col("_rows")).drop("_rows"), ["site", "slot"], "inner", ["page"],
+                          counts=counts)
+    several = several.groupBy(*one, "whole").agg(F.collect_list(F.struct("slot", "size", "held")).alias("z"))
+
+    def weigh(batches):
+        def rows():
+            for batch in batches:
+                for site, layout, whole, z in zip(*(batch.column(c).to_pylist() for c in ("site", "layout", "whole", "z"))):
+                    own = [[x[c] for x in z] for c in ("slot", "size", "held")]
+                    part, parts = shares(*own, whole)
+                    yield site, layout, None, part - 1
+                    for slot, without in zip(own[0], parts):
+                        yield site, layout, slot, without
+
+        return in_batches(rows(), ["site", "layout", "slot", "part"], [pa.int64()] * 3 + [pa.float64()])
+
+    parts = several.select("site", "layout", "whole", "z").mapInArrow(weigh, "site long, layout long, slot long, part double")
+    parts = parts.groupBy("site", "layout", "slot").agg(F.sum("part").alias("articles"))
+    parts = materialize(parts)
+    every = pages.groupBy("site", "layout").agg(F.count(F.lit(1)).alias("n")).join(
+        parts.where("slot IS NULL").select("site", "layout", "articles"), ["site", "layout"], "left").select(
+        "site", "layout", (F.col("n") + F.coalesce("articles", F.lit(0.0))).alias("every"))
+    agreed = pages.select("site", F.explode("agreed").alias("slot")).distinct()
+    found = (parts.where(F.col("slot").isNotNull() & (F.col("articles") > AGREEING - 1e-6))
+             .join(every, ["site", "layout"]).where(2 * F.col("articles") > F.col("every") + 1e-6)
+             .join(agreed, ["site", "slot"], "left_semi"))
+    return found.groupBy("site").agg(F.collect_list("slot").alias("constant"))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Every page with page_id, url, text and n_chars.
 
-    Pages are brought together by host, once. A host with more pages than GROUP_PAGES is cut
-    into groups by a hash of the id, unless it has less than one in HOSTS_CUT of all pages; so
-    the list of such hosts is bounded and no task gets a whole hot host. Within a group the pages of the smallest
-    hashes teach the wrapper, whatever the partitioning. A null or empty html has an empty
-    text; pages without a url form a host of their own; repeated rows stay.
+    Pages are brought together by host, once, to learn. A host with more pages than GROUP_PAGES
+    is cut into groups by a hash of the id, unless it has less than one in HOSTS_CUT of all pages;
+    so the list of such hosts is bounded and no task gets a whole hot host. All groups of a host
+    make its wrapper, and every page meets that one: the wrappers are joined to the pages where
+    these lie, or with hot hosts cut, as Spark finds their measured size. A null or empty html has
+    an empty text; pages without a url form a host of their own; repeated rows stay.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"),
-                        host_of(url).alias("host"))
-    counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("_rows"))
-    heavy = F.broadcast(heavy_keys(counts, ["host"], slices=HOSTS_CUT, at_least=GROUP_PAGES))
+                        F.xxhash64(host_of(url)).alias("site"))
+    counts = rows.groupBy("site").agg(F.count(F.lit(1)).alias("_rows"))
+    heavy = F.broadcast(heavy_keys(counts, ["site"], slices=HOSTS_CUT, at_least=GROUP_PAGES))
     order = F.xxhash64("page_id", "url")
-    block = F.pmod(order, F.coalesce("_slices", F.lit(1).cast("bigint")))
-    dealt = rows.join(heavy, "host", "left").withColumn("block", block).withColumn("order", order)
-    dealt = dealt.repartition("host", "block").sortWithinPartitions("host", "block", "order")
+    one = F.lit(1).cast("bigint")
+    dealt = rows.select("site", "html", order.alias("order")).join(heavy, "site", "left")
+    dealt = dealt.withColumn("block", F.pmod("order", F.coalesce("_slices", F.lit(1).cast("bigint")))).drop("_slices")
+    found = materialize(wrappers(dealt.repartition("site", "block")))
     fields = rows.select("page_id", "url").schema
 
     def run(batches):
-        def read():
-            for batch in batches:
-                keys = zip(*(batch.column(c).to_pylist() for c in ("host", "block", "page_id", "url")))
-                texts = (raw for part in slices(batch.column("html")) for raw in part)
-                for (host, number, page, link), raw in zip(keys, texts):
-                    yield (host, number), (raw or b"").decode(), page, link
-
-        held = []
-        for row, text in extract_group(read()):
-            held.append((row[2], row[3], text, len(text)))
-            if len(held) == 500:
-                yield batch_of(held)
-                held = []
-        if held:
-            yield batch_of(held)
-
-    def batch_of(held):
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*held), kinds)],
-                                          names=["page_id", "url", "text", "n_chars"])
+        def texts():
+            for raw, page, link, known in read(batches, "page_id", "url", "constant"):
+                text = Page(raw).text(frozenset(known or ()))
+                yield page, link, text, len(text)
+
+        return in_batches(texts(), ["page_id", "url", "text", "n_chars"], kinds)
 
     from pyspark.sql.pandas.types import to_arrow_type
     kinds = [to_arrow_type(f.dataType) for f in fields] + [pa.string(), pa.int64()]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", text string, n_chars long"
-    return dealt.select("host", "block", "page_id", "url", "html").mapInArrow(run, schema)
+    joined = lookup_join(rows, found, ["site"], "left", ["page_id", "url"], counts=counts, at_least=GROUP_PAGES)
+    return joined.select("page_id", "url", "html", "constant").mapInArrow(run, schema)
