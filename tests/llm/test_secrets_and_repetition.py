@@ -101,3 +101,19 @@ def test_repetition_against_direct_search(spark):
 @pytest.mark.parametrize("operator", [secret_scan.scan, secret_scan.redact, repetition.judge, repetition.kept_documents])
 def test_empty_tables(spark, operator):
     assert operator(documents(spark).limit(0)).collect() == []
+
+
+def test_placeholders_hide_only_themselves(spark):
+    rng = random.Random(5)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = "".join(rng.sample(signs, 40))
+    letters = "kJhGfDsAqWeRtYuIoPlKmNbVcXzQ"
+    for text in (f"example_credential={key}", f"{key}/placeholder", f"your_key={key}", letters, f"x {key[:18]} y"):
+        spans = secret_scan.entropy_spans(text)
+        at = max(text.find(key[:18]), text.find(letters))
+        assert any(start <= at + 2 and end >= at + 16 for _, start, end in spans), text
+    for text in ("example_placeholder_changeme_your_own", "src/main/java/com/company/service/HttpRequestHandler", "A" * 30,
+                 "getHttpRequestHandlerFactoryBean", "INTERNATIONALIZATION_AND_MORE", "conversation-2024-01-01", "aGoodName/withParts"):
+        assert secret_scan.entropy_spans(text) == [], text
+    docs = documents(spark, [f"Use example_credential={key} here"])
+    assert key not in secret_scan.redact(docs).first().text

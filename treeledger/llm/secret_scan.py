@@ -30,15 +30,22 @@ class CharacterClass(NamedTuple):
 CLASSES = (
     CharacterClass("entropy_hex", re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{32,}(?![0-9a-fA-F])"), 32, 3.0),
     CharacterClass("entropy_base64", re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 3.9),
+    # Shorter ones are random only if they also mix digits and both cases; 16 random characters have 3.8 bits.
+    CharacterClass("entropy_base64", re.compile(
+        r"(?<![A-Za-z0-9+/_=-])(?=[A-Z0-9+/_=-]*[a-z])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Za-z+/_=-]*[0-9])"
+        r"[A-Za-z0-9+/_=-]{16,23}(?![A-Za-z0-9+/_=-])"), 16, 3.4),
 )
-KINDS = BASE_KINDS + tuple(c.kind for c in CLASSES)
+KINDS = BASE_KINDS + tuple(dict.fromkeys(c.kind for c in CLASSES))
 
-# A candidate that matches one of these as a whole is no secret: identifiers, words, paths, rulers, placeholders.
+# Words of a case, or of several parts of two letters and more in one: random letters change their case more often.
+WORD = r"(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)*+[A-Za-z]?"
+# A candidate that matches one of these as a whole is no secret: identifiers, words, paths, rulers.
 ALLOWED = tuple(re.compile(p) for p in (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"[A-Za-z]+", r"[0-9]+", r"[A-Za-z]*([-_/+=][A-Za-z]*)+", r"[0-9]*([-_/+=.][0-9]*)+",
-    r"(?i:.*(example|placeholder|changeme|your[-_]).*)",
+    r"[0-9]+", rf"{WORD}([-_/+=]{WORD})*", r"[0-9]*([-_/+=.][0-9]*)+",
 ))
+# No window with one of these is a secret; the rest of its candidate may hold one.
+PLACEHOLDER = re.compile(r"example|placeholder|changeme|your[-_]", re.IGNORECASE)
 
 
 def random_spans(text: str, window: int, bits: float) -> list[tuple[int, int]]:
@@ -74,13 +81,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             + [("hex", *m.span()) for m in HEX.finditer(text)])
 
 
+def without_placeholders(text: str) -> list[tuple[int, str]]:
+    """The stretches between placeholder words, with their starts."""
+    found = list(PLACEHOLDER.finditer(text))
+    starts, ends = [0, *(m.end() for m in found)], [*(m.start() for m in found), len(text)]
+    return [(a, text[a:b]) for a, b in zip(starts, ends)]
+
+
 def entropy_spans(text: str, classes=CLASSES, allowed=ALLOWED) -> list[tuple[str, int, int]]:
-    """Random windows in the candidate strings that no allow-list pattern matches."""
+    """Random windows without placeholder words in the candidate strings that no allow-list pattern matches."""
     found = []
     for kind, run, window, bits in classes:
         for m in run.finditer(text):
             if not any(p.fullmatch(m[0]) for p in allowed):
-                found += [(kind, m.start() + a, m.start() + b) for a, b in random_spans(m[0], window, bits)]
+                found += [(kind, m.start() + at + a, m.start() + at + b) for at, part in without_placeholders(m[0])
+                          for a, b in random_spans(part, window, bits)]
     return found
 
 
