@@ -33,7 +33,3 @@ def files(spark):
             rows, "path string, kind string, size bigint, blocks bigint, mtime_ns bigint, device string, inode string")
         return files_of(classify(listing, root)).where(F.lit(True))
     return build
-
-
-def as_dicts(df):
-    return [row.asDict(recursive=True) for row in df.collect()]

@@ -1,5 +1,5 @@
 import pytest
-from conftest import as_dicts
+from tables import as_dicts
 from pyspark.sql import functions as F
 
 from treeledger.operators import browse as B

@@ -2,7 +2,7 @@ import hashlib
 import os
 import random
 
-from conftest import as_dicts
+from tables import as_dicts
 from pyspark.sql import functions as F
 
 from treeledger.operators import duplicates as D

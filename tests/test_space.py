@@ -1,4 +1,4 @@
-from conftest import as_dicts
+from tables import as_dicts
 from pyspark.sql import functions as F
 
 from treeledger.functions.paths import WINDOWS
