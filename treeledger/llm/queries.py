@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.llm import (decontamination, language, licenses, packing, page_text, repetition, secret_scan, simhash,
-                            token_counts, url_rules)
+from treeledger.llm import (decontamination, importance, jaccard_join, language, licenses, packing, page_text, repetition, secret_scan,
+                            simhash, source_divergence, token_counts, url_rules)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -182,3 +182,62 @@ URL_RULES = ", ".join(f"('{v}', '{h}', '{p}', {listed})" for rules, listed in ((
 @query("op3_urls", URL_SQL.format(rules=URL_RULES))
 def url_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return url_rules.judge(table(spark, sf, "pages"), url_rules.rule_table(spark))
+
+
+JACCARD_SQL = rf"""
+    WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    shingled AS MATERIALIZED (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(
+            range(1, greatest(len(words) - {jaccard_join.SHINGLE - 2}, 2)),
+            lambda i: array_to_string(list_slice(words, i, i + {jaccard_join.SHINGLE - 1}), ' ')))) END AS s FROM worded),
+    sets AS MATERIALIZED (SELECT s, len(s) AS n, min(doc_id) AS rep FROM shingled WHERE len(s) > 0 GROUP BY s),
+    items AS MATERIALIZED (SELECT rep, n, unnest(s) AS w FROM sets),
+    links AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b FROM items a JOIN items b ON a.w = b.w AND a.rep <> b.rep
+            AND 100 * a.n >= {jaccard_join.PERCENT} * b.n AND 100 * b.n >= {jaccard_join.PERCENT} * a.n
+        GROUP BY a.rep, b.rep, a.n, b.n
+        HAVING {100 + jaccard_join.PERCENT} * count(*) >= {jaccard_join.PERCENT} * (a.n + b.n)),
+    reach AS (SELECT rep AS root, rep AS node FROM sets
+        UNION SELECT reach.root, links.b FROM reach JOIN links ON links.a = reach.node),
+    roots AS (SELECT node AS rep, min(root) AS component_id FROM reach GROUP BY node)
+    SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+    FROM shingled LEFT JOIN sets USING (s) LEFT JOIN roots USING (rep)"""
+
+
+@query("op11_jaccard", JACCARD_SQL)
+def similar_shingles(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op12_importance")
+def resampled(spark: SparkSession, sf: str) -> DataFrame:
+    return importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+DIVERGENCE_SQL = rf"""
+    WITH d AS MATERIALIZED (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(
+            coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+    terms AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (
+        SELECT doc_id, lang, source, unnest(words) AS term FROM d) GROUP BY ALL),
+    kept AS MATERIALIZED (SELECT lang, term, sum(n) AS n FROM terms GROUP BY ALL HAVING sum(docs) >= {source_divergence.LEAST_DOCUMENTS}),
+    grid AS (SELECT g.lang, g.source, kept.term, coalesce(terms.n, 0) AS n, kept.n AS all_n
+        FROM (SELECT DISTINCT lang, source FROM d) g JOIN kept USING (lang) LEFT JOIN terms USING (lang, source, term)),
+    priced AS MATERIALIZED (SELECT lang, source, term, n,
+            1 + 1000000000 * (n + 2) // (sum(n) OVER w + 2 * count(*) OVER w) AS p,
+            1 + 1000000000 * (all_n + 2) // (sum(all_n) OVER w + 2 * count(*) OVER w) AS q
+        FROM grid WINDOW w AS (PARTITION BY lang, source)),
+    apart AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+        FROM priced a JOIN priced b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    groups AS (SELECT DISTINCT lang, source FROM d),
+    parts AS (SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(value, 0) AS value
+            FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source
+            LEFT JOIN apart ON apart.lang = g.lang AND apart.source = g.source AND apart.item = o.source
+        UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM priced WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+    WHERE part = 'pair' OR rank <= {source_divergence.TOP_TERMS}"""
+
+
+@query("op13_divergence", DIVERGENCE_SQL)
+def divergent_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf, "documents"))
