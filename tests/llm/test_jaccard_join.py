@@ -93,6 +93,23 @@ def test_chains_are_followed_and_blocks_are_small(spark):
     check(spark, texts, percent=70)
 
 
+def test_hot_signatures_are_cut(spark):
+    rng = random.Random(6)
+    texts = [" ".join([*(f"h{i}" for i in range(60)), f"end{rng.randrange(10 ** 9)}"]) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    signed = J.with_signatures(docs)
+    hot = J.hot_signatures(docs, 90, 3, 64, one_of=2)
+    assert 0 < hot.count() and hot.agg({"_slices": "max"}).first()[0] > 1
+    pairs = J.candidate_pairs(signed, hot)
+    reached = {(r.key1, r.key2) for r in pairs.collect()} | {(r.p1, r.p2) for r in pairs.collect()}
+    assert len(reached) == 300
+    from treeledger.llm.components import linked_components
+    numbers = {k: i for i, k in enumerate(sorted(reached))}
+    links = [(numbers[r.p1, r.p2], numbers[r.key1, r.key2]) for r in pairs.collect()]
+    roots = linked_components(spark.createDataFrame(links, "a long, b long")).select("root").distinct()
+    assert roots.count() == 1
+
+
 def test_block_links_against_direct():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 40))).astype(np.int64) for _ in range(60)]

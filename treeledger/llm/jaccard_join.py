@@ -6,7 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeledger.llm.batches import slices, with_results
@@ -126,18 +126,24 @@ def candidate_pairs(signed: DataFrame, hot: DataFrame) -> DataFrame:
     cut into slices by set; the least keys of its slices then make a star of their own.
     """
     rows = signed.select("key1", "key2", F.explode("sigs").alias("sig"))
-    salt = F.pmod(F.xxhash64("key1"), F.coalesce("_slices", F.lit(1).cast("bigint")))
-    rows = rows.join(F.broadcast(hot), "sig", "left").select("sig", "key1", "key2", salt.alias("slice"), "_slices")
     order = ["key1", "key2"]
-    least = F.first(F.struct(*order)).over(Window.partitionBy("sig", "slice").orderBy(*order)
-                                           .rowsBetween(Window.unboundedPreceding, 0))
-    starred = rows.select("sig", "_slices", *order, least.alias("least"))
-    pairs = starred.select(F.col("least.key1").alias("p1"), F.col("least.key2").alias("p2"), *order)
-    between = starred.where("_slices IS NOT NULL").select("sig", "least").distinct()
-    top = F.min("least").over(Window.partitionBy("sig"))
-    heads = between.select("least", top.alias("top")).select(
-        F.col("top.key1").alias("p1"), F.col("top.key2").alias("p2"), "least.key1", "least.key2")
-    return pairs.unionByName(heads).where("p1 != key1 OR p2 != key2").distinct()
+
+    def star(least: Column, table: DataFrame) -> DataFrame:
+        return table.select(least["key1"].alias("p1"), least["key2"].alias("p2"), *order)
+
+    if hot.isEmpty():
+        window = Window.partitionBy("sig").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        pairs = star(F.col("least"), rows.select(*order, F.first(F.struct(*order)).over(window).alias("least")))
+    else:
+        salt = F.pmod(F.xxhash64("key1"), F.coalesce("_slices", F.lit(1).cast("bigint"))).alias("slice")
+        cut = rows.join(F.broadcast(hot), "sig", "left").select("sig", salt, *order)
+        window = Window.partitionBy("sig", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        pairs = star(F.col("least"), cut.select(*order, F.first(F.struct(*order)).over(window).alias("least")))
+        heads = rows.join(F.broadcast(hot), "sig").select("sig", salt, *order)
+        heads = heads.groupBy("sig", "slice").agg(F.min(F.struct(*order)).alias("head"))
+        heads = heads.select("head.*", F.min("head").over(Window.partitionBy("sig")).alias("least"))
+        pairs = pairs.unionByName(star(F.col("least"), heads))
+    return pairs.where("p1 != key1 OR p2 != key2").distinct()
 
 
 def hot_signatures(docs: DataFrame, percent: int, size: int, at_least: int, one_of: int = 64) -> DataFrame:
@@ -216,7 +222,7 @@ def block_links(left: list[tuple], right: list[tuple], same: bool, percent: int
     return kept
 
 
-def _blocks(rows: DataFrame, limit: int = BLOCK) -> DataFrame:
+def _blocks(rows: DataFrame, limit: int = BLOCK, at_least: int = HEAVY_ROWS) -> DataFrame:
     """Sets of open clusters with the block each is compared in, and pure, the label that all of a block's sets have, if so.
 
     A component that fills a block has blocks of its own; the others of a cluster share some.
@@ -224,7 +230,7 @@ def _blocks(rows: DataFrame, limit: int = BLOCK) -> DataFrame:
     one = F.lit(1).cast("bigint")
     labels = rows.groupBy("cluster", "label").agg(F.sum("n").alias("_n"))
     pooled = labels.groupBy("cluster").agg(F.sum(F.when(F.col("_n") <= limit, F.col("_n"))).alias("_pool"))
-    labels = labels.join(pooled, "cluster")
+    labels = lookup_join(labels, pooled, ["cluster"], "inner", ["label"], at_least=at_least)
     big = F.col("_n") > limit
     labels = labels.select("cluster", "label", F.when(big, F.col("label")).alias("pure"),
                            F.greatest(one, F.ceil(F.when(big, F.col("_n")).otherwise(F.col("_pool")) / limit)).alias("_of"))
@@ -235,13 +241,14 @@ def _blocks(rows: DataFrame, limit: int = BLOCK) -> DataFrame:
                          "rep", "label")
 
 
-def cluster_links(open_sets: DataFrame, sets: DataFrame, percent: int = PERCENT, limit: int = BLOCK) -> DataFrame:
+def cluster_links(open_sets: DataFrame, sets: DataFrame, percent: int = PERCENT, limit: int = BLOCK,
+                  at_least: int = HEAVY_ROWS) -> DataFrame:
     """Links (a, b) across components inside clusters; open_sets is (rep, cluster, label, n).
 
     Block is compared with block, but for two blocks of one component. A task holds two
     blocks and the table of a piece of them.
     """
-    placed = materialize(_blocks(open_sets, limit))
+    placed = materialize(_blocks(open_sets, limit, at_least))
     keys = ["cluster", "pure", "block"]
     kinds = placed.select(*keys).distinct()
     known = F.coalesce(F.col("pure") == F.col("other_pure"), F.lit(False))
@@ -311,9 +318,9 @@ def similar_classes(docs: DataFrame, keyed: DataFrame, percent: int = PERCENT, s
     across = materialize(across.select("a", "b"))
     if not across.isEmpty():
         clusters = materialize(_labelled(labels, pairs, "cluster"))
-        rows = clusters.join(clusters.join(across.select(F.col("a").alias("rep")).distinct(), "rep").select("cluster").distinct(),
-                             "cluster", "left_semi")
-        more = cluster_links(rows.select("rep", "cluster", "label", "n"), sets, percent, block)
+        opened = materialize(clusters.join(across.select(F.col("a").alias("rep")).distinct(), "rep").select("cluster").distinct())
+        rows = lookup_join(clusters, opened, ["cluster"], "left_semi", ["rep"], at_least=at_least)
+        more = cluster_links(rows.select("rep", "cluster", "label", "n"), sets, percent, block, at_least)
         links = materialize(links.unionByName(more))
     return _labelled(reps.select("key1", "key2", "rep", "first_id"), links, "root").select("key1", "key2", "root", "first_id")
 
