@@ -15,7 +15,7 @@ LEAST_DOCUMENTS, TOP_TERMS, SCALE = 10, 10, 1_000_000_000
 LEAVES = 1 << 12  # terms under one segment tree
 GROUPS = 64  # groups whose trees a task holds of each side
 PRICED = 1 << 20  # pairs of leaves that are looked at together
-HELD_TERMS = 200_000  # counts that a task adds up before it hands them on
+HELD_TERMS = 500_000  # counts that a task adds up before it hands them on
 HEAVY_ROWS = 10_000
 PAD = -1  # count of a leaf that stands for no term
 
@@ -24,6 +24,7 @@ _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else
 
 
 def terms_of(text: bytes | None) -> list[bytes]:
+    """The terms of a text in order, with empty ones wherever separators meet."""
     return (text or b"").translate(_PLAIN).split(b" ") if text else []
 
 
@@ -34,7 +35,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
         waiting = 0
 
         def flush():
-            rows = [(*group, term, n, seen[1][term]) for group, seen in held.items() for term, n in seen[0].items()]
+            rows = [(*group, term, n, seen[1][term]) for group, seen in held.items() for term, n in seen[0].items() if term]
             held.clear()
             columns = list(zip(*rows)) if rows else [[]] * 5
             kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
@@ -46,12 +47,11 @@ def term_counts(docs: DataFrame) -> DataFrame:
             groups = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())
             for part in slices(batch.column("text")):
                 for text in part:
-                    counts = Counter(terms_of(text))
-                    counts.pop(b"", None)
+                    terms = terms_of(text)
                     own = held.setdefault(next(groups), [Counter(), Counter()])
                     before = len(own[0])
-                    own[0].update(counts)
-                    own[1].update(counts.keys())
+                    own[0].update(terms)
+                    own[1].update(set(terms))
                     waiting += len(own[0]) - before
                 if waiting > HELD_TERMS:
                     yield flush()
