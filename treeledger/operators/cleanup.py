@@ -7,6 +7,7 @@ from treeledger.functions.paths import POSIX, PathRules
 from treeledger.functions.text import age_days
 from treeledger.operators.joins import only_paths
 from treeledger.operators.links import ids_under, rows_by_marked_parent
+from treeledger.operators.tree import rows_under
 from treeledger.sources.workspace import materialize
 from treeledger.schema import (
     CLEANUP_AGE_DAYS, CLEANUP_EXTENSIONS, DAY_SECONDS, LIVE_STATES, QUARANTINE_NAME, QUARANTINE_QUOTA_BYTES,
@@ -20,10 +21,10 @@ def old_temporary(extension: Column, modified: Column, now: float) -> Column:
     return extension.isin(*CLEANUP_EXTENSIONS) & aged
 
 
-def under_roots(files: DataFrame, roots: list[str] | DataFrame, top: str, rules: PathRules = POSIX) -> DataFrame:
-    """Files below any root: a pushed-down prefix test for a list, ancestor matching for a table."""
+def under_roots(files: DataFrame, roots: list[str] | DataFrame, rules: PathRules = POSIX) -> DataFrame:
+    """Files below any root: a pushed-down prefix test for a list, a sweep over all parents for a table."""
     if isinstance(roots, DataFrame):
-        return rows_by_marked_parent(files, roots, top, "left_semi", rules)
+        return rows_under(files, roots, "left_semi", rules)
     return files.where(rules.under_any(F.col("path"), roots))
 
 
@@ -31,7 +32,7 @@ def eligible(files: DataFrame, now: float, temp_roots: list[str] | DataFrame, to
              links: DataFrame | None = None, rules: PathRules = POSIX) -> DataFrame:
     """Old .tmp and .log files below a temporary root, with no link on the way down."""
     aged = files.where(old_temporary(F.col("extension"), F.col("modified"), now))
-    kept = under_roots(aged, temp_roots, top, rules)
+    kept = under_roots(aged, temp_roots, rules)
     return kept if links is None else rows_by_marked_parent(kept, links, top, "left_anti", rules)
 
 

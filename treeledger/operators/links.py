@@ -1,5 +1,7 @@
 """Which directories lie at or below a link, and rows kept clear of them."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +31,16 @@ def ids_under(rows: DataFrame, ends: list[str], links: DataFrame, top: str, rule
 
 def rows_by_marked_parent(rows: DataFrame, marks: DataFrame, root: str, how: str,
                           rules: PathRules = POSIX) -> DataFrame:
-    """Keep (left_semi) or drop (left_anti) rows whose parent equals or lies below a mark.
+    """Keep (left_semi) or drop (left_anti) rows whose parent equals or lies below a mark."""
+    return rows_by_parent(rows, lambda parents: directories_under(parents, marks, root, rules), how)
+
+
+def rows_by_parent(rows: DataFrame, choose: Callable[[DataFrame], DataFrame], how: str) -> DataFrame:
+    """Keep (left_semi) or drop (left_anti) rows whose parent is one that choose picks from the parents (path).
 
     The rows are read twice: for the parents they have, which are kept in the work folder
-    with their numbers of rows and marked there, and for the join with the marked ones.
+    with their numbers of rows and picked there, and for the join with the picked ones.
     """
     parents = materialize(rows.groupBy("parent").agg(F.count(F.lit(1)).alias("_rows")))
-    hit = directories_under(parents.select(F.col("parent").alias("path")), marks, root, rules)
-    return lookup_join(rows, materialize(hit.withColumnRenamed("path", "parent")), ["parent"], how, ["path"], parents)
+    hit = choose(parents.select(F.col("parent").alias("path")))
+    return lookup_join(rows, materialize(hit.select(F.col("path").alias("parent"))), ["parent"], how, ["path"], parents)

@@ -37,10 +37,10 @@ def compare_scoped(spark, sf):
     return _changes(spark, sf, scope=POSIX.normalize("/data//fr/../en"))
 
 
-@query("compare_scope_boundary", "C6", ("changed",), f"SELECT {_ROW} FROM changed WHERE starts_with(path, '/data/en/1/')")
+@query("compare_scope_boundary", "C6", ("changed",), f"SELECT {_ROW} FROM changed WHERE starts_with(path, '/data/en/src1/')")
 def compare_scope_boundary(spark, sf):
-    """/data/en/1 must not take in /data/en/10 to /data/en/19."""
-    return _changes(spark, sf, scope="/data/en/1")
+    """/data/en/src1 must not take in /data/en/src10 to /data/en/src19."""
+    return _changes(spark, sf, scope="/data/en/src1")
 
 
 @query("compare_kind", "D5 E1", ("changed",), f"SELECT {_ROW} FROM changed WHERE kind = 'resized'")

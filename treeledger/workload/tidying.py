@@ -30,20 +30,20 @@ def log_cleanup(spark, sf):
 
 
 @query("under_temp_roots", "E7", ("newf",), """
-SELECT path, size FROM newf WHERE split_part(path, '/', 4) IN ('1', '4', '7') AND split_part(path, '/', 5) <> ''""")
+SELECT path, size FROM newf WHERE split_part(path, '/', 4) IN ('src1', 'src4', 'src7') AND split_part(path, '/', 5) <> ''""")
 def under_temp_roots(spark, sf):
-    """Roots as a table: every directory named 1, 4 or 7 right below a language."""
+    """Roots as a table: every directory named src1, src4 or src7 right below a language."""
     files = V.new_files(spark, sf)
-    roots = V.registered(files).where(F.split_part("path", F.lit("/"), F.lit(4)).isin("1", "4", "7"))
-    return K.under_roots(files, roots, V.ROOT).select("path", "size")
+    roots = V.registered(files).where(F.split_part("path", F.lit("/"), F.lit(4)).isin("src1", "src4", "src7"))
+    return K.under_roots(files, roots).select("path", "size")
 
 
 @query("link_free_candidates", "D1", ("temporary",), """
-SELECT path, size FROM temporary WHERE split_part(path, '/', 4) NOT IN ('2', '5', '12') """)
+SELECT path, size FROM temporary WHERE split_part(path, '/', 4) NOT IN ('src2', 'src5', 'src12') """)
 def link_free_candidates(spark, sf):
     """Some directories turn out to be links; nothing below them qualifies."""
     files = V.new_files(spark, sf)
-    links = V.registered(files).where(F.split_part("path", F.lit("/"), F.lit(4)).isin("2", "5", "12"))
+    links = V.registered(files).where(F.split_part("path", F.lit("/"), F.lit(4)).isin("src2", "src5", "src12"))
     return K.eligible(files, V.NOW, V.TEMP_ROOTS, V.ROOT, links).select("path", "size")
 
 
@@ -106,13 +106,13 @@ def candidate_revalidate(spark, sf):
 
 
 @query("revalidate_guards", "E4 D1", ("oldf", "newf"), _FOUND + """
-SELECT id, CASE WHEN verdict <> 'ok' THEN verdict WHEN split_part(path, '/', 4) IN ('2', '5', '12') THEN 'ineligible'
+SELECT id, CASE WHEN verdict <> 'ok' THEN verdict WHEN split_part(path, '/', 4) IN ('src2', 'src5', 'src12') THEN 'ineligible'
   WHEN size % 3 = 0 THEN 'collision' ELSE 'ok' END AS verdict FROM verdicts""")
 def revalidate_guards(spark, sf):
     """Some directories have become links, and some destinations are taken."""
     found, fresh = _found(spark, sf), V.new_files(spark, sf).drop("text")
     taken = found.where("size % 3 = 0").select(K.quarantine_path(F.col("path"), F.col("id"), V.TEMP_ROOTS, QUARANTINE_NAME).alias("path"))
-    links = V.registered(fresh).where(F.split_part("path", F.lit("/"), F.lit(4)).isin("2", "5", "12"))
+    links = V.registered(fresh).where(F.split_part("path", F.lit("/"), F.lit(4)).isin("src2", "src5", "src12"))
     return K.revalidate(_selection(found), found, fresh.unionByName(taken, allowMissingColumns=True), V.NOW, V.TEMP_ROOTS,
                         links=links, top=V.ROOT).select("id", "verdict")
 
@@ -125,10 +125,12 @@ def batch_allowed(spark, sf):
 
 @query("quota_check", "F11 M2 D9", ("moves", "temporary"), """
 SELECT retained_bytes, selected_bytes, retained_bytes + selected_bytes <= 2147483648 AS allowed FROM (
-  SELECT (SELECT CAST(sum(size) AS BIGINT) FROM moves WHERE state IN ('quarantined', 'pending', 'purging', 'restoring')) AS retained_bytes,
+  SELECT unnest([1, 100000]) * (SELECT CAST(sum(size) AS BIGINT) FROM moves WHERE state IN ('quarantined', 'pending', 'purging', 'restoring')) AS retained_bytes,
     CAST(sum(size) AS BIGINT) AS selected_bytes FROM temporary)""")
 def quota_check(spark, sf):
-    return K.quota(_moves(spark, sf)[0], _eligible(spark, sf))
+    """As the journal is, and with files a hundred thousand times as large, which leave no room."""
+    moves, chosen = _moves(spark, sf)[0], _eligible(spark, sf)
+    return K.quota(moves, chosen).unionByName(K.quota(moves.withColumn("size", F.col("size") * 100_000), chosen))
 
 
 @query("selection_plan", "M6 E4 F11", ("temporary",), f"""
@@ -209,13 +211,13 @@ def batch_restore_plan(spark, sf):
     return J.batch_plan(_moves(spark, sf)[0], "b1").select("id", "batch", "state")
 
 
-_LINKED = "split_part(source, '/', 4) IN ('2', '5')"
+_LINKED = "split_part(source, '/', 4) IN ('src2', 'src5')"
 
 
 def _linked(spark, sf):
     """Moves below directories that a listing of links names."""
     moves = _moves(spark, sf)[0]
-    links = V.registered(V.old_files(spark, sf)).where(F.col("path").isin(f"{V.SCOPE}/2", f"{V.SCOPE}/5"))
+    links = V.registered(V.old_files(spark, sf)).where(F.col("path").isin(f"{V.SCOPE}/src2", f"{V.SCOPE}/src5"))
     return J.linked_moves(moves, links, V.ROOT)
 
 
