@@ -80,9 +80,12 @@ class Ledger:
         self.store.discard(scan_id)
 
     def compare(self, baseline: str, current: str, selected: str = "", query: str = "",
-                kind: str = "all", bucketed: tuple[str, str] | None = None) -> Comparison:
-        """bucketed: the tables that store.bucket made of both snapshots, for a join that moves no row."""
-        return Comparison(self.store, baseline, current, selected, query, kind, self.rules, bucketed)
+                kind: str = "all", bucketed: tuple[str, str] | None = None, digests: bool = False) -> Comparison:
+        """bucketed: the tables that store.bucket made of both snapshots, for a join that moves no row.
+
+        digests: look only into directories whose digests differ, worth it where most are equal.
+        """
+        return Comparison(self.store, baseline, current, selected, query, kind, self.rules, bucketed, digests)
 
     def duplicates(self, scan_id: str, digest=digest_files, observed: DataFrame | None = None,
                    budget: int | None = None, max_bytes: int | None = None,

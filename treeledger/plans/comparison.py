@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from treeledger.functions.paths import POSIX, PathRules
 from treeledger.operators import compare as C
+from treeledger.operators import digest as D
 from treeledger.operators.paging import Page, check_page, ordered_slice, placed, placed_slice
 from treeledger.schema import PAGE_ROWS
 from treeledger.sources.store import SnapshotStore
+from treeledger.sources.workspace import materialize
 
 NOT_COVERED = ("at least one scan did not cover everything: added and removed may come from cancellation, "
                "permissions or scope and prove no real change")
@@ -27,11 +29,13 @@ class Comparison:
     """A validated comparison. Its rows are computed once; counts, pages and exports share them.
 
     bucketed names the catalog tables that SnapshotStore.bucket made of both snapshots,
-    baseline first; with them no row is moved for the join.
+    baseline first; with them no row is moved for the join. digests compares the digests of
+    directories first and reads only data files, and joins only rows, of directories that differ.
     """
 
     def __init__(self, store: SnapshotStore, baseline: str, current: str, selected: str = "", query: str = "",
-                 kind: str = "all", rules: PathRules = POSIX, bucketed: tuple[str, str] | None = None):
+                 kind: str = "all", rules: PathRules = POSIX, bucketed: tuple[str, str] | None = None,
+                 digests: bool = False):
         try:
             C.check_kind(kind)
         except ValueError as error:
@@ -53,9 +57,23 @@ class Comparison:
         self.measurement = MEASUREMENT
         files = ([store.spark.table(name) for name in bucketed] if bucketed
                  else [store.read(ident, "files") for ident in (baseline, current)])
-        self._rows = C.changes(*files, self.path, query, kind, rules, colocated=bool(bucketed))
+        if digests and not bucketed:
+            files = self._unlike(store, (baseline, current), files, rules)
+        self._files, self._args = files, (self.path, query, kind, rules, bool(bucketed))
+        self._rows = C.changes(*files, *self._args)
         self._stored: DataFrame | None = None
 
+    def _unlike(self, store: SnapshotStore, idents: tuple[str, str], files: list[DataFrame], rules: PathRules) -> list[DataFrame]:
+        """Both sides' files in directories whose digests differ; empty without reading any if the scope's digests agree."""
+        tables = [store.read(ident, "digests") for ident in idents]
+        whole = [t.where(F.col("path") == self.path).select("all_a", "all_b", "all_files").first() for t in tables]
+        if whole[0] == whole[1]:
+            return [f.limit(0) for f in files]
+        unlike = materialize(D.differing(*tables, self.path, rules))
+        self.differing = unlike
+        return [D.files_of(store.read_directories_of(ident, "files", unlike), unlike.where(F.col(rows) > 0), rows)
+                for ident, rows in zip(idents, ("old_files", "new_files"))]
+
     def _placed(self) -> DataFrame:
         if self._stored is None:
             self._stored = placed(self._rows, [F.col("path")])
@@ -67,10 +85,18 @@ class Comparison:
         return self._placed().drop("_seq")
 
     def counts(self) -> DataFrame:
-        return C.change_counts(self.rows)
+        """One row of totals; they need no order and are counted straight from the join unless the rows are kept already."""
+        return C.change_counts(self._rows if self._stored is None else self._stored)
+
+    def _after(self, path: str) -> DataFrame:
+        """The changes behind a path. Both sides are cut before they are joined."""
+        if self._stored is not None:
+            return self.rows.where(F.col("path") > path)
+        return C.changes(*[f.where(F.col("path") > path) for f in self._files], *self._args)
 
     def page(self, offset: int = 0, limit: int = PAGE_ROWS, after: str | None = None) -> Page:
-        """A page in path order, at the same cost at any depth. after takes the last path of the page before."""
+        """A page in path order. after takes the last path of the page before: only what follows it is joined, and the
+        top of it kept. A jump by offset writes all rows in order, once, and then costs the same at any depth."""
         try:
             check_page(offset, limit)
         except ValueError as error:
@@ -81,7 +107,7 @@ class Comparison:
             F.lit(self.coverage_complete).alias("coverage_complete"))
         if after is None:
             return Page(placed_slice(self._placed(), offset, limit), meta)
-        return Page(ordered_slice(self.rows.where(F.col("path") > after), [F.col("path")], offset, limit), meta)
+        return Page(ordered_slice(self._after(after), [F.col("path")], offset, limit), meta)
 
     def export_rows(self) -> DataFrame:
         """Every change with both coverage flags, as the CSV has them."""

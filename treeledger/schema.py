@@ -43,6 +43,14 @@ FILES = _struct(
 
 DIRECTORIES = _struct(("path", _TEXT), ("parent", _TEXT), ("name", _TEXT), ("size", _LONG))
 
+DIGESTS = _struct(
+    ("path", _TEXT), ("parent", _TEXT), ("own_a", _LONG), ("own_b", _LONG), ("own_files", _LONG),
+    ("all_a", _LONG), ("all_b", _LONG), ("all_files", _LONG))
+
+# One row per data file of a snapshot: the parents its rows lie in, from first to last.
+MANIFEST = _struct(
+    ("table", _TEXT), ("file", _TEXT), ("first", _TEXT), ("last", _TEXT), ("rows", _LONG), ("bytes", _LONG))
+
 ERRORS = _struct(("path", _TEXT), ("reason", _TEXT))
 
 EXTENSIONS = _struct(("extension", _TEXT), ("files", _LONG), ("bytes", _LONG))

@@ -159,7 +159,7 @@ _PATHS = """(SELECT string_agg(path || '=' || CAST(size AS VARCHAR), '|' ORDER B
     (SELECT path, size FROM {table} ORDER BY size DESC, path LIMIT {n})) AS {name},"""
 
 
-def _stored(spark, sf) -> Ledger:
+def stored(spark, sf) -> Ledger:
     """A ledger with the current tree stored as scan 'new'."""
     ledger = Ledger(spark, new_folder(spark, "ledger"))
     listing = V.raw_listing(spark, sf, QUARANTINE_NAME)
@@ -167,7 +167,7 @@ def _stored(spark, sf) -> Ledger:
     return ledger
 
 
-def _stored_pair(spark, sf) -> Ledger:
+def stored_pair(spark, sf) -> Ledger:
     """The earlier tree as 'old', listed without links, and the current one as 'new'."""
     ledger = Ledger(spark, new_folder(spark, "ledger"))
     for ident, files, finished in (("old", V.old_files(spark, sf), 1.0), ("new", V.new_files(spark, sf), 2.0)):
@@ -194,7 +194,7 @@ def _flat(shared):
 
 @query("share_summary", "F14 N6", ("newf", "temporary"), _SHARE.format(more="", paths="false"))
 def share_summary(spark, sf):
-    store = _stored(spark, sf).store
+    store = stored(spark, sf).store
     return _flat(report.share_summary(store.summary("new"), store.read("new", "extensions")))
 
 
@@ -202,7 +202,7 @@ def share_summary(spark, sf):
     more=_PATHS.format(table="newf", n=30, name="largest_files")
     + _PATHS.format(table="dirsizes", n=20, name="largest_directories"), paths="true"))
 def share_summary_with_paths(spark, sf):
-    store = _stored(spark, sf).store
+    store = stored(spark, sf).store
     return _flat(report.share_summary(store.summary("new"), store.read("new", "extensions"), True))
 
 
@@ -210,7 +210,7 @@ def share_summary_with_paths(spark, sf):
 SELECT path, parent, name, size, allocated, extension, modified, device, inode FROM newf""")
 def snapshot_write(spark, sf):
     """Through storage and back, after the build of a whole snapshot."""
-    files = _stored(spark, sf).store.read("new", "files").drop("mtime_ns", "fingerprint")
+    files = stored(spark, sf).store.read("new", "files").drop("mtime_ns", "fingerprint")
     return files.withColumn("modified", F.col("modified").cast("bigint"))
 
 
@@ -219,7 +219,7 @@ SELECT '/data' AS root, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, t
   CAST(0 AS BIGINT) AS errors, (SELECT count(*) FROM listing WHERE kind = 'l') + 1 AS skipped,
   (SELECT count(*) FROM temporary) AS candidates, count(*) AS inventory_files FROM newf""")
 def snapshot_summary(spark, sf):
-    row = _stored(spark, sf).store.summary("new")
+    row = stored(spark, sf).store.summary("new")
     return row.select("root", "files", "bytes", "complete", "coverage_complete", "errors", "skipped",
                       F.col("candidate_files").alias("candidates"), "inventory_files")
 
@@ -227,34 +227,36 @@ def snapshot_summary(spark, sf):
 @query("stored_browse", "A3 H4", ("dirsizes",), """
 SELECT path, name, size, 'directory' AS kind FROM dirsizes WHERE parent = '/data' ORDER BY size DESC, path LIMIT 100""")
 def stored_browse(spark, sf):
-    return _stored(spark, sf).browse("new").items.select("path", "name", "size", "kind")
+    return stored(spark, sf).browse("new").items.select("path", "name", "size", "kind")
 
 
-@query("exclusive_publish", "B2 A4", (), """
-SELECT 'new' AS id, 'completed' AS state, '/data' AS root, true AS refused FROM documents LIMIT 1""")
+@query("exclusive_publish", "B2 A4", ("newf",), """
+SELECT path, size, 'completed' AS state, true AS refused FROM newf""")
 def exclusive_publish(spark, sf):
-    """Writing the same scan id again is refused and changes nothing."""
-    ledger = _stored(spark, sf)
+    """Writing another tree under the same scan id is refused and changes nothing."""
+    ledger = stored(spark, sf)
+    other = V.raw_listing(spark, sf, QUARANTINE_NAME).withColumn("size", F.col("size") + 1)
     try:
-        ledger.scan("new", V.raw_listing(spark, sf, QUARANTINE_NAME), V.ROOT, V.NOW)
+        ledger.scan("new", other, V.ROOT, V.NOW)
         refused = False
     except FileExistsError:
         refused = True
-    return ledger.scans().select("id", "state", "root", F.lit(refused).alias("refused"))
+    state = ledger.scans().where("id = 'new'").select("state").scalar()
+    return ledger.store.read("new", "files").select("path", "size", state.alias("state"), F.lit(refused).alias("refused"))
 
 
 @query("stored_comparison", "N2 H6 E6", ("changed",), """
 SELECT path, kind, baseline_size, current_size, delta_bytes FROM changed WHERE starts_with(path, '/data/en/')
 ORDER BY path LIMIT 100""")
 def stored_comparison(spark, sf):
-    return _stored_pair(spark, sf).compare("old", "new", "/data/en/").page().items
+    return stored_pair(spark, sf).compare("old", "new", "/data/en/").page().items
 
 
 @query("compare_next_page", "N2 H6", ("changed",), """
 SELECT path, kind, baseline_size, current_size, delta_bytes FROM changed WHERE path > '/data/en/' ORDER BY path LIMIT 50""")
 def compare_next_page(spark, sf):
     """Goes on behind a known path instead of counting rows."""
-    return _stored_pair(spark, sf).compare("old", "new").page(limit=50, after="/data/en/").items
+    return stored_pair(spark, sf).compare("old", "new").page(limit=50, after="/data/en/").items
 
 
 @query("stored_comparison_meta", "N2 F6 F12", ("changed",), """
@@ -263,7 +265,18 @@ SELECT count(*) FILTER (kind = 'added') AS added, count(*) FILTER (kind = 'remov
   CAST(20 AS BIGINT) AS "offset", CAST(100 AS BIGINT) AS "limit", 120 < count(*) AS has_more, true AS coverage_complete
 FROM changed""")
 def stored_comparison_meta(spark, sf):
-    return _stored_pair(spark, sf).compare("old", "new").page(20).meta
+    return stored_pair(spark, sf).compare("old", "new").page(20).meta
+
+
+def refreshed(spark, sf) -> Ledger:
+    """The pair of stored trees, and 'mixed': the earlier one with the scope as it is in the current one."""
+    ledger = stored_pair(spark, sf)
+    inside = V.new_files(spark, sf).where(F.col("path").startswith(V.SCOPE + "/"))
+    folders = V.registered(inside).where(F.col("path").startswith(V.SCOPE)).select("path", F.lit("d").alias("kind"))
+    listing = inside.withColumn("kind", F.lit("f")).select(
+        "path", "kind", "size", "allocated", "mtime_ns", "device", "inode")
+    ledger.refresh("old", V.SCOPE, "mixed", listing.unionByName(folders, allowMissingColumns=True), finished_at=3.0)
+    return ledger
 
 
 @query("stored_refresh", "N3 E2 F7 F15", ("merged", "six"), """
@@ -274,12 +287,7 @@ SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, false AS coverage_
   (SELECT count(*) FROM six WHERE kind = 'metadata_changed') AS metadata_changed,
   (SELECT CAST(sum(new_size) - sum(old_size) AS BIGINT) FROM six) AS delta_bytes FROM merged""")
 def stored_refresh(spark, sf):
-    ledger = _stored_pair(spark, sf)
-    inside = V.new_files(spark, sf).where(F.col("path").startswith(V.SCOPE + "/"))
-    folders = V.registered(inside).where(F.col("path").startswith(V.SCOPE)).select("path", F.lit("d").alias("kind"))
-    listing = inside.withColumn("kind", F.lit("f")).select(
-        "path", "kind", "size", "allocated", "mtime_ns", "device", "inode")
-    ledger.refresh("old", V.SCOPE, "mixed", listing.unionByName(folders, allowMissingColumns=True), finished_at=3.0)
+    ledger = refreshed(spark, sf)
     row = ledger.store.summary("mixed")
     return row.select("files", "bytes", "coverage_complete", F.col("candidate_files").alias("candidates"),
                       "refresh.baseline_id", "refresh.reused_files", "refresh.scanned_files",
