@@ -48,6 +48,43 @@ def digest_files(candidates: DataFrame, partitions: int | None = None) -> DataFr
     return dealt.select("path", "fingerprint").mapInArrow(_digest_batches, "path string, sha256 string")
 
 
+def digest_ranges(asked: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Digest ranges (path, fingerprint, size, start, length) of files: path, start, sha256, null where the file changed.
+
+    A range that reaches the size goes on to the end of the file. Ranges are dealt like
+    whole files, from the longest to the shortest.
+    """
+    partitions = partitions or 4 * asked.sparkSession.sparkContext.defaultParallelism
+    ranked = asked.select("path", "fingerprint", "size", "start", "length").orderBy(
+        F.desc(F.least("length", F.col("size") - F.col("start"))), "path", "start")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    dealt = ranked.withColumn("_task", F.pmod(place, F.lit(partitions)).cast("int")).repartitionById(partitions, "_task")
+    return dealt.drop("_task").mapInArrow(_digest_range_batches, "path string, start long, sha256 string")
+
+
+def digest_column_ranges(asked: DataFrame, rows: DataFrame, content: Column, key: str = "path") -> DataFrame:
+    """The same of content that lies in a table column; ranges and sizes count its bytes.
+
+    Content is read where it lies and only digests are moved, for one range a file and stage.
+    """
+    ranges = asked.select("start", "length").distinct()
+    raw = F.encode(content, "UTF-8")
+    whole = rows.select(F.col(key).alias("path"), raw.alias("_raw"), F.octet_length(raw).alias("_bytes"))
+    cut = whole.join(F.broadcast(ranges), F.col("start") < F.col("_bytes"))
+    part = F.when(F.col("start") + F.col("length") >= F.col("_bytes"), F.substring("_raw", F.col("start").cast("int") + 1, F.lit(0x7FFFFFFF)))
+    part = part.otherwise(F.substring("_raw", F.col("start").cast("int") + 1, F.col("length").cast("int")))
+    return cut.select("path", "start", F.sha2(part, 256).alias("sha256"))
+
+
+def _digest_range_batches(batches):
+    for batch in batches:
+        rows = [column.to_pylist() for column in batch.columns]
+        digests = [_digest(path, known, start, None if start + length >= size else length)
+                   for path, known, size, start, length in zip(*rows, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[3], pa.int64()), pa.array(digests, pa.string())],
+                                         names=["path", "start", "sha256"])
+
+
 def _digest_batches(batches):
     for batch in batches:
         paths, prints = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -56,7 +93,8 @@ def _digest_batches(batches):
                                          names=["path", "sha256"])
 
 
-def _digest(path: str, fingerprint: str) -> str | None:
+def _digest(path: str, fingerprint: str, start: int = 0, length: int | None = None) -> str | None:
+    """Digest of a file, or of `length` bytes from start on, or null if it is not as its fingerprint says."""
     expected = [None if part == UNKNOWN else int(part) for part in fingerprint.split(":")[-2:]]
     try:
         store, inner = (pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path))
@@ -69,9 +107,13 @@ def _digest(path: str, fingerprint: str) -> str | None:
         if before is None or any(known not in (None, now) for known, now in zip(expected, before)):
             return None
         digest = hashlib.sha256()
-        with store.open_input_stream(inner) as source:
-            while chunk := source.read(_CHUNK):
+        with (store.open_input_file(inner) if start else store.open_input_stream(inner)) as source:
+            if start:
+                source.seek(start)
+            left = length
+            while chunk := source.read(_CHUNK if left is None else min(_CHUNK, left)):
                 digest.update(chunk)
+                left = None if left is None else left - len(chunk)
         return digest.hexdigest() if observed() == before else None
     except (OSError, pa.ArrowException):
         return None

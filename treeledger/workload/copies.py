@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from treeledger.operators import duplicates as D
 from treeledger.operators.joins import path_join
 from treeledger.plans.duplicates import find_duplicates
-from treeledger.sources.content import digest_column
+from treeledger.plans.staged import staged_digests
+from treeledger.sources.content import digest_column, digest_column_ranges
 from treeledger.sources.workspace import materialize
 from treeledger.workload import views as V
 from treeledger.workload.registry import query
@@ -64,6 +65,24 @@ def duplicate_members(spark, sf):
     return D.duplicate_members(_hashed(spark, sf))
 
 
+def _staged(spark, sf):
+    """Digests in ranges that grow from 256 bytes, so that the texts take several stages."""
+    files = V.new_files(spark, sf)
+    candidates = materialize(D.duplicate_candidates(files).select("path", "fingerprint", "size"))
+    sized = files.select("path", F.octet_length(F.encode("text", "UTF-8")).cast("bigint").alias("size"))
+    asked = materialize(path_join(candidates.drop("size"), sized, "inner"))
+    near = D.possibly_of_classes(files, candidates.select("size").distinct())
+    digests = staged_digests(asked, lambda ranges: digest_column_ranges(ranges, near, F.col("text")),
+                             lambda rows: path_join(rows.select("path"), _digests(near), "inner"), first=256, block=4096)
+    return path_join(candidates.select("path", "size"), digests, "inner")
+
+
+@query("staged_duplicates", "F9 N5 A2", ("groups", "hashed"), """
+SELECT g.size, g.sha256, h.path, g.copies, g.potential_bytes FROM groups g JOIN hashed h USING (size, sha256)""")
+def staged_duplicates(spark, sf):
+    return D.duplicate_members(_staged(spark, sf))
+
+
 @query("duplicate_ranking", "H10", ("groups",), """
 SELECT size, sha256, copies, potential_bytes FROM groups ORDER BY potential_bytes DESC, sha256 LIMIT 20""")
 def duplicate_ranking(spark, sf):
