@@ -9,7 +9,7 @@ from treeledger.functions.paths import POSIX, PathRules
 from treeledger.operators import browse as B
 from treeledger.operators import cleanup as K
 from treeledger.operators import journal as J
-from treeledger.operators.paging import Page
+from treeledger.operators.paging import Page, indexed_slice, write_index
 from treeledger.operators.rollup import rank_extensions
 from treeledger.plans import report
 from treeledger.plans.comparison import Comparison
@@ -69,9 +69,21 @@ class Ledger:
             raise KeyError(selected)
         page = B.browse(self.store.read(scan_id, "files"), directories, root, selected, query, offset, limit,
                         recursive, sort, after, self.rules)
+        indexed = self._pages(scan_id, sort)
+        if recursive and not query and after is None and self.store.exists(f"{indexed}/places/_SUCCESS"):
+            page = Page(indexed_slice(self.store.spark, indexed, offset, limit), page.meta)
         whole = self.store.summary(scan_id).select("details_complete").scalar()
         return Page(page.items, page.meta.withColumn("details_complete", whole))
 
+    def _pages(self, scan_id: str, sort: str) -> str:
+        return f"{self.store.root}/pages/scan_id={scan_id}/{sort}"
+
+    def index_pages(self, scan_id: str, sorts: tuple[str, ...] = ("size", "allocated", "name", "modified")) -> None:
+        """Keep all files of a snapshot in these orders, so that a jump to any place in the whole of it reads one data file."""
+        files = B.entries(self.store.read(scan_id, "files"), self.store.read(scan_id, "directories"), "", recursive=True)
+        for sort in sorts:
+            write_index(files, B.sort_order(sort), self._pages(scan_id, sort))
+
     def errors(self, scan_id: str, offset: int = 0, after: dict | None = None) -> Page:
         return B.error_page(self.store.read(scan_id, "errors"), offset, after)
 

@@ -25,6 +25,10 @@ def _keys(sort: str) -> list[tuple[Column, bool]]:
     return [(key(), descending), (F.col("path"), False)]
 
 
+def sort_order(sort: str) -> list[Column]:
+    return [key.desc() if descending else key.asc() for key, descending in _keys(sort)]
+
+
 def entries(files: DataFrame, directories: DataFrame, selected: str, query: str = "",
             recursive: bool = False) -> DataFrame:
     """Everything a page is cut from: children of selected, or any file whose path matches."""
@@ -49,9 +53,8 @@ def browse(files: DataFrame, directories: DataFrame, root: str, selected: str =
     """
     check_page(offset, limit)
     selected = selected or root
-    keys = _keys(sort)
+    keys, order = _keys(sort), sort_order(sort)
     found = entries(files, directories, selected, query, recursive)
-    order = [key.desc() if descending else key.asc() for key, descending in keys]
     page = found
     if after is not None:
         page = found.where(rows_after([(key, down, value) for (key, down), value

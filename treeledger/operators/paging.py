@@ -3,7 +3,7 @@
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeledger.schema import MAX_PAGE_ROWS
@@ -56,6 +56,37 @@ def placed_slice(rows: DataFrame, offset: int, limit: int) -> DataFrame:
     return rows.where(inside).orderBy("_seq").drop("_seq")
 
 
+def write_index(rows: DataFrame, order: list[Column], folder: str) -> None:
+    """Keep rows in a total order below a folder, with an index: which places lie in which data file.
+
+    The index has a row per data file. A jump to any place then opens the files that hold
+    its page, and in these what the column _seq lets through.
+    """
+    rows.orderBy(*order).withColumn("_seq", F.monotonically_increasing_id()).write.mode("errorifexists").parquet(f"{folder}/rows")
+    kept = rows.sparkSession.read.parquet(f"{folder}/rows")
+    name = F.substring_index("_metadata.file_path", "/", -1).alias("file")
+    files = kept.groupBy(name).agg(F.min("_seq").alias("first"), F.count(F.lit(1)).alias("rows"))
+    before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    places = files.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    places.coalesce(1).write.mode("errorifexists").parquet(f"{folder}/places")
+
+
+def indexed_slice(spark: SparkSession, folder: str, offset: int, limit: int) -> DataFrame:
+    """Rows offset .. offset + limit of an index, from the one or few data files that hold them."""
+    places = spark.read.parquet(f"{folder}/places")
+    hit = places.where((F.col("start") < offset + limit) & (F.col("start") + F.col("rows") > offset)).orderBy("start").collect()
+    schema = spark.read.parquet(f"{folder}/rows").schema
+    if not hit:
+        return spark.createDataFrame([], schema).drop("_seq")
+    wanted = F.lit(False)
+    for place in hit:
+        low = place["first"] + max(0, offset - place["start"])
+        high = place["first"] + min(place["rows"], offset + limit - place["start"])
+        wanted = wanted | ((F.col("_seq") >= low) & (F.col("_seq") < high))
+    rows = spark.read.schema(schema).parquet(*[f"{folder}/rows/{place['file']}" for place in hit])
+    return rows.where(wanted).orderBy("_seq").drop("_seq")
+
+
 def rows_after(keys: list[tuple[Column, bool, object]]) -> Column:
     """Predicate for rows that come after a known row; keys are (column, descending, value)."""
     tests = []

@@ -47,6 +47,9 @@ class SnapshotStore:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
+    def exists(self, path: str) -> bool:
+        return self._exists(path)
+
     def claim(self, scan_id: str) -> None:
         """Take an id for one writer, or FileExistsError. The file system's exclusive create decides a race.
 

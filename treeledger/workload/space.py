@@ -19,7 +19,7 @@ def _listing(spark, sf):
     return V.raw_listing(spark, sf, QUARANTINE_NAME)
 
 
-def _whole_seconds(df):
+def whole_seconds(df):
     return df.withColumn("modified", F.col("modified").cast("bigint"))
 
 
@@ -28,7 +28,7 @@ SELECT path, parent, name, size, allocated, extension, modified, modified * 1000
   '1:' || inode || ':' || CAST(size AS VARCHAR) || ':' || CAST(modified * 1000000000 AS VARCHAR) AS fingerprint
 FROM newf""")
 def ingest_listing(spark, sf):
-    return _whole_seconds(I.ingest(_listing(spark, sf), V.ROOT).files)
+    return whole_seconds(I.ingest(_listing(spark, sf), V.ROOT).files)
 
 
 @query("ingest_directories", "A1 I4", ("dirs",), "SELECT path FROM dirs")

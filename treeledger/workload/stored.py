@@ -1,9 +1,12 @@
 """Stored snapshots that share data files, are compared by digests, and are paged through an index."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.workload.registry import query
-from treeledger.workload.reports import refreshed, stored_pair
+from treeledger.workload.reports import refreshed, stored, stored_pair
 
 
 @query("manifest_refresh", "B1 N3 A3 I3", ("merged",), """
@@ -37,3 +40,20 @@ WHERE kind = 'resized'""")
 def digest_equal_subtrees(spark, sf):
     """A refreshed snapshot against its baseline: all but the scope is equal and is not looked at."""
     return refreshed(spark, sf).compare("old", "mixed", kind="resized", digests=True).rows
+
+
+_DEEP = ["size", "allocated", "name", "modified"]
+
+
+@query("stored_deep_page", "H4 H5 A3", ("newf",), " UNION ALL ".join(f"""
+SELECT '{sort}' AS sort, path, size FROM (SELECT path, size FROM newf ORDER BY {order}, path
+  LIMIT 100 OFFSET (SELECT count(*) - 130 FROM newf))""" for sort, order in zip(_DEEP, (
+    "size DESC", "coalesce(allocated, -1) DESC", "lower(name)", "modified DESC"))))
+def stored_deep_page(spark, sf):
+    """The last full page but thirty rows, in four orders, each read through its index."""
+    ledger = stored(spark, sf)
+    ledger.index_pages("new", tuple(_DEEP))
+    offset = ledger.store.read("new", "files").count() - 130
+    pages = [ledger.browse("new", recursive=True, sort=sort, offset=offset).items.select(F.lit(sort).alias("sort"), "path", "size")
+             for sort in _DEEP]
+    return reduce(DataFrame.unionByName, pages)
