@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeledger.functions.paths import POSIX, PathRules
+from treeledger.functions.text import contains_text
 from treeledger.operators import browse as B
 from treeledger.operators import cleanup as K
 from treeledger.operators import journal as J
 from treeledger.operators.paging import Page, indexed_slice, write_index
 from treeledger.operators.rollup import rank_extensions
+from treeledger.operators.search_index import files_that_may_hold, write_search_index
 from treeledger.plans import report
 from treeledger.plans.comparison import Comparison
 from treeledger.plans.duplicates import DuplicateReview, find_duplicates
@@ -84,6 +86,20 @@ class Ledger:
         for sort in sorts:
             write_index(files, B.sort_order(sort), self._pages(scan_id, sort))
 
+    def index_search(self, scan_id: str) -> None:
+        """Keep what search needs to open only data files that may hold a text."""
+        write_search_index(self.store.read(scan_id, "files"), f"{self.store.root}/search/scan_id={scan_id}")
+
+    def search(self, scan_id: str, query: str) -> DataFrame:
+        """All files whose path contains a text, A-Z as a-z; with index_search, from the data files that may have some."""
+        folder, names = f"{self.store.root}/search/scan_id={scan_id}", None
+        files = self.store.read(scan_id, "files")
+        if self.store.exists(f"{folder}/_SUCCESS"):
+            names = files_that_may_hold(self.store.spark, folder, query)
+        if names is not None:
+            files = self.store.data_files("files", [r["file"] for r in names.collect()])
+        return files.where(contains_text(F.col("path"), query))
+
     def errors(self, scan_id: str, offset: int = 0, after: dict | None = None) -> Page:
         return B.error_page(self.store.read(scan_id, "errors"), offset, after)
 

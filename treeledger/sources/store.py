@@ -146,9 +146,10 @@ class SnapshotStore:
             touched = touched | ((first <= place) & (last >= place))
         files = self.manifest(scan_id).where(F.col("table") == table)
         names = [r["file"] for r in files.where(touched).select("file").collect()]
-        return files.where(~touched), self._files(table, names)
+        return files.where(~touched), self.data_files(table, names)
 
-    def _files(self, table: str, names: list[str]) -> DataFrame:
+    def data_files(self, table: str, names: list[str]) -> DataFrame:
+        """The rows of some data files of a table, named as the manifest names them."""
         if not names:
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(*[f"{self.root}/{name}" for name in names])
@@ -162,7 +163,7 @@ class SnapshotStore:
         if files.count() > most:
             return self._read(scan_id, table)
         hit = directories.join(F.broadcast(files), F.col("parent").between(F.col("first"), F.col("last")))
-        return self._files(table, [r["file"] for r in hit.select("file").distinct().collect()])
+        return self.data_files(table, [r["file"] for r in hit.select("file").distinct().collect()])
 
     def bucket(self, scan_id: str, table: str, buckets: int) -> DataFrame:
         """Keep a snapshot's comparable columns as a catalog table bucketed by path.
@@ -188,7 +189,7 @@ class SnapshotStore:
     def _read(self, scan_id: str, table: str) -> DataFrame:
         if table in SHAREABLE and self._exists(self._folder("shared", scan_id) + "/_SUCCESS"):
             files = self.manifest(scan_id).where(F.col("table") == table)
-            return self._files(table, [r["file"] for r in files.select("file").collect()])
+            return self.data_files(table, [r["file"] for r in files.select("file").collect()])
         return self.spark.read.schema(TABLES[table]).parquet(self._folder(table, scan_id))
 
     def unpublished(self, scan_id: str, table: str) -> DataFrame:

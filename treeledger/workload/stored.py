@@ -57,3 +57,12 @@ def stored_deep_page(spark, sf):
     pages = [ledger.browse("new", recursive=True, sort=sort, offset=offset).items.select(F.lit(sort).alias("sort"), "path", "size")
              for sort in _DEEP]
     return reduce(DataFrame.unionByName, pages)
+
+
+@query("indexed_search", "C7 D8 H5", ("newf",), """
+SELECT path, size FROM newf WHERE contains(lower(path), 'doc-1') UNION ALL SELECT path, size FROM newf WHERE contains(path, 'LN-') OR contains(path, 'ln-')""")
+def indexed_search(spark, sf):
+    """Two literal searches, one in capitals, over data files that the index lets through."""
+    ledger = stored(spark, sf)
+    ledger.index_search("new")
+    return ledger.search("new", "Doc-1").unionByName(ledger.search("new", "LN-")).select("path", "size")
