@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from fixtures import documents, odd_texts
 
 from treeledger.llm import language, page_text, url_rules
@@ -222,3 +223,71 @@ def test_every_page_of_a_host_teaches_and_meets_one_wrapper(spark):
         own = [page_text.Page(html) for _, url, html in rows if host in url]
         wrapper = page_text.induce(own)
         assert [texts[i] for i, url, _ in rows if host in url] == [page.text(wrapper) for page in own]
+
+
+def test_all_of_250_languages_and_long_texts_in_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = []
+    for i in range(250):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 9)
+        words = ["".join(rng.choice(letters) for _ in range(5)) for _ in range(12)]
+        rows += [(f"l{i:03}", " ".join(rng.choice(words) for _ in range(30))) for _ in range(6)]
+    rows = [(j, text, lang) for j, (lang, text) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert len(model.languages) == 250
+    some = docs.where("doc_id % 40 = 0")
+    got = {r.doc_id: r.lang_pred for r in language.identify(some, model, keep=["doc_id"]).collect()}
+    assert sum(got[j] == lang for j, _, lang in rows if j in got) >= 0.95 * len(got)
+    texts = [(text * 40).encode() for _, text, _ in rows[:3]]
+    whole = language.cross_entropies(texts, model)[1]
+    monkeypatch.setattr(language, "HELD", 250 * 700)
+    assert abs(language.cross_entropies(texts, model)[1] - whole).max() < 1e-9
+    with pytest.raises(ValueError):
+        language.fit(docs, model_bytes=1000)
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<!doctype html><html><head><title>T</title><body><article><p>Hello world</p></article>", "Hello world"),
+    ("<html><head><title>T<body><article><p>Hello world</p></article>", "Hello world"),
+    ("<head><meta charset=x>Loose <p>text</p>", "Loose text"),
+    ('<article><h2 id="related-work">Related work</h2><p>text', "Related work text"),
+    ('<article><h2 id="search-methods">A</h2><h2 id="social-policy">B</h2><div class="share-price">12</div>'
+     '<p>Now <span class="ad">AD 79</span> and <a class="related">link</a></p></article>', "A B 12 Now AD 79 and link"),
+    ('<article><p>in</p><div class="related-posts">out</div><ul class="comment-list"><li>out</ul><div class="ad">out</div>'
+     '<section id="site-footer">out</section><div role="search">out</div></article>', "in"),
+    ('<body><form id="aspnetForm"><main><p>Body text</p></main></form>', "Body text"),
+    ("<body><div><button>Go <p>the rest of the page</p><p>stays</p></div>", "Go the rest of the page stays"),
+    ("<article><p>a</p><form><input><button>Send</button></form><p>and more of it</p></article><form>short</form>", "a and more of it"),
+    ("<main><h1>Story</h1><p>A long story of its own, of many words.</p><article>one</article><article>two</article></main>",
+     "Story A long story of its own, of many words. one two"),
+    ("<main><h1>Blog</h1><article><p>post one, long</p></article><article><p>post two, long</p></article></main>",
+     "post one, long post two, long")])
+def test_articles_are_kept(html, text):
+    assert page_text.Page(html).text() == text
+
+
+def test_tree_matching_against_all_matchings():
+    """The size of a matching is that of the best choice of pairs in order, tried one by one."""
+    rng = random.Random(6)
+
+    def tree(depth):
+        return rng.choice("ps") if depth == 0 else f"<{(t := rng.choice(['div', 'section']))}>" + "".join(
+            f"<p>{rng.randrange(3)}</p>" if rng.random() < 0.5 else tree(depth - 1) for _ in range(rng.randrange(4))) + f"</{t}>"
+
+    def best(a, b):
+        if a.tag != b.tag:
+            return 0
+        ours, theirs = page_text.elements(a), page_text.elements(b)
+
+        def pairs(i, j):
+            if i == len(ours) or j == len(theirs):
+                return 0
+            return max(pairs(i + 1, j), pairs(i, j + 1), best(ours[i], theirs[j]) + pairs(i + 1, j + 1))
+
+        return 1 + pairs(0, 0)
+
+    for _ in range(60):
+        a, b = (page_text.parse(f"<body>{tree(3)}{tree(2)}</body>") for _ in range(2))
+        size, found = page_text.matching(a, b)
+        assert size == best(a, b) == len(found)

@@ -29,6 +29,16 @@ def test_counts_are_those_of_the_library(spark, path):
     assert token_counts.count_tokens(docs.limit(0), path).collect() == []
 
 
+def test_every_code_point_is_classed_as_the_library_does(path):
+    counter, library = token_counts.Counter(token_counts.read_vocabulary(path)), tokenizers.Tokenizer.from_file(path)
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for before, after in (("е", "е"), ("1!", "'s")):
+        texts = [before + c + after for c in points]
+        want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+        got = counter.counts([t.encode() for t in texts])
+        assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+
+
 def test_forgotten_chunks_are_counted_again(path):
     counter = token_counts.Counter(token_counts.read_vocabulary(path), cached=3)
     texts = [b"one two three", b"four five six", b"one six nine ten"]
@@ -97,3 +107,47 @@ def test_notices_of_one_line_and_whole_licences(spark):
     assert (gpl.base_labels, gpl.n_base, gpl.score) == ("", 0, 1.0)
     many = documents(spark, [" ".join(["Licensed under CC BY 4.0"] * 20000)])
     assert licenses.digest(licenses.scan(many)).first().labels == "cc-by"
+
+
+def test_a_whole_licence_has_its_own_label_alone(spark):
+    texts = [text for _, text in licenses.full_texts()]
+    docs = spark.createDataFrame([(i, f"Copyright me\n{t}\nThe end") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.digest(licenses.scan(docs)).collect()}
+    assert got == {i: label for i, (label, _) in enumerate(licenses.full_texts())}
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("This project is not under the GPL", ""), ("It is not licensed under the MPL 2.0.", ""), ("Released under the GPL.", "gpl"),
+    ("Not mine. It is free and it is licensed under the GNU GPL", "gpl"), ("License: BSD-3-Clause", "bsd"),
+    ("This library is MIT licensed", "mit"), ("under the Eclipse Public License", "epl"), ("SPDX-License-Identifier: Artistic-2.0", "artistic"),
+    ("under the terms of the CC BY-NC and nothing else", "cc-by-nc")])
+def test_lines_and_denials(spark, text, labels):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert licenses.digest(licenses.scan(docs)).first().labels == labels
+
+
+def test_chains_against_direct_search():
+    """Every long match of a chain stands in template and text, in the order of both, and none is left out."""
+    rng = random.Random(12)
+    words = [f"w{i}".encode() for i in range(12)]
+    for _ in range(60):
+        template = [rng.choice(words) for _ in range(40)]
+        text = [rng.choice(words) for _ in range(10)]
+        at = rng.randrange(20)
+        text += template[at:at + 12] + [b"other"] * rng.randrange(3) + template[at + 13:] + [rng.choice(words) for _ in range(6)]
+        scanner = licenses.Scanner((), (("t", b" ".join(template).decode()),), match=4, gap=3, notices=())
+        (_,), (chains,) = scanner.scan([text])
+
+        def longest(end):
+            """Length of the longest stretch of the template that the text has before `end`."""
+            n = 0
+            while n < end and any(template[i:i + n + 1] == text[end - n - 1:end] for i in range(40 - n)):
+                n += 1
+            return n
+
+        lengths = [longest(i) for i in range(len(text) + 1)] + [0]
+        long = {i for i in range(len(text) + 1) if lengths[i] >= 4 and lengths[i + 1] <= lengths[i]}
+        assert {c[2] for c in chains} <= long and (max(long), bool(chains)) == (max(c[2] for c in chains), True)
+        for _, start, end, covered, matches in chains:
+            inside = [i for i in long if start < i <= end]
+            assert len(inside) >= matches and covered <= sum(lengths[i] for i in inside) and covered <= 40

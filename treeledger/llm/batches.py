@@ -18,14 +18,17 @@ def with_results(df: DataFrame, reads: list[str], schema: str, compute: Callable
 
     compute gets one Arrow array per read column and returns one sequence per new column.
     Rows neither move nor change their number. Input columns named like a new one, in any
-    case, give way to it. Only the kept and read columns are sent to Python.
+    case, give way to it. Only the kept and read columns are sent to Python. Columns are taken by
+    their places, so dots in names and names used in here do no harm.
     """
     new = T._parse_datatype_string(schema)
     taken = {field.name.lower() for field in new.fields}
     kept = [name for name in (df.columns if keep is None else keep) if name.lower() not in taken]
-    inputs = [f"_read{i}" for i in range(len(reads))]
-    chosen = df.select(*[df[name] for name in kept], *[df[name].alias(alias) for name, alias in zip(reads, inputs)])
-    out = T.StructType([chosen.schema[name] for name in kept] + new.fields)
+    placed, fields = df.toDF(*[f"_{i}" for i in range(len(df.columns))]), df.schema.fields
+    inputs, keys = [f"_read{i}" for i in range(len(reads))], [f"_kept{i}" for i in range(len(kept))]
+    chosen = placed.select(*[F.col(f"_{place_of(df, name)}").alias(alias) for name, alias in zip([*kept, *reads], [*keys, *inputs])])
+    own = [fields[place_of(df, name)] for name in kept]
+    out = T.StructType([T.StructField(name, field.dataType, field.nullable) for name, field in zip(kept, own)] + new.fields)
     kinds = [_arrow_type(field.dataType) for field in new.fields]
     names = out.names
 
@@ -33,11 +36,16 @@ def with_results(df: DataFrame, reads: list[str], schema: str, compute: Callable
         for batch in batches:
             results = compute(*[batch.column(name) for name in inputs])
             made = [pa.array(values, kind) for values, kind in zip(results, kinds)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in kept], *made], names=names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in keys], *made], names=names)
 
     return chosen.mapInArrow(run, out)
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """Where a column stands, by its exact name or else by it in any case."""
+    return df.columns.index(name) if name in df.columns else [c.lower() for c in df.columns].index(name.lower())
+
+
 def filtered(df: DataFrame, text: str, judge: Callable[[DataFrame, str], DataFrame], condition: str) -> DataFrame:
     """The rows that an operator's result lets through, with their own columns whatever these are called."""
     names = [f"_own{i}" for i in range(len(df.columns))]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.llm.batches import covered, filtered, slices, with_results
+from treeledger.llm.batches import covered, filtered, place_of, slices, with_results
 from treeledger.operators.joins import lookup_join
 
 WINDOW = 10
@@ -176,15 +176,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
 
 
 def _spans_by_text(docs: DataFrame, shared: list, text: str, keep: list[str] | None) -> DataFrame:
-    key = F.sha2(text, 256).alias("_text")
+    # Columns go by their places until the end, so that no name clashes with those used here.
+    names = [f"_own{i}" for i in range(len(docs.columns))]
+    placed, whole = docs.toDF(*names), names[place_of(docs, text)]
+    key = F.sha2(whole, 256).alias("_text")
     hits = None
     for block in shared:
-        own = spans_in(docs.select(key, text), block, text, ["_text"]).where(F.size("hit_spans") > 0)
+        own = spans_in(placed.select(key, whole), block, whole, ["_text"]).where(F.size("hit_spans") > 0)
         own = own.dropDuplicates(["_text"])
         hits = own if hits is None else hits.unionByName(own)
     hits = hits.groupBy("_text").agg(F.flatten(F.collect_list("hit_spans")).alias("_spans"),
                                      F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"))
-    keyed = docs.select("*", key, F.xxhash64(*docs.columns).alias("_spread"))
+    keyed = placed.select("*", key, F.monotonically_increasing_id().alias("_spread"))
     joined = lookup_join(keyed, hits, ["_text"], "left", ["_spread"])
 
     def merge(texts: pa.Array, spans: pa.Array, items: pa.Array):
@@ -199,7 +202,11 @@ def _spans_by_text(docs: DataFrame, shared: list, text: str, keep: list[str] | N
                 n_words.append(n)
         return n_words, merged, [names or [] for names in items.to_pylist()]
 
-    return with_results(joined, [text, "_spans", "_items"], RESULT, merge, docs.columns if keep is None else keep)
+    kept = docs.columns if keep is None else keep
+    merged = with_results(joined, [whole, "_spans", "_items"], RESULT, merge, [names[place_of(docs, name)] for name in kept])
+    results = merged.columns[len(kept):]
+    kept = [(names[place_of(docs, name)], name) for name in kept if name.lower() not in {r.lower() for r in results}]
+    return merged.select(*[F.col(own).alias(name) for own, name in kept], *results)
 
 
 def digest(found: DataFrame) -> DataFrame:

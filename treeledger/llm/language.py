@@ -12,7 +12,9 @@ from treeledger.llm.batches import slices, with_results
 from treeledger.sources.workspace import materialize
 
 ORDER, BITS = 4, 16
-PER_LANGUAGE, LANGUAGES = 1000, 200  # documents fitted for a language, languages learned (the most frequent)
+PER_LANGUAGE = 1000  # documents fitted for a language
+MOST_LANGUAGES, MODEL_BYTES = 100_000, 1 << 30  # beyond these, fit refuses
+HELD = 1 << 22  # log probabilities held at once, over characters and languages
 REJECTED = 0.995  # share of calibration texts of a language whose cross-entropy is accepted
 SHARPNESS = 50  # characters that a score is based on at most
 BREAK, OTHER, FIRST = 0, 1, 2  # character numbers: anything but letters, letters never seen, letters
@@ -136,10 +138,12 @@ def cross_entropies(texts: list[bytes | None], model: Model) -> tuple[np.ndarray
     codes, owner = sequences(texts, model.numbers)
     sizes = np.bincount(owner, minlength=len(texts))
     sums = np.zeros((len(texts), len(model.languages)))
-    if len(codes):
-        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        logs = log_probabilities(codes, model.tables)
-        sums[owner[starts]] = np.add.reduceat(logs, starts, axis=0, dtype=np.float64)
+    step = max(1, HELD // max(1, len(model.languages)))
+    for first in range(0, len(codes), step):
+        own = owner[first:first + step]
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        logs = log_probabilities(codes[first:first + step], model.tables)
+        sums[own[starts]] += np.add.reduceat(logs, starts, axis=0, dtype=np.float64)
     return sizes, -sums / np.maximum(sizes, 1)[:, None]
 
 
@@ -147,25 +151,31 @@ def remainder(doc_id: str) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 4
 
 
-def sample_of(docs: DataFrame, doc_id: str, text: str, label: str, held_out: int) -> DataFrame:
-    """(lang, fold, text) of at most PER_LANGUAGE labelled documents of each frequent language.
+def sample_of(docs: DataFrame, doc_id: str, text: str, label: str, held_out: int, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """(lang, fold, text) of at most `per_language` labelled documents of every language.
 
     Documents whose remainder is held out, without a label, text or id are left aside. The
     choice goes by a hash of the id: first by share, so that little is moved, then by rank.
     """
     labelled = docs.select(F.col(label).alias("lang"), F.col(text).alias("text"), F.xxhash64(doc_id).alias("h")).where(
         F.col(label).isNotNull() & F.col(text).isNotNull() & (remainder(doc_id) != held_out))
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    share = F.lit(2.0 * PER_LANGUAGE) / F.col("n")
+    sizes = materialize(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    if sizes.count() > MOST_LANGUAGES:
+        raise ValueError(f"{label} has more than {MOST_LANGUAGES} values and names no languages")
+    share = F.lit(2.0 * per_language) / F.col("n")
     near = labelled.join(F.broadcast(sizes), "lang").where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))
-    chosen = near.withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE)
+    chosen = near.withColumn("rank", rank).where(F.col("rank") <= per_language)
     return chosen.select("lang", (F.col("rank") % 5 == 0).alias("calibrates"), "text")
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", held_out: int = 2) -> Model:
-    """Fit the models on a bounded sample; what reaches the driver is bounded by it too."""
-    sample = materialize(sample_of(docs, doc_id, text, label, held_out))
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", held_out: int = 2,
+        per_language: int = PER_LANGUAGE, model_bytes: int = MODEL_BYTES) -> Model:
+    """Fit models of all languages on at most `per_language` documents of each; what reaches the driver is bounded by it too.
+
+    The models go to the tasks by a broadcast; ValueError if they would take more than model_bytes.
+    """
+    sample = materialize(sample_of(docs, doc_id, text, label, held_out, per_language))
     languages = [r[0] for r in sample.select("lang").distinct().orderBy("lang").collect()]
 
     def points(batches):
@@ -194,6 +204,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str
     fitted = sample.where("NOT calibrates").select("lang", "text").mapInArrow(grams, "lang long, code long, n long")
     rows = fitted.groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     lang, codes, n = (rows.column(c).to_numpy() for c in ("lang", "code", "n"))
+    if 4 * len(languages) * len(np.unique(codes)) > model_bytes:
+        raise ValueError(f"the models of {len(languages)} languages would take more than {model_bytes} bytes; lower per_language")
     counts = []
     for i in range(len(languages)):
         own = codes[lang == i].view(np.uint64)

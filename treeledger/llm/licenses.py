@@ -67,7 +67,9 @@ NAMES = (
       (("", ""), (" sa", " sharealike"), (" sa", " share alike"), (" nd", " noderivatives"), (" nd", " noderivs"),
        (" nc", " noncommercial"), (" nc", " non commercial"), (" nc sa", " noncommercial sharealike"),
        (" nc sa", " non commercial share alike"), (" nc nd", " noncommercial noderivatives"), (" nc nd", " non commercial no derivatives"))),
+    ("artistic", ("artistic license", "perl artistic license"), ("artistic 1 0", "artistic 2 0")),
     ("cc0", ("cc0", "creative commons zero", "creative commons cc0"), ("cc0",)),
+    ("epl", ("eclipse public license",), ("epl 1 0", "epl 2 0")),
     ("gpl", ("gnu general public license", "general public license", "gnu public license", "gnu gpl", "gpl", "gplv2", "gplv3"),
      ("gpl",)),
     ("isc", ("isc license",), ("isc",)),
@@ -87,7 +89,12 @@ LINES = (
     ("mpl-2", "mozilla public license 2 0"), ("apache-2", "apache 2 0 license"), ("apache-2", "mit or apache 2 0"),
     ("mit", "apache 2 0 or mit"), ("bsd", "bsd 2 clause license"), ("bsd", "bsd 3 clause license"),
     ("bsd", "3 clause bsd license"), ("bsd", "2 clause bsd license"), ("unlicense", "released into the public domain"),
+    ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("mit", "is mit licensed"), ("mit", "code mit licensed"),
+    ("epl", "eclipse public license version"), ("epl", "eclipse public license v"), ("epl", "eclipse public license 2 0"),
+    ("artistic", "artistic license 2 0"), ("artistic", "artistic license version"),
 )
+# A notice of one line after one of these, with at most NEAR words between, grants nothing.
+DENIALS, NEAR = frozenset((b"not", b"never", b"nor", b"isn", b"aren", b"cannot")), 2
 NOTICES = tuple((label, line) for label, line in dict.fromkeys((
     *LINES, *((label, f"{grant} {name}") for label, names, _ in NAMES for grant in GRANTS for name in names),
     *((label, f"spdx license identifier {own}") for label, _, ids in NAMES for own in ids))) if len(line.split()) >= 3)
@@ -230,15 +237,25 @@ class Scanner:
                     open_[which] = [end - length, end, length, min(ends), 1]
         return done + [(which, *chain[:3], chain[4]) for which, chain in open_.items()]
 
-    def named(self, places: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-        """Notices (number, start, end, words) outside longer ones of another licence: CC BY is none inside CC BY-NC."""
-        spans = [(which, at, at + self.sizes[which], self.sizes[which]) for which, at in places if which >= self.phrases]
-        return self._best(spans, lambda x, y: y[1] <= x[1] and x[2] <= y[2] and y[3] > x[3])
+    def notices(self, places: list[tuple[int, int]], words: list[bytes]) -> list[tuple[int, int, int, int]]:
+        """Notices of one line as (number, start, end, words), without those that the words before deny."""
+        return [(which, at, at + self.sizes[which], self.sizes[which]) for which, at in places
+                if which >= self.phrases and DENIALS.isdisjoint(words[max(0, at - NEAR - 1):at])]
 
-    def closer(self, chains: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-        """Spans without those that lie by more than half in one of another licence with more words, or as many in fewer matches."""
-        best = self._best(chains, lambda x, y: 2 * (min(x[2], y[2]) - max(x[1], y[1])) > x[2] - x[1] and (y[3], -y[4]) > (x[3], -x[4]))
-        return [chain[:4] for chain in best]
+    def chosen(self, chains: list[tuple[int, int, int, int, int]], notices: list[tuple[int, int, int, int]]
+               ) -> list[tuple[int, int, int, int]]:
+        """Spans (template or notice, start, end, words) in one contest between licences.
+
+        A span loses to one of another licence with more words, or as many in fewer matches,
+        that holds more than half of it; a notice only to one that holds all of it. So CC BY is
+        none inside CC BY-NC, and a licence that a found one mentions is none either.
+        """
+        def loses(x, y):
+            shared = min(x[2], y[2]) - max(x[1], y[1])
+            inside = shared == x[2] - x[1] if x[0] < self.whole else 2 * shared > x[2] - x[1]
+            return inside and (y[3], -y[4]) > (x[3], -x[4])
+
+        return [span[:4] for span in self._best([*chains, *((*n, 1) for n in notices)], loses)]
 
     def _best(self, spans: list[tuple], loses: Callable[[tuple, tuple], bool]) -> list[tuple]:
         """Spans that lose to none of another licence, in order of their starts; only spans that overlap are compared."""
@@ -271,7 +288,8 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, cov
     A phrase stands whole, with cover 1, and so does a notice of one line, which is a span. Any
     other span chains long matches with one template; cover is the share of the template's words
     that it holds, at least `covered` or PASSAGE words of it. Where spans of two licences overlap
-    the one with more words stays. closest is the best cover of any chain, also below that. A
+    the one with more words stays, so a licence that a found one mentions has no span; nor has a
+    notice that the words before it deny. Repeated rows get equal results. closest is the best cover of any chain, also below that. A
     null text has no words. Templates (by default the notices and the whole licences) are few,
     so their automaton goes out with the tasks. Of an SPDX expression the first licence counts.
     """
@@ -284,9 +302,8 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, cov
             for own, places, chains in zip(words, *scanner.scan(words)):
                 said = [{"label": scanner.labels[w], "start": at, "end": at + scanner.sizes[w], "cover": 1.0}
                         for w, at in sorted(places, key=lambda p: p[::-1]) if w < scanner.phrases]
-                found = [(a, b, n, w) for w, a, b, n in scanner.closer(
-                    [c for c in chains if c[3] >= min(covered * scanner.sizes[c[0]], PASSAGE)])]
-                found += [(a, b, n, w) for w, a, b, n in scanner.named(places)]
+                found = [(a, b, n, w) for w, a, b, n in scanner.chosen(
+                    [c for c in chains if c[3] >= min(covered * scanner.sizes[c[0]], PASSAGE)], scanner.notices(places, own))]
                 spans = [{"label": scanner.labels[w], "start": a, "end": b, "cover": min(1.0, n / scanner.sizes[w])}
                          for a, b, n, w in sorted(found)]
                 closest = max([s["cover"] for s in said + spans] + [min(1.0, c[3] / scanner.sizes[c[0]]) for c in chains],

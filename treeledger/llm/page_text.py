@@ -23,7 +23,14 @@ SKIPPED = frozenset("head title script style noscript template iframe object svg
                     "nav footer aside dialog menu".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
                    "strike strong sub sup time tt u var wbr".split())
-# Words in class, id or role that name a region beside the article.
+HEAD_ONLY = frozenset("base link meta noscript script style template title".split())
+# Elements that may be a region by their class, id or role; a heading or a stretch of a line is none.
+REGIONS = frozenset("center div dl fieldset figure ol p section table td ul".split())
+# Words that say how a region is laid out, in names such as comment-list.
+LAYOUT = frozenset("area article articles bar block bottom box buttons center column container content entries fixed form "
+                   "group header inner item items left link links list main outer page panel post posts right row section "
+                   "site slot small sticky story stories top unit wide wrap wrapper".split())
+# Words that name a region beside the article.
 BESIDE = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary "
                    "consent contentinfo cookie cookies disqus footer gdpr header menu modal nav navbar navigation "
                    "newsletter notice pagination popup promo promotion related replies reply respond search share "
@@ -39,10 +46,10 @@ HOSTS_CUT = 1 << 16  # a host is cut once it has more than one in so many of all
 
 
 class Node:
-    __slots__ = ("tag", "names", "children", "parent", "depth")
+    __slots__ = ("tag", "names", "region", "children", "parent", "depth")
 
-    def __init__(self, tag: str, names: frozenset = frozenset(), parent: "Node | None" = None):
-        self.tag, self.names, self.parent = tag, names, parent
+    def __init__(self, tag: str, names: frozenset = frozenset(), parent: "Node | None" = None, region: bool = False):
+        self.tag, self.names, self.parent, self.region = tag, names, parent, region
         self.children: list[Node | str] = []
         self.depth = 0 if parent is None else parent.depth + 1
 
@@ -59,9 +66,11 @@ class Builder(HTMLParser):
             self._end(("p",), HOLDERS)
         if tag in ENDS:
             self._end(ENDS[tag], HOLDERS - {"tbody", "thead", "tfoot"} if tag == "tr" else HOLDERS)
-        names = frozenset(word for key, value in attrs if key in ("class", "id", "role") and value
-                          for word in value.lower().replace("_", "-").replace("-", " ").split())
-        node = Node(tag, names, self.here)
+        if tag not in HEAD_ONLY and tag != "head":
+            self._leave_head()
+        tokens = [token.split("-") for key, value in attrs if key in ("class", "id", "role") and value
+                  for token in value.lower().replace("_", "-").split()]
+        node = Node(tag, frozenset(word for token in tokens for word in token if word), self.here, any(map(names_region, tokens)))
         self.here.children.append(node)
         if tag not in VOID and node.depth < DEPTH:
             self.here = node
@@ -81,8 +90,16 @@ class Builder(HTMLParser):
             self.here = node.parent
 
     def handle_data(self, data):
+        if self.here.tag == "head" and data.strip():
+            self._leave_head()
         self.here.children.append(data)
 
+    def _leave_head(self):
+        """What cannot stand in a head ends it, though its end tag be left out."""
+        node = self.here.parent if self.here.tag == "title" else self.here
+        if node is not None and node.tag == "head":
+            self.here = node.parent
+
     def unknown_decl(self, data):
         if data.startswith("CDATA["):
             self.handle_data(data[6:])
@@ -103,10 +120,30 @@ class Builder(HTMLParser):
             self.here = found.parent
 
 
+def names_region(parts: list[str]) -> bool:
+    """Whether a name, cut at its hyphens, is that of a region: a word for one, with none but words for its layout."""
+    words = [part for part in parts if part and not part.isdigit()]
+    return any(w in BESIDE for w in words) and all(w in BESIDE or w in LAYOUT for w in words)
+
+
 def parse(html: str) -> Node:
+    """The tree of a page. A form or button around a main region, an article or most of the text is an ordinary block."""
     builder = Builder()
     builder.feed(html)
     builder.close()
+    sizes: dict[int, tuple[int, bool]] = {}
+    stack, order = [builder.root], []
+    while stack:
+        order.append(node := stack.pop())
+        stack += [c for c in node.children if isinstance(c, Node)]
+    for node in reversed(order):
+        inner = [sizes[id(c)] for c in node.children if isinstance(c, Node)]
+        text = 0 if node.tag in ("script", "style") else sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        sizes[id(node)] = text + sum(n for n, _ in inner), node.tag in ("main", "article") or any(has for _, has in inner)
+    whole = sizes[id(builder.root)][0]
+    for node in order:
+        if node.tag in ("form", "button") and (sizes[id(node)][1] or 2 * sizes[id(node)][0] > whole):
+            node.tag = "div"
     return builder.root
 
 
@@ -118,16 +155,17 @@ def beside(node: Node, inside: bool) -> bool:
         return False
     if node.tag == "header":
         return not inside
-    return bool(node.names & BESIDE)
+    return node.tag in REGIONS and node.region
 
 
 def main_roots(root: Node) -> list[Node]:
     """Articles outside other regions, or else the outermost main regions, or else everything.
 
     A main region is a main element, or a block with the word main in class, id or role that
-    holds most of the page's text; so a heading of class main-title is none.
+    holds most of the page's text; so a heading of class main-title is none. A main element
+    with more text outside of its articles than in the longest of them is the article itself.
     """
-    articles, mains, stack = [], [], [(root, True)]
+    articles, mains, whole, stack = [], [], [], [(root, True)]
     everything = None
     while stack:
         node, outermost = stack.pop()
@@ -135,15 +173,30 @@ def main_roots(root: Node) -> list[Node]:
             articles.append(node)
             continue
         if outermost and node.tag == "main":
-            mains.append(node)
             outermost = False
+            mains.append(node)
+            nested = list(articles_in(node))
+            longest = max(map(size_of, nested), default=0)
+            if nested and size_of(node) - sum(map(size_of, nested)) > longest:
+                whole.append(node)
+                continue
         elif outermost and "main" in node.names and node.tag not in ("html", "body") and node.tag not in INLINE:
             everything = size_of(root) if everything is None else everything
             if 2 * size_of(node) > everything:
                 mains.append(node)
                 outermost = False
         stack += [(c, outermost) for c in reversed(node.children) if isinstance(c, Node) and not beside(c, False)]
-    return articles or mains or [root]
+    return whole + articles or mains or [root]
+
+
+def articles_in(node: Node) -> Iterator[Node]:
+    """The outermost articles below an element and outside the regions beside it."""
+    for child in node.children:
+        if isinstance(child, Node) and not beside(child, True):
+            if child.tag == "article":
+                yield child
+            else:
+                yield from articles_in(child)
 
 
 def size_of(node: Node) -> int:
@@ -471,6 +524,13 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     make its wrapper, and every page meets that one: the wrappers are joined to the pages where
     these lie, or with hot hosts cut, as Spark finds their measured size. A null or empty html has
     an empty text; pages without a url form a host of their own; repeated rows stay.
+
+    Beside the article are the elements of SKIPPED, a header outside of it, and the blocks
+    of REGIONS whose class, id or role is a word of BESIDE, alone or with words of LAYOUT:
+    comment-list is such a name, share-price and related-work are none, and headings, links
+    and stretches of a line never go. Tags that html lets authors leave out are supplied: an
+    open head ends where its content cannot stand. Elements that a style or the attribute
+    hidden keeps from view are read like others.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"),
                         F.xxhash64(host_of(url)).alias("site"))

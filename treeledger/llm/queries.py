@@ -175,8 +175,7 @@ URL_SQL = r"""
         coalesce(own.verdict, other.verdict, 'allow') AS verdict, other.rule AS default_rule
     FROM parts LEFT JOIN (SELECT * FROM fits WHERE listed AND place = 1) own USING (page_id)
         LEFT JOIN (SELECT * FROM fits WHERE NOT listed AND place = 1) other USING (page_id)"""
-URL_RULES = ", ".join(f"('{v}', '{h}', '{p}', {listed})" for rules, listed in ((url_rules.RULES, True), (url_rules.DEFAULTS, False))
-                      for v, h, p in rules)
+URL_RULES = ", ".join(f"('{v}', '{h}', '{p}', true)" for v, h, p in url_rules.RULES)
 
 
 @query("op3_urls", URL_SQL.format(rules=URL_RULES))

@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from treeledger.llm.batches import slices, with_results
 
@@ -39,10 +40,12 @@ KINDS = BASE_KINDS + tuple(dict.fromkeys(c.kind for c in CLASSES))
 
 # Words of a case, or of several parts of two letters and more in one: random letters change their case more often.
 WORD = r"(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)*+[A-Za-z]?"
+# Parts of paths, slugs and times, which are judged one by one: a number with a few letters, or words with a number.
+PIECE = rf"(?>[0-9]++[A-Za-z]{{0,3}}[0-9]{{0,4}}(?![A-Za-z0-9])|{WORD}[0-9]{{0,4}}(?![A-Za-z0-9]))"
 # A candidate that matches one of these as a whole is no secret: identifiers, words, paths, rulers.
 ALLOWED = tuple(re.compile(p) for p in (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"[0-9]+", rf"{WORD}([-_/+=]{WORD})*", r"[0-9]*([-_/+=.][0-9]*)+",
+    r"[0-9]+", rf"{WORD}([-_/+=]{WORD})*", rf"{PIECE}([-_/]+{PIECE})*[-_/]*", rf"[-_/]+{PIECE}([-_/]+{PIECE})*[-_/]*", r"[0-9]*([-_/+=.][0-9]*)+",
 ))
 # No window with one of these is a secret; the rest of its candidate may hold one.
 PLACEHOLDER = re.compile(r"example|placeholder|changeme|your[-_]", re.IGNORECASE)
@@ -156,4 +159,4 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
         return [values, sizes] if lengths is not None else [values]
 
     schema = ", ".join(f"`{name}` {docs.schema[name].dataType.simpleString()}" for name in reads)
-    return with_results(docs, reads, schema, compute).select(*docs.columns)
+    return with_results(docs, reads, schema, compute).select(*[F.col(f"`{name.replace('`', '``')}`") for name in docs.columns])

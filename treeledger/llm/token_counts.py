@@ -2,6 +2,7 @@
 
 import json
 import unicodedata
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -15,8 +16,23 @@ from treeledger.llm.batches import slices, with_results
 CACHED_CHUNKS = 1_000_000  # counts of distinct chunks that a task keeps; beyond that it starts anew
 # Space for str.split but not for the vocabulary's splitter.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
-# Capitals of Unicode 16, which the vocabulary's library lower-cases and Python does not yet.
-NEW_CAPITALS = {0xA7CB: 0x264, 0xA7DC: 0x19B} | {0x10D50 + i: 0x10D70 + i for i in range(22)}
+# Capitals up to Unicode 17, which the vocabulary's library lower-cases and Python does not yet.
+NEW_CAPITALS = {0xA7CB: 0x264, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DC: 0x19B} | {0x10D50 + i: 0x10D70 + i for i in range(22)}
+# First and last code points of letters and numbers that are newer than Unicode 16, which the
+# vocabulary's library goes by. It takes them for signs.
+NEWER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F),
+    (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2),
+    (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7),
+    (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1),
+    (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3),
+    (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2),
+    (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6),
+    (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE),
+    (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF),
+    (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+NEWER_CLASS = "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in NEWER)
 NONE = np.iinfo(np.int64).max
 
 
@@ -106,6 +122,9 @@ class Counter:
     def __init__(self, merges: Merges, cached: int = CACHED_CHUNKS):
         self.merges, self.cached, self.known = merges, cached, {}
         self.pieces = regex.compile(merges.splitter)
+        self.newer = regex.compile(f"[{NEWER_CLASS}]")
+        kinds = ((rf"\p{{{kind}}}", rf"[\p{{{kind}}}--[{NEWER_CLASS}]]") for kind in "LN")
+        self.old_pieces = regex.compile(reduce(lambda p, kind: p.replace(*kind), kinds, merges.splitter), regex.V1)
         self.special = regex.compile("|".join(map(regex.escape, merges.specials))) if merges.specials else None
 
     def chunks(self, text: str) -> tuple[list[str], int]:
@@ -126,7 +145,8 @@ class Counter:
 
     def learn(self, chunks: set[str]) -> None:
         new = list(chunks)
-        pieces = [self.pieces.findall(chunk) for chunk in new]
+        pieces = [(self.old_pieces if not chunk.isascii() and self.newer.search(chunk) else self.pieces).findall(chunk)
+                  for chunk in new]
         sizes = np.array([len(p) for p in pieces], np.int64)
         counts = symbol_counts([word.encode() for p in pieces for word in p], self.merges)
         sums = np.r_[0, np.cumsum(counts)]

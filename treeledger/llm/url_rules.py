@@ -10,8 +10,6 @@ from treeledger.sources.workspace import materialize
 
 # (verdict, host, path): fixed values.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-# What decides where no rule fits: hosts that serve advertising or spam.
-DEFAULTS = (("block", "ads-track.example.org", ""), ("block", "spam-farm.example.org", ""))
 MARK = "\x00"  # ends each label of a key, so that a host's key is a prefix of its subdomains' keys only
 
 
@@ -153,6 +151,6 @@ def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str
                            "verdict string, default_rule string")
 
 
-def rule_table(spark, rules=RULES, defaults=DEFAULTS) -> DataFrame:
+def rule_table(spark, rules=RULES, defaults=()) -> DataFrame:
     rows = [(*rule, True) for rule in rules] + [(*rule, False) for rule in defaults]
     return spark.createDataFrame(rows, "verdict string, host string, path string, listed boolean")
