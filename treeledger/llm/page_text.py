@@ -40,6 +40,7 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
         "th": ("td", "th"), "option": ("option",)}
 HOLDERS = frozenset("ul ol dl table tbody thead tfoot body article main section div select".split())
 DEPTH = 150  # deeper elements become children of the one at this depth; their text stays
+NAMES_KEPT = 1 << 16  # class names and the like that a worker keeps read
 AGREEING = 3  # articles that make a text constant
 GROUP_PAGES = 250  # a host with more pages than this may be cut into groups
 HOSTS_CUT = 1 << 16  # a host is cut once it has more than one in so many of all pages, so no more hosts are cut
@@ -57,9 +58,12 @@ class Node:
 class Builder(HTMLParser):
     """A forgiving tree: unknown end tags are dropped, a block ends an open paragraph, all ends with the page."""
 
+    known: dict[str, tuple[frozenset, bool]] = {}
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.here = Node("#root")
+        self.wraps = False
 
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE and tag not in VOID:
@@ -68,9 +72,13 @@ class Builder(HTMLParser):
             self._end(ENDS[tag], HOLDERS - {"tbody", "thead", "tfoot"} if tag == "tr" else HOLDERS)
         if tag not in HEAD_ONLY and tag != "head":
             self._leave_head()
-        tokens = [token.split("-") for key, value in attrs if key in ("class", "id", "role") and value
-                  for token in value.lower().replace("_", "-").split()]
-        node = Node(tag, frozenset(word for token in tokens for word in token if word), self.here, any(map(names_region, tokens)))
+        names, region = frozenset(), False
+        for key, value in attrs:
+            if key in ("class", "id", "role") and value:
+                more, beside_ = read_names(value, self.known)
+                names, region = names | more if names else more, region or beside_
+        self.wraps = self.wraps or tag in ("form", "button")
+        node = Node(tag, names, self.here, region)
         self.here.children.append(node)
         if tag not in VOID and node.depth < DEPTH:
             self.here = node
@@ -126,11 +134,24 @@ def names_region(parts: list[str]) -> bool:
     return any(w in BESIDE for w in words) and all(w in BESIDE or w in LAYOUT for w in words)
 
 
+def read_names(value: str, known: dict[str, tuple[frozenset, bool]]) -> tuple[frozenset, bool]:
+    """The words of a class, id or role, and whether any of its names is that of a region; known keeps what was read."""
+    if value in known:
+        return known[value]
+    if len(known) >= NAMES_KEPT:
+        known.clear()
+    tokens = [token.split("-") for token in value.lower().replace("_", "-").split()]
+    known[value] = frozenset(word for token in tokens for word in token if word), any(map(names_region, tokens))
+    return known[value]
+
+
 def parse(html: str) -> Node:
     """The tree of a page. A form or button around a main region, an article or most of the text is an ordinary block."""
     builder = Builder()
     builder.feed(html)
     builder.close()
+    if not builder.wraps:
+        return builder.root
     sizes: dict[int, tuple[int, bool]] = {}
     stack, order = [builder.root], []
     while stack:
