@@ -73,7 +73,7 @@ def test_audit_against_the_rule(spark):
     rows += [("aa", "odd", t) for t in odd_texts()]
     docs = spark.createDataFrame(rows, "lang string, source string, text string").selectExpr("*", "1 AS term", "2 AS `a.b`", "3 AS n")
     want = direct(rows)
-    for options in ({}, {"leaves": 4, "width": 2, "at_least": 1}):
+    for options in ({}, {"leaves": 4, "width": 2, "at_least": 1, "small": 0}):
         assert sorted(map(tuple, D.audit(docs, **options).collect())) == want
     assert {r[0] for r in want if r[2] == "pair" and r[4] == 0} >= {"rare", "void"}
     small = D.audit(docs, least_documents=1, top_terms=2, leaves=2, width=3)

@@ -17,6 +17,7 @@ GROUPS = 64  # groups whose trees a task holds of each side
 PRICED = 1 << 20  # pairs of leaves that are looked at together
 HELD_TERMS = 500_000  # counts that a task adds up before it hands them on
 HEAVY_ROWS = 10_000
+SMALL_GROUPS = 100_000  # up to so many groups their table is broadcast
 PAD = -1  # count of a leaf that stands for no term
 
 # Letters are ASCII ones, lowered, and all that is not ASCII.
@@ -59,7 +60,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
         yield flush()
 
     made = docs.select("lang", "source", "text").mapInArrow(count, "lang string, source string, term string, n long, docs long")
-    return made.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # A task's rows are added up already; another partial sum of them would be work for nothing.
+    return made.repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def consed(leaves: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -146,7 +148,7 @@ def block_prices(left: tuple, right: tuple, leaves: int, same: bool) -> list[tup
 
 
 def _numbered(terms: DataFrame, leaves: int) -> DataFrame:
-    """Kept terms (lang, term) with block and leaf, their place in the order of the language's terms.
+    """Kept terms (lang, term, ...) with block and leaf, their place in the order of the language's terms.
 
     A range sort lays them out; its parts, counted by language, tell where each begins.
     """
@@ -158,25 +160,29 @@ def _numbered(terms: DataFrame, leaves: int) -> DataFrame:
     parts = parts.select("lang", "_part", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     place = F.col("_at") - F.col("_first") + F.col("_before")
     return laid.join(parts, ["lang", "_part"]).select(
-        "lang", "term", F.floor(place / leaves).alias("block"), F.pmod(place, F.lit(leaves)).cast("int").alias("leaf"))
+        *terms.columns, F.floor(place / leaves).alias("block"), F.pmod(place, F.lit(leaves)).cast("int").alias("leaf"))
 
 
-def pair_sums(counts: DataFrame, groups: DataFrame, kept: DataFrame, leaves: int = LEAVES, width: int = GROUPS,
-              at_least: int = HEAVY_ROWS) -> DataFrame:
+def with_groups(rows: DataFrame, groups: DataFrame, at_least: int, small: int = SMALL_GROUPS) -> DataFrame:
+    """Rows with the facts of their (lang, source): by a broadcast of few groups, or a join that splits large ones."""
+    if groups.count() <= small:
+        return rows.join(F.broadcast(groups), ["lang", "source"])
+    return lookup_join(rows, groups, ["lang", "source"], "inner", ["term"], at_least=at_least)
+
+
+def pair_sums(counts: DataFrame, groups: DataFrame, numbered: DataFrame, width: int = GROUPS, at_least: int = HEAVY_ROWS,
+              small: int = SMALL_GROUPS) -> DataFrame:
     """lang, source, other, value for every pair of sources of a language, each pair once.
 
-    counts is (lang, source, term, n) of kept terms; groups (lang, source, total), total the
-    denominator of its frequencies; kept (lang, term). The terms of a language are cut into
-    blocks, its sources into cells; a task prices the trees of two cells over one block.
+    counts is (lang, source, term, n, block, leaf) of kept terms; groups (lang, source, total),
+    total the denominator of its frequencies; numbered (lang, block) of every kept term. The
+    terms of a language are cut into blocks, its sources into cells; a task prices the trees
+    of two cells over one block.
     """
     place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     groups = materialize(groups.withColumn("_at", place).select(
         "lang", "source", "total", F.floor(F.col("_at") / width).alias("cell"), F.pmod("_at", F.lit(width)).alias("slot")))
-    numbered = materialize(_numbered(kept, leaves))
-    per_term = counts.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("_rows"))
-    entries = lookup_join(counts, numbered, ["lang", "term"], "inner", ["source"], per_term, at_least=at_least)
-    per_group = materialize(counts.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("_rows")))
-    entries = lookup_join(entries, groups, ["lang", "source"], "inner", ["term"], per_group, at_least=at_least)
+    entries = with_groups(counts, groups.select("lang", "source", "cell", "slot"), at_least, small)
     filled = entries.groupBy("lang", "block", "cell").agg(F.collect_list(F.struct("slot", "leaf", "n")).alias("entries"))
     cells = groups.groupBy("lang", "cell").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "total"))),
                                                            lambda s: s["total"]).alias("totals"))
@@ -221,7 +227,7 @@ def _frequency(n: Column, total: Column) -> Column:
 
 def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text",
           least_documents: int = LEAST_DOCUMENTS, top_terms: int = TOP_TERMS, leaves: int = LEAVES, width: int = GROUPS,
-          at_least: int = HEAVY_ROWS) -> DataFrame:
+          at_least: int = HEAVY_ROWS, small: int = SMALL_GROUPS) -> DataFrame:
     """lang, source, part, item, value, rank of every (lang, source) that occurs.
 
     Part `pair`: every other source of the language, by how far its words are from this one's.
@@ -238,9 +244,10 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     known = counts.groupBy("lang", "term").agg(F.sum("n").alias("all_n"), F.sum("docs").alias("docs"),
                                                F.count(F.lit(1)).alias("_rows"))
     kept = materialize(known.where(F.col("docs") >= least_documents).select("lang", "term", "all_n", "_rows"))
-    counts = materialize(lookup_join(counts.drop("docs"), kept.drop("_rows"), ["lang", "term"], "inner", ["source"],
+    numbered = materialize(_numbered(kept.drop("_rows"), leaves))
+    counts = materialize(lookup_join(counts.drop("docs"), numbered, ["lang", "term"], "inner", ["source"],
                                      kept.select("lang", "term", "_rows"), at_least=at_least)
-                         .select("lang", "source", "term", "n", "all_n"))
+                         .select("lang", "source", "term", "n", "all_n", "block", "leaf"))
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("all_n").alias("all_total"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
@@ -248,8 +255,8 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
         "lang", "source", (F.coalesce("total", F.lit(0)) + 2 * F.coalesce("v", F.lit(0))).alias("total"),
         (F.coalesce("all_total", F.lit(0)) + 2 * F.coalesce("v", F.lit(0))).alias("all_total")))
 
-    sums = pair_sums(counts.drop("all_n"), groups.select("lang", "source", "total"), kept.select("lang", "term"),
-                     leaves, width, at_least)
+    sums = pair_sums(counts.drop("all_n"), groups.select("lang", "source", "total"), numbered.select("lang", "block"),
+                     width, at_least, small)
     both = sums.unionByName(sums.select("lang", F.col("other").alias("source"), F.col("source").alias("other"), "value"))
     wordless = groups.where("total = 0").select("lang", "source")
     alone = wordless.join(wordless.toDF("lang", "other"), "lang").where("source != other")
@@ -258,8 +265,7 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     pairs = both.select("lang", "source", F.lit("pair").alias("part"), F.col("other").alias("item"), "value")
     pairs = pairs.withColumn("rank", F.row_number().over(by))
 
-    per_group = counts.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("_rows"))
-    priced = lookup_join(counts, groups, ["lang", "source"], "inner", ["term"], per_group, at_least=at_least)
+    priced = with_groups(counts, groups, at_least, small)
     p, q = _frequency(F.col("n"), F.col("total")), _frequency(F.col("all_n"), F.col("all_total"))
     priced = priced.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), p.alias("p"), q.alias("q"))
     apart = F.col("p") - F.col("q")
