@@ -8,27 +8,28 @@ from treeledger.operators import compare as C
 from treeledger.operators import scope_changes as S
 from treeledger.operators.paging import check_page
 
-OLD = {"/r/folder/resize.txt": 3, "/r/removed.txt": 5, "/r/unchanged.txt": 4}
-NEW = {"/r/folder/resize.txt": 8, "/r/folder2/added.txt": 2, "/r/unchanged.txt": 4}
+BEFORE = {"/r/docs/plan-A.odt": 40, "/r/docs/old/notes": 7, "/r/docs-2/plan": 11, "/r/pics/1.png": 900, "/r/pics/2.png": 901}
+AFTER = {"/r/docs/plan-A.odt": 31, "/r/docs-2/plan": 11, "/r/pics/1.png": 900, "/r/pics/2.png": 1000, "/r/pics/3.png": 50, "/r/z": 0}
 
 
 def test_counts_and_signed_delta(files):
-    old, new = files(OLD), files(NEW)
+    old, new = files(BEFORE), files(AFTER)
+    net = sum(AFTER.values()) - sum(BEFORE.values())
     assert C.change_counts(C.changes(old, new)).first().asDict() == {
-        "added": 1, "removed": 1, "resized": 1, "total": 3, "delta_bytes": 2}
-    assert C.change_counts(C.changes(new, old)).first()["delta_bytes"] == -2
-    assert C.change_counts(C.changes(old, old)).first().asDict() == {
-        "added": 0, "removed": 0, "resized": 0, "total": 0, "delta_bytes": 0}
-    rows = {r["path"]: r for r in as_dicts(C.changes(old, new))}
-    assert rows["/r/folder/resize.txt"]["delta_bytes"] == 5
-    assert rows["/r/removed.txt"]["current_size"] is None and rows["/r/folder2/added.txt"]["baseline_size"] is None
+        "added": 2, "removed": 1, "resized": 2, "total": 5, "delta_bytes": net}
+    back = C.change_counts(C.changes(new, old)).first()
+    assert (back["added"], back["removed"], back["delta_bytes"]) == (1, 2, -net)
+    assert set(C.change_counts(C.changes(new, new)).first().asDict().values()) == {0}
+    rows = {r["path"]: (r["baseline_size"], r["current_size"], r["delta_bytes"]) for r in as_dicts(C.changes(old, new))}
+    assert rows == {"/r/docs/plan-A.odt": (40, 31, -9), "/r/docs/old/notes": (7, None, -7), "/r/pics/2.png": (901, 1000, 99),
+                    "/r/pics/3.png": (None, 50, 50), "/r/z": (None, 0, 0)}
 
 
 @pytest.mark.parametrize("options, expected", [
-    ({"scope": "/r/folder"}, 1), ({"kind": "removed"}, 1), ({"kind": "added"}, 1), ({"kind": "resized"}, 1),
-    ({"query": "%_'"}, 0), ({"query": "RESIZE"}, 1), ({"scope": "/r/folder2", "kind": "removed"}, 0)])
+    ({"scope": "/r/docs"}, 2), ({"scope": "/r/docs-2"}, 0), ({"scope": "/r/pics", "kind": "resized"}, 1), ({"kind": "added"}, 2),
+    ({"query": "PLAN-a"}, 1), ({"query": ".p_g"}, 0), ({"query": "%"}, 0), ({"scope": "/r/pics", "kind": "removed"}, 0)])
 def test_filters(files, options, expected):
-    assert C.changes(files(OLD), files(NEW), **options).count() == expected
+    assert C.changes(files(BEFORE), files(AFTER), **options).count() == expected
 
 
 def test_removed_zero_length_file(files):
@@ -88,11 +89,15 @@ def test_one_class_each_and_only_below_the_scope(spark):
     assert row["content_verified"] is False
 
 
-@pytest.mark.parametrize("before, after", [(0, 4), (4, 0), (0, 0)])
-def test_unknown_inode_is_no_replacement(spark, before, after):
-    rows = S.classify(scope_table(spark, [("/part/zero", 0, 1, before, "old")]),
-                      scope_table(spark, [("/part/zero", 0, 2, after, "new")]), "/part")
-    assert [r["kind"] for r in rows.collect()] == ["metadata_changed"]
+def test_inodes_that_no_side_knows_replace_nothing(spark):
+    """Every mixture of known and unknown inodes, on the same device and on another one."""
+    cases = [(one, two, device) for one in (0, 70, 71) for two in (0, 70, 71) for device in (5, 6)]
+    old = [(f"/part/c{i}", 12, 5, one, "f") for i, (one, _, _) in enumerate(cases)]
+    new = [(f"/part/c{i}", 12, device, two, "g") for i, (_, two, device) in enumerate(cases)]
+    got = {r["path"]: r["kind"] for r in S.classify(scope_table(spark, old), scope_table(spark, new), "/part").collect()}
+    for i, (one, two, device) in enumerate(cases):
+        told_apart = one and two and (one != two or device != 5)
+        assert got[f"/part/c{i}"] == ("replaced" if told_apart else "metadata_changed")
 
 
 def test_large_inodes_stay_apart(spark):
