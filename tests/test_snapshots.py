@@ -98,6 +98,14 @@ def test_comparison(ledger):
     assert first.meta.first()["has_more"] is True
     assert first.items.first()["path"] < second.items.first()["path"]
     assert found.page(999).items.count() == 0
+    for other in (found, ledger.compare("before", "after")):
+        for rows in (2, 100):
+            far = other.last_page(rows)
+            assert [r["path"] for r in far.items.collect()] == [r["path"] for r in found.rows.collect()][-rows:]
+            meta = far.meta.first()
+            assert meta["total"] == 4 and meta["offset"] == max(0, 4 - rows) and not meta["has_more"]
+    with pytest.raises(ComparisonError):
+        found.last_page(0)
     assert ledger.compare("before", "after", "/r/folder").counts().first()["total"] == 1
     partial = ledger.compare("before", "partial")
     assert not partial.coverage_complete and partial.warnings and partial.current["complete"] is False

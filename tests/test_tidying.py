@@ -108,6 +108,21 @@ CASES = [  # state, source, destination -> reconciled, restore, purge
 ]
 
 
+def test_presence_looks_up_all_ends_at_once(spark):
+    journal = moves(spark, ("1", "/r/a", "/r/q/1", 7, "f", "pending", 1.0, "b"), ("2", "/r/b", None, 7, "f", "pending", 1.0, "b"),
+                    ("3", None, None, 7, "f", "pending", 1.0, "b"), ("4", "/r/a", "/r/b", 7, "f", "pending", 1.0, "b"))
+    present = spark.createDataFrame([("/r/a", "x", "1", "5"), ("/r/b", "y", None, "6"), ("/r/q/1", None, "1", "7"), (None, "n", "1", "8")],
+                                    "path string, fingerprint string, device string, inode string")
+    checked = J.presence(journal, present)
+    got = {r["id"]: (r["source_fingerprint"], r["source_inode"], r["destination_fingerprint"], r["destination_inode"]) for r in checked.collect()}
+    assert got == {"1": ("x", "5", None, "7"), "2": ("y", "6", None, None), "3": (None,) * 4, "4": ("x", "5", "y", "6")}
+    assert checked.columns[:len(journal.columns)] == journal.columns
+    assert J.presence(journal.limit(0), present).count() == 0 and J.presence(journal, present.limit(0)).count() == 4
+    scans = J.presence(journal, spark.range(9).select(
+        F.col("id").cast("string").alias("path"), *[F.lit("x").alias(c) for c in ("fingerprint", "device", "inode")]))
+    assert scans._jdf.queryExecution().optimizedPlan().toString().count("Range") == 1
+
+
 def test_journal_against_storage(spark):
     rows, present = [], []
     for i, (state, source, destination, *_) in enumerate(CASES):

@@ -34,17 +34,21 @@ def duplicate_candidates(files: DataFrame, max_bytes: int | None = None) -> Data
     return lookup_join(single, classes, ["size"], "inner", ["path"], counts)
 
 
-FILTER_BITS = 1 << 23
+# Bits of the filter: so many a class, but at least and at most so many.
+CLASS_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 29
 
 
 def possibly_of_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows whose size may be among those of classes: all that are, and few others.
 
-    A filter of FILTER_BITS bits by hash of the size, at most 257 rows of 4 KB whatever the
-    data, goes to the rows; so rows that carry content are dropped where they are read and
-    never moved.
+    A bitmap by hash of the size goes to the rows; so rows that carry content are dropped
+    where they are read and never moved. It has CLASS_BITS bits for each class, which lets
+    one row in sixteen through that should not pass, and MOST_BITS at the most: 64 MB,
+    whatever the data. Beyond 33 million classes it therefore lets more rows through; a
+    join with the classes themselves follows in any case.
     """
-    place = F.pmod(F.xxhash64("size"), F.lit(FILTER_BITS)) + 1
+    wanted = classes.agg(F.least(F.greatest(F.count(F.lit(1)) * CLASS_BITS, F.lit(LEAST_BITS)), F.lit(MOST_BITS))).scalar()
+    place = F.pmod(F.xxhash64("size"), wanted) + 1
     bits = (classes.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits")))
     placed = rows.withColumn("_bit", F.bitmap_bit_position(place)).withColumn("_bucket", F.bitmap_bucket_number(place))

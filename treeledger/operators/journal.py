@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.functions.paths import POSIX, PathRules
-from treeledger.operators.joins import only_paths
+from treeledger.operators.joins import path_join
 from treeledger.operators.paging import ordered_slice
 from treeledger.operators.links import ids_under
 from treeledger.schema import PAGE_ROWS, QUARANTINE_NAME, RESTORABLE_STATES
@@ -13,16 +13,21 @@ from treeledger.schema import PAGE_ROWS, QUARANTINE_NAME, RESTORABLE_STATES
 def presence(moves: DataFrame, present: DataFrame) -> DataFrame:
     """Journal rows with what lies at both ends now.
 
-    present: (path, fingerprint, device, inode), path unique. A move without a
-    match at one end has nulls there.
-    """
-    near = only_paths(present, moves.select("source"), moves.select("destination"))
-
-    def end(mark: str) -> DataFrame:
-        return near.select(F.col("path").alias(mark), *[
-            F.col(c).alias(f"{mark}_{c}") for c in ("fingerprint", "device", "inode")])
+    present: (path, fingerprint, device, inode), path unique; id is unique in moves. A
+    move without a match at one end has nulls there.
 
-    return moves.join(end("source"), "source", "left").join(end("destination"), "destination", "left")
+    The ends of all moves are looked up together, so present is read once and may stay
+    where it is: an inner join can broadcast the ends if Spark measures them as small.
+    What was found, at most two rows a move, is then brought to the moves by id.
+    """
+    facts, marks = ("fingerprint", "device", "inode"), ("source", "destination")
+    ends = moves.select("id", F.explode(F.create_map(*[
+        part for mark in marks for part in (F.lit(mark), F.col(mark))])).alias("_end", "path"))
+    found = path_join(present.select("path", *facts), ends.where(F.col("path").isNotNull()), "inner")
+    there = found.groupBy("id").agg(*[
+        F.max(F.when(F.col("_end") == mark, F.struct(*facts))).alias(f"_{mark}") for mark in marks])
+    return moves.join(there, "id", "left").select(
+        *moves.columns, *[F.col(f"_{mark}.{c}").alias(f"{mark}_{c}") for mark in marks for c in facts])
 
 
 def current(log: DataFrame, version: str = "version") -> DataFrame:

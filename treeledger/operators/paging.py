@@ -32,6 +32,11 @@ def ordered_slice(df: DataFrame, order: list[Column], offset: int, limit: int) -
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def last_rows(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """The last rows by ascending keys, in that order: a top-k from the far end, which sorts nothing else."""
+    return df.orderBy(*[F.desc(key) for key in keys]).limit(limit).orderBy(*keys)
+
+
 def placed(df: DataFrame, order: list[Column]) -> DataFrame:
     """The rows written out in a total order, each with its part and its place therein as one number, _seq."""
     return materialize(df.orderBy(*order).withColumn("_seq", F.monotonically_increasing_id()))

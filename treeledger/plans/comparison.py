@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from treeledger.functions.paths import POSIX, PathRules
 from treeledger.operators import compare as C
 from treeledger.operators import digest as D
-from treeledger.operators.paging import Page, check_page, ordered_slice, placed, placed_slice
+from treeledger.operators.paging import Page, check_page, last_rows, ordered_slice, placed, placed_slice
 from treeledger.schema import PAGE_ROWS
 from treeledger.sources.store import SnapshotStore
 from treeledger.sources.workspace import materialize
@@ -62,6 +62,7 @@ class Comparison:
         self._files, self._args = files, (self.path, query, kind, rules, bool(bucketed))
         self._rows = C.changes(*files, *self._args)
         self._stored: DataFrame | None = None
+        self._unordered: DataFrame | None = None
 
     def _unlike(self, store: SnapshotStore, idents: tuple[str, str], files: list[DataFrame], rules: PathRules) -> list[DataFrame]:
         """Both sides' files in directories whose digests differ; empty without reading any if the scope's digests agree."""
@@ -76,7 +77,7 @@ class Comparison:
 
     def _placed(self) -> DataFrame:
         if self._stored is None:
-            self._stored = placed(self._rows, [F.col("path")])
+            self._stored = placed(self._rows if self._unordered is None else self._unordered, [F.col("path")])
         return self._stored
 
     @property
@@ -86,7 +87,8 @@ class Comparison:
 
     def counts(self) -> DataFrame:
         """One row of totals; they need no order and are counted straight from the join unless the rows are kept already."""
-        return C.change_counts(self._rows if self._stored is None else self._stored)
+        kept = [rows for rows in (self._stored, self._unordered) if rows is not None]
+        return C.change_counts(kept[0] if kept else self._rows)
 
     def _after(self, path: str) -> DataFrame:
         """The changes behind a path. Both sides are cut before they are joined."""
@@ -109,6 +111,21 @@ class Comparison:
             return Page(placed_slice(self._placed(), offset, limit), meta)
         return Page(ordered_slice(self._after(after), [F.col("path")], offset, limit), meta)
 
+    def last_page(self, limit: int = PAGE_ROWS) -> Page:
+        """The last rows in path order. The join runs once and its rows are kept; only the far end of them is sorted."""
+        try:
+            check_page(0, limit)
+        except ValueError as error:
+            raise ComparisonError(str(error)) from None
+        if self._stored is None and self._unordered is None:
+            self._unordered = materialize(self._rows)
+        rows = self.rows if self._stored is not None else self._unordered
+        counts = C.change_counts(rows)
+        meta = counts.select(
+            "*", F.greatest(F.col("total") - limit, F.lit(0)).alias("offset"), F.lit(limit).alias("limit"),
+            F.lit(False).alias("has_more"), F.lit(self.coverage_complete).alias("coverage_complete"))
+        return Page(last_rows(rows, ["path"], limit), meta)
+
     def export_rows(self) -> DataFrame:
         """Every change with both coverage flags, as the CSV has them."""
         return self.rows.select(

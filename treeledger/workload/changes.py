@@ -6,10 +6,11 @@ from treeledger.functions.paths import POSIX
 from treeledger.operators import compare as C
 from treeledger.operators import rollup as R
 from treeledger.operators import scope_changes as S
-from treeledger.operators.paging import ordered_slice, placed, placed_slice
+from treeledger.operators.paging import last_rows, ordered_slice
 from treeledger.plans import refresh as N
 from treeledger.plans.report import comparison_lines
 from treeledger.sources.store import catalog, default_pair, repair_directories
+from treeledger.sources.workspace import materialize
 from treeledger.workload import views as V
 from treeledger.workload.registry import query
 
@@ -103,9 +104,9 @@ WITH changes AS (SELECT coalesce(b.path, a.path) AS path,
 SELECT *, (SELECT count(*) FROM changes) AS total FROM changes ORDER BY path DESC LIMIT 100""")
 def warehouse_last_page(spark, sf):
     """The totals of a comparison and the page at its far end, from rows that are worked out once."""
-    rows = placed(C.changes(V.old_orders(spark, sf), V.new_orders(spark, sf)), [F.col("path")])
-    total = C.change_counts(rows).first()["total"]
-    return placed_slice(rows, max(0, total - 100), 100).withColumn("total", F.lit(total).cast("bigint"))
+    rows = materialize(C.changes(V.old_orders(spark, sf), V.new_orders(spark, sf)))
+    total = C.change_counts(rows).select("total").scalar()
+    return last_rows(rows, ["path"], 100).withColumn("total", total)
 
 
 @query("scope_known", "E6", ("dirs",), """

@@ -23,9 +23,10 @@ def _digests_of(files, candidates):
 
 
 def _hashed(spark, sf):
+    """Candidates with their digests: a table is written for the candidates only, which the filter and the join both read."""
     files = V.new_files(spark, sf)
     candidates = materialize(D.duplicate_candidates(files).select("path", "size"))
-    return materialize(path_join(candidates, _digests_of(files, candidates), "inner"))
+    return path_join(candidates, _digests_of(files, candidates), "inner")
 
 
 @query("size_window", "D6", ("newf",), "SELECT path, size FROM newf WHERE size > 0")
@@ -62,7 +63,7 @@ def duplicate_groups(spark, sf):
 @query("duplicate_members", "F9", ("groups", "hashed"), """
 SELECT g.size, g.sha256, h.path, g.copies, g.potential_bytes FROM groups g JOIN hashed h USING (size, sha256)""")
 def duplicate_members(spark, sf):
-    return D.duplicate_members(_hashed(spark, sf))
+    return D.duplicate_members(materialize(_hashed(spark, sf)))
 
 
 def _staged(spark, sf):

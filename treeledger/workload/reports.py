@@ -7,7 +7,7 @@ from treeledger.ledger import Ledger
 from treeledger.operators import cleanup as K
 from treeledger.operators import rollup as R
 from treeledger.plans import report
-from treeledger.plans.snapshot import summarize
+from treeledger.plans.snapshot import MEASUREMENT, summarize
 from treeledger.schema import QUARANTINE_NAME, SUMMARY
 from treeledger.sources.workspace import new_folder
 from treeledger.workload import views as V
@@ -92,42 +92,68 @@ def _tables(spark, sf):
 def _summary(spark, sf):
     files, directories, _ = _tables(spark, sf)
     found = K.candidate_totals(K.candidates(K.eligible(files, V.NOW, V.TEMP_ROOTS, V.ROOT), V.NOW))
-    facts = {"root": F.lit(V.ROOT), "candidate_files": found.select("candidates").scalar(),
-             "candidate_bytes": found.select("bytes").scalar(), "complete": F.lit(True), "coverage_complete": F.lit(True)}
+    refused = V.access_errors(spark, sf).agg(F.count(F.lit(1))).scalar()
+    facts = {"root": F.lit(V.ROOT), "candidate_files": found.select("candidates").scalar(), "errors": refused,
+             "candidate_bytes": found.select("bytes").scalar(), "complete": F.lit(True), "coverage_complete": refused == 0,
+             "skipped": files.agg(F.count_if(F.col("allocated").isNull())).scalar(),
+             "finished_at": files.agg(F.max("modified")).scalar(), "elapsed_seconds": files.agg(F.avg(F.lit(0.5))).scalar(),
+             "measurement": F.lit(MEASUREMENT)}
     return summarize(files, directories, facts)
 
 
-_SUMMARY = """SELECT '/data' AS root, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS files,
+# Every field of a summary. The entries without allocated bytes stand for those skipped.
+_SUMMARY = f"""SELECT '/data' AS root, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS files,
+  (SELECT count(*) FROM errors) AS errors, count(*) FILTER (allocated IS NULL) AS skipped, true AS complete,
   (SELECT list(struct_pack(path := path, size := size) ORDER BY size DESC, path) FROM
     (SELECT path, size FROM dirsizes ORDER BY size DESC, path LIMIT 100)) AS directories,
   (SELECT list(struct_pack(path := path, size := size) ORDER BY size DESC, path) FROM
     (SELECT path, size FROM newf ORDER BY size DESC, path LIMIT 200)) AS largest,
   (SELECT count(*) FROM temporary) AS candidate_files,
   (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM temporary) AS candidate_bytes,
+  max(modified) AS finished_at, CAST(0.5 AS DOUBLE) AS elapsed_seconds,
   (SELECT CAST(sum(s) AS BIGINT) FROM (SELECT max(size) AS s FROM newf GROUP BY device, inode)) AS unique_bytes,
   (SELECT CAST(sum(a) AS BIGINT) FROM (SELECT max(allocated) AS a FROM newf GROUP BY device, inode)) AS allocated_bytes,
-  (SELECT count(*) FROM (SELECT max(allocated) AS a FROM newf GROUP BY device, inode) WHERE a IS NULL) AS allocation_errors
+  (SELECT count(*) FROM (SELECT max(allocated) AS a FROM newf GROUP BY device, inode) WHERE a IS NULL) AS allocation_errors,
+  true AS details_complete, (SELECT count(*) = 0 FROM errors) AS coverage_complete, count(*) AS inventory_files,
+  '{MEASUREMENT}' AS measurement, NULL AS refresh
 FROM newf"""
-_KEPT = ["root", "bytes", "files", "directories", "largest", "candidate_files", "candidate_bytes", "unique_bytes", "allocated_bytes",
-         "allocation_errors"]
 
 
-@query("json_report", "B5 C15", ("newf", "dirsizes", "temporary"), f"""
-SELECT 'summary' AS part, CAST(to_json(s) AS VARCHAR) AS report FROM ({_SUMMARY}) s
+@query("json_report", "B5 C15", ("newf", "dirsizes", "temporary", "errors"), f"""
+SELECT 'summary' AS part, CAST(to_json(s) AS VARCHAR) AS report FROM
+  (SELECT * REPLACE (CAST(finished_at AS VARCHAR) AS finished_at) FROM ({_SUMMARY})) s
 UNION ALL SELECT 'extension', CAST(to_json(struct_pack(extension := extension, files := n, bytes := b)) AS VARCHAR) FROM
   (SELECT extension, count(*) AS n, CAST(sum(size) AS BIGINT) AS b FROM newf GROUP BY extension)
 UNION ALL SELECT 'candidate', CAST(to_json(struct_pack(path := path, size := size)) AS VARCHAR) FROM temporary""")
 def json_report(spark, sf):
     candidates = K.candidates(K.eligible(V.new_files(spark, sf), V.NOW, V.TEMP_ROOTS, V.ROOT), V.NOW)
-    return report.whole_report(_summary(spark, sf).select(*_KEPT), _tables(spark, sf)[2], candidates.select("path", "size"))
+    # Seconds since 1970 as whole numbers: engines print floating point numbers of that size in different ways.
+    summary = _summary(spark, sf).withColumn("finished_at", F.col("finished_at").cast("bigint").cast("string"))
+    return report.whole_report(summary, _tables(spark, sf)[2], candidates.select("path", "size"))
 
 
-@query("json_codec", "C15", ("newf", "dirsizes"), """
-SELECT path, size FROM dirsizes ORDER BY size DESC, path LIMIT 100""")
+_NUMBERS = ["bytes", "files", "errors", "skipped", "candidate_files", "candidate_bytes", "finished_at", "unique_bytes",
+            "allocated_bytes", "allocation_errors", "inventory_files"]
+_FLAGS = ["complete", "details_complete", "coverage_complete"]
+
+
+@query("json_codec", "C15", ("newf", "dirsizes", "temporary", "errors"), f"""
+WITH s AS ({_SUMMARY})
+SELECT 'directories' AS field, d.path AS text, d.size AS number FROM (SELECT unnest(directories) AS d FROM s)
+UNION ALL SELECT 'largest', d.path, d.size FROM (SELECT unnest(largest) AS d FROM s)
+UNION ALL SELECT 'root', root, NULL FROM s UNION ALL SELECT 'measurement', measurement, NULL FROM s
+UNION ALL SELECT 'elapsed_seconds', CAST(elapsed_seconds AS VARCHAR), NULL FROM s
+""" + "".join(f"UNION ALL SELECT '{name}', NULL, CAST({name} AS BIGINT) FROM s\n" for name in [*_NUMBERS, *_FLAGS]))
 def json_codec(spark, sf):
-    """The summary through its text and back."""
-    back = report.read_report(report.json_report(_summary(spark, sf)), SUMMARY)
-    return back.select(F.explode("directories").alias("d")).select("d.path", "d.size")
+    """Every field of the summary through its text and back; a refresh, which this one has not, comes back as none."""
+    back = report.read_report(report.json_report(_summary(spark, sf)), SUMMARY).where("refresh IS NULL")
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    listed = [back.select(F.lit(name).alias("field"), F.inline(name).alias("text", "number")) for name in ("directories", "largest")]
+    fields = {name: (F.col(name).cast("string"), number) for name in ("root", "measurement", "elapsed_seconds")}
+    fields |= {name: (text, F.col(name).cast("bigint")) for name in [*_NUMBERS, *_FLAGS]}
+    single = back.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("field"), a.alias("text"), b.alias("number")) for name, (a, b) in fields.items()])))
+    return listed[0].unionByName(listed[1]).unionByName(single)
 
 
 @query("summary_rankings", "H1 H2 H9 N1", ("newf", "dirsizes"), """
@@ -207,10 +233,11 @@ def share_summary_with_paths(spark, sf):
 
 
 @query("snapshot_write", "B1 A3 N1", ("newf",), """
-SELECT path, parent, name, size, allocated, extension, modified, device, inode FROM newf""")
+SELECT path, parent, name, size, allocated, extension, modified, modified * 1000000000 AS mtime_ns, device, inode,
+  '1:' || inode || ':' || CAST(size AS VARCHAR) || ':' || CAST(modified * 1000000000 AS VARCHAR) AS fingerprint FROM newf""")
 def snapshot_write(spark, sf):
     """Through storage and back, after the build of a whole snapshot."""
-    files = stored(spark, sf).store.read("new", "files").drop("mtime_ns", "fingerprint")
+    files = stored(spark, sf).store.read("new", "files")
     return files.withColumn("modified", F.col("modified").cast("bigint"))
 
 
